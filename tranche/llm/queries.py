@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, topk
+from . import bpe, chat, mixing, simhash, topk
 from .shared import read
 
 
@@ -26,6 +26,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation is chosen over itself with the last turn's text taken from its neighbour (conv_id 2n and 2n + 1)."""
     turns = read(spark, sf_dir, "conversations").where("conv_id is not null")
@@ -46,5 +51,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_preferences": op5_preferences, "op7_topk": op7_topk, "op10_mixing": op10_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op7_topk": op7_topk, "op10_mixing": op10_mixing}
 ORACLE: dict[str, str] = {}
