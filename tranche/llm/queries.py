@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, simhash, topk
+from . import bpe, chat, mixing, simhash, substring, topk
 from .shared import read
 
 
@@ -47,9 +47,35 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(read(spark, sf_dir, "documents"))[0]
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op7_topk": op7_topk, "op10_mixing": op10_mixing}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op7_topk": op7_topk, "op8_substring": op8_substring, "op10_mixing": op10_mixing}
+SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+#: Windows of 50 words by whole words; kept words in their order.
+SQL_SUBSTRING = f"""
+with d as (select doc_id, {SQL_WORDS} as w from documents),
+win as (select doc_id, unnest(range(1, len(w) - 48)) as s, w from d where len(w) >= 50),
+held as (select doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) as k from win),
+least as (select k, min(doc_id) as first from held group by k),
+hit as (select distinct doc_id, s + o as pos from held join least using (k), unnest(range(0, 50)) as t(o) where first < doc_id),
+gone as (select doc_id, list(pos) as g, count(*) as n from hit group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
+  sha256(array_to_string(case when n is null then w else list_filter(list_transform(w, lambda x, i: case when not list_contains(g, i) then x end), lambda x: x is not null) end, ' ')) as kept_sha256
+from d left join gone using (doc_id)
+"""
+SQL_TOPK = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(rank as integer) as rank, vec_id, score from
+  (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
+"""
+ORACLE: dict[str, str] = {"op7_topk": SQL_TOPK, "op8_substring": SQL_SUBSTRING}
