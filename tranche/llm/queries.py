@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, simhash, substring, topk
-from .shared import read
+from . import bpe, chat, hmm, mixing, simhash, substring, topk
+from .shared import read, remainder
 
 
 def sha256(text: Column) -> Column:
@@ -51,11 +51,15 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents"))[0]
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op7_topk": op7_topk, "op8_substring": op8_substring, "op10_mixing": op10_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op7_topk": op7_topk, "op8_substring": op8_substring, "op9_hmm": op9_hmm, "op10_mixing": op10_mixing}
 SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 #: Windows of 50 words by whole words; kept words in their order.
