@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from .shared import table, word_count
 
-WEIGHTS, SHARE, MAX_REPEAT, SEED, SHARD_DOCS, MAX_BLOCK = (5, 2, 1), 1.5, 2, 42, 4096, 1024
+WEIGHTS, SHARE, MAX_REPEAT, SEED, SHARD_DOCS, MAX_BLOCK, SALTS = (5, 2, 1), 1.5, 2, 42, 4096, 1024, 64
+
+
+def row_key() -> Column:
+    """The doc_id as text; where it is null, a mark of the text."""
+    return F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT) -> DataFrame:
@@ -65,12 +70,12 @@ def apportion(cells: DataFrame, weight: str, seats: str, group: list[str], key:
 
 
 def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT, seed=SEED, shard_docs=SHARD_DOCS, block: int | None = None) -> DataFrame:
-    """Plan of the mix, a row per document: doc_id, source, size, source_size, target, shard, passes,
+    """Plan of the mix, a row per document: doc_id, row_key, source, size, source_size, target, shard, passes,
     piece_from and piece_to (the words, numbered from 0, of one more partial pass) and taken.
 
     docs: doc_id, text, source. block: words in a block; unset, 1 to MAX_BLOCK, a 200th of the smallest target.
     """
-    sized = table(docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size")).withColumn("source_key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))))
+    sized = table(docs.select("doc_id", row_key().alias("row_key"), "source", (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size")).withColumn("source_key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))))
     sources = targets(sized.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), weights, share, max_repeat)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fit = F.least(F.lit(MAX_BLOCK), F.greatest(F.lit(1), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / 200)))
@@ -82,7 +87,9 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SHAR
     quota = apportion(sources, "target", "_all", [], ["source_key"], "_quota")
     sources = sources.join(quota, "source_key", "left").select("source_key", "source_size", "target", "block", "_shards", F.coalesce("_quota", F.lit(0)).alias("_quota"))
     mark = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    placed = sized.join(sources, "source_key").withColumn("_mark", mark).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_mark"), F.col("_shards")))
+    # each source stands SALTS times, so that the rows of a large one meet it in many tasks
+    salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = sized.withColumn("_mark", mark).withColumn("_salt", F.pmod("_mark", F.lit(SALTS)).cast("int")).join(salted, ["source_key", "_salt"]).drop("_salt").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_mark"), F.col("_shards")))
     shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("_shard_size"), F.first("_quota").alias("_quota"))
     shards = apportion(shards, "_shard_size", "_quota", ["source_key"], ["shard"], "_blocks")
     here = Window.partitionBy("source_key", "shard")
@@ -102,17 +109,19 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SHAR
     return (
         laid.withColumn("piece_from", inside("_from")).withColumn("piece_to", inside("_to"))
         .withColumn("taken", F.col("passes") * F.col("size") + F.col("piece_to") - F.col("piece_from"))
-        .select("doc_id", "source", "size", "source_size", "target", "shard", "passes", "piece_from", "piece_to", "taken")
+        .select("doc_id", "row_key", "source", "size", "source_size", "target", "shard", "passes", "piece_from", "piece_to", "taken")
     )
 
 
-def apply_plan(docs: DataFrame, plan: DataFrame, ids: str = "doc_id") -> DataFrame:
-    """The mixed documents: the text of every taken one, its passes one below another, then its piece. docs: unique doc_ids."""
+def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """The mixed documents: the text of every taken one, its passes one below another, then its piece.
+
+    Rows that repeat a row_key all follow the plan's row of the largest share.
+    """
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     piece = F.concat_ws(" ", F.slice(words, F.col("piece_from").cast("int") + 1, (F.col("piece_to") - F.col("piece_from")).cast("int")))
     whole = F.array_repeat(F.col("text"), F.col("passes"))
     made = F.concat_ws("\n", F.when(F.col("piece_to") > F.col("piece_from"), F.concat(whole, F.array(piece))).otherwise(whole))
-    kept = docs.join(plan.where("taken > 0").select(ids, "passes", "piece_from", "piece_to"), ids).withColumn("text", made)
+    taken = plan.where("taken > 0").groupBy("row_key").agg(F.max(F.struct("taken", "passes", "piece_from", "piece_to")).alias("_p")).select(F.col("row_key").alias("_key"), "_p.passes", "_p.piece_from", "_p.piece_to")
+    kept = docs.withColumn("_key", row_key()).join(taken, "_key").withColumn("text", made)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hmm, mixing, simhash, substring, topk
-from .shared import read, remainder
+from . import bpe, chat, crf, hmm, media, mixing, simhash, substring, topk, warc
+from .shared import read, remainder, table
 
 
 def sha256(text: Column) -> Column:
@@ -26,6 +26,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per document, showing its bytes as an image that the store holds under its digest."""
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), media.padded(data).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    store = table(docs.select("digest", media.to_media(F.col("payload")).alias("media")), compression="zstd")
+    name = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
+    page = F.concat(F.lit("<article><h1>"), name, F.lit(f'</h1><figure><img src="{media.SCHEME}'), F.col("digest"), F.lit('" alt=""><figcaption>bytes of '), name, F.lit("</figcaption></figure></article>"))
+    shown = media.resolve(media.with_items(docs.select("doc_id", "n_bytes", page.alias("html"))).drop("html"), table(media.read_back(store)))
+    return shown.where("kind = 'media'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> crf.Crf:
+    return crf.fit(docs, read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+
+
+def op3_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = crf.with_score(docs, quality_model(docs, spark, sf_dir))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -43,12 +64,16 @@ def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen_completion", "rejected_completion", spans(F.col("chosen_spans")).alias("chosen_spans"), spans(F.col("rejected_spans")).alias("rejected_spans"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup(read(spark, sf_dir, "documents"))[0]
+    return substring.dedup(read(spark, sf_dir, "documents"))[0].select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +84,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op7_topk": op7_topk, "op8_substring": op8_substring, "op9_hmm": op9_hmm, "op10_mixing": op10_mixing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_media": op2_media, "op3_crf": op3_crf, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op6_warc": op6_warc, "op7_topk": op7_topk, "op8_substring": op8_substring, "op9_hmm": op9_hmm, "op10_mixing": op10_mixing}
 SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 #: Windows of 50 words by whole words; kept words in their order.

@@ -21,11 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

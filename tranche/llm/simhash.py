@@ -179,18 +179,28 @@ def links(fps: DataFrame, differ: int = DIFFER, bucket: int = BUCKET) -> DataFra
     return near.union(grid.groupBy("bit", "kept", "i", "j").applyInArrow(compare_chunks(differ), "u long, v long"))
 
 
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
+
+
+def part_of(text: str = "text") -> Column:
+    """Tells the texts of rows with one doc_id, or none, apart."""
+    return F.hash(F.coalesce(F.col(text), F.lit("")))
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, differ: int = DIFFER, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
-    marked = table(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle).select("doc_id", "fp"))
+    """doc_id, part, fp, component_id for every row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), part_of(text).alias("part"), F.col(text).alias("text"))
+    marked = table(with_fingerprint(rows, shingle=shingle).select("doc_id", "part", "fp"))
     nodes = table(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = table(components(links(nodes.select("fp"), differ, bucket)))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = table(placed.join(least, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "part", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One document of each group: that with the smallest doc_id. Documents without id stay only as a group without any id."""
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group: that with the smallest doc_id. Groups without any id stay whole."""
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("part").alias("_part")).distinct()
+    return docs.join(first, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (part_of() == F.col("_part")), "left_semi")

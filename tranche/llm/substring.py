@@ -312,23 +312,28 @@ def digest(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
+def part_of(text: str = "text") -> Column:
+    """Tells the texts of rows with one doc_id, or none, apart."""
+    return F.hash(digest(F.coalesce(F.col(text), F.lit(""))))
+
+
 def shard_runs(parts: DataFrame, width: int) -> DataFrame:
     """parts: seg, doc, words, shard. Returns seg, off, n, least: runs of n windows from word off of a segment on."""
     return parts.groupBy("shard").applyInArrow(search_shard(width), "seg binary, off int, n int, least long")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, run: int = RUN, shard_words: int = SHARD_WORDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(outcome, changed). outcome: doc_id, n_words, n_removed, kept_sha256 for every row. changed: doc_id, kept (the
-    text that is left) for documents that lose some of their words but hold the first copy of their text."""
+    """(outcome, changed). outcome: doc_id, part, n_words, n_removed, kept_sha256 for every row. changed: doc_id, part,
+    kept (the text that is left) for documents that lose some of their words but hold the first copy of their text."""
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
     scanned = table(docs.mapInArrow(scan(width, run), "doc_id long, n_words long, text_hash binary, whole_sha256 string, segments array<struct<h:long,s:int,m:int>>"))
     firsts = table(scanned.groupBy("text_hash").agg(F.min("doc_id").alias("holder"), F.min(F.struct("doc_id", "segments"))["segments"].alias("segments")))
     # part tells texts apart whose rows have the same doc_id
-    part = F.hash("text_hash").alias("part")
+    part = F.hash("text_hash").alias("part")  # as part_of()
     places = firsts.select(F.col("holder").alias("doc_id"), part, F.explode("segments").alias("x")).select("doc_id", "part", "x.h", "x.s", "x.m")
     shared = table(places.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
     asked = places.join(shared, "h", "left_semi").groupBy("doc_id", "part").agg(F.collect_list(F.struct("h", "s", "m")).alias("segments"))
-    texts = docs.withColumn("part", F.hash(digest(F.coalesce("text", F.lit("")))))
+    texts = docs.withColumn("part", part_of())
     segments = table(
         texts.join(asked, ["doc_id", "part"]).select("doc_id", "part", "text", "segments").mapInArrow(cut(width), "doc_id long, part int, h long, s int, m int, words string")
         .withColumn("seg", digest(F.col("words")))
@@ -358,17 +363,18 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     copy = (F.col("doc_id") > F.col("holder")) & (F.col("n_words") >= width)
     own = F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id")
     outcome = known.join(touched.drop("kept"), ["doc_id", "part"], "left").select(
-        own, "n_words",
+        own, "part", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
     )
-    return outcome, touched.select(own, "kept")
+    return outcome, touched.select(own, "part", "kept")
 
 
 def apply_removal(docs: DataFrame, outcome: DataFrame, changed: DataFrame) -> DataFrame:
-    """The documents with what is left of their texts; those of which nothing is left go. docs: unique doc_ids."""
-    emptied = outcome.where("n_removed > 0 and n_removed = n_words").select("doc_id")
-    left = docs.join(emptied, "doc_id", "left_anti").join(changed, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    return left.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
+    """The documents with what is left of their texts; those of which nothing is left go."""
+    keyed = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumnRenamed("part", "_part").drop("doc_id")
+    emptied = keyed(outcome.where("n_removed > 0 and n_removed = n_words").select("doc_id", "part")).distinct()
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_part", part_of())
+    fate = keyed(changed).join(emptied.withColumn("_gone", F.lit(True)), ["_id", "_part"], "full_outer")
+    left = rows.join(fate, ["_id", "_part"], "left").where(F.col("_gone").isNull())
+    return left.withColumn("text", F.coalesce("kept", "text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
