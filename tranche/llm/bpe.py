@@ -16,6 +16,7 @@ import heapq
 import json
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -24,9 +25,16 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker keeps; it starts anew beyond them. Results don't depend on it.
-CACHE_WORDS = 250_000
+#: Words that a worker keeps: once half of them are new, those not met since go. Results don't depend on it.
+CACHE_WORDS = 500_000
+#: Slots for tested pairs, as a power of two.
+PAIR_BITS = 20
+#: Stands between words; no byte of a token.
+SEPARATOR = "\u0100"
 FAR = np.int64(1) << 40
+NO_RULE = (1 << 40, -1)
+#: Longer words are merged through a heap.
+LONG = 64
 
 
 def printable_bytes() -> dict[str, int]:
@@ -68,16 +76,19 @@ class Bpe:
         order = np.argsort(codes)
         self.codes = np.concatenate([codes[order], [FAR]])
         self.ranks = np.concatenate([np.array([r for r, _ in self.rules.values()], np.int64)[order], [FAR]])
-        #: Longest token that starts with these two bytes.
-        self.longest: dict[bytes, int] = {}
-        for b in self.vocab:
-            self.longest[b[:2]] = max(len(b), self.longest.get(b[:2], 1))
+        self.matcher = ahocorasick.Automaton()
+        for b, t in self.vocab.items():
+            self.matcher.add_word(b.decode("latin-1"), t)
+        self.matcher.add_word(SEPARATOR, -1)
+        self.matcher.make_automaton()
+        self.tested = np.full(1 << PAIR_BITS, -2, np.int64)  # a pair's code and whether it fits in the last bit
         made = np.flatnonzero(self.rank >= 0)
         self.own = np.ones(size, bool)  # tokens that BPE makes of their own bytes
         self.own[made] = self.apart(self.left[made], self.right[made], self.rank[made])
         for t in made[np.argsort(self.rank[made])]:
             self.own[t] &= self.own[self.left[t]] and self.own[self.right[t]]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
 
     def apart(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """Whether no merge crosses the border of each pair (a, b), before the rule `until` where given.
@@ -104,18 +115,24 @@ class Bpe:
             a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
         return good
 
-    def greedy(self, word: bytes) -> list[int]:
-        out, i, n, vocab, longest = [], 0, len(word), self.vocab, self.longest
-        while i < n:
-            end = min(n, i + longest.get(word[i : i + 2], 1))
-            while (t := vocab.get(word[i:end])) is None:
-                end -= 1
-            out.append(t)
-            i = end
-        return out
-
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: lowest rule first, leftmost of equals, through a heap over a linked list."""
+        """Exact merging: lowest rule first, leftmost of equals."""
+        if len(word) > LONG:
+            return self.merge_long(word)
+        ids, rules = [self.vocab[word[i : i + 1]] for i in range(len(word))], self.rules
+        ranks = [rules.get(p, NO_RULE) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) is not NO_RULE:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rules.get((ids[i - 1], ids[i]), NO_RULE)
+            if i < len(ranks):
+                ranks[i] = rules.get((ids[i], ids[i + 1]), NO_RULE)
+        return ids
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same through a heap over a linked list, for words of any length."""
         ids = [self.vocab[word[i : i + 1]] for i in range(len(word))]
         n, rules = len(ids), self.rules
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -134,36 +151,55 @@ class Bpe:
                     heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
         return [t for t in ids if t >= 0]
 
-    def learn(self, words: set[str]) -> None:
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """apart() through a table of pairs tested before, a pair to a slot; a later pair takes its slot over."""
+        code = a * self.base + b
+        slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        new = self.tested[slot] >> 1 != code
+        good = (self.tested[slot] & 1).astype(bool)
+        if new.any():
+            codes, back = np.unique(code[new], return_inverse=True)
+            good[new] = self.apart(codes // self.base, codes % self.base)[back]
+            self.tested[slot[new]] = code[new] << 1 | good[new]
+        return good
+
+    def learn(self, words: list[str]) -> None:
         """Adds the ids of new words to the cache."""
-        names = list(words)
-        guess = [self.greedy(w.encode()) for w in names]
-        flat = np.fromiter(chain.from_iterable(guess), np.int64)
-        ends = np.cumsum([len(g) for g in guess])
-        bad = np.zeros(len(names), bool)
-        of = np.repeat(np.arange(len(names)), np.diff(ends, prepend=0))
-        bad[of[~self.own[flat]]] = True
-        if len(flat) > 1:
-            inside = of[:-1] == of[1:]
-            codes, back = np.unique((flat[:-1] * self.base + flat[1:])[inside], return_inverse=True)
-            bad[of[:-1][inside][~self.apart(codes // self.base, codes % self.base)[back]]] = True
-        for i, w in enumerate(names):
-            self.cache[w] = tuple(self.merge(w.encode()) if bad[i] else guess[i])
+        raw = [w.encode() for w in words]
+        joined = SEPARATOR.join([r.decode("latin-1") for r in raw]) + SEPARATOR
+        flat = np.array([t for _, t in self.matcher.iter_long(joined)], np.int64)
+        ends = np.flatnonzero(flat < 0)
+        of = np.searchsorted(ends, np.arange(len(flat)))
+        bad = np.zeros(len(words), bool)
+        bad[of[(flat >= 0) & ~self.own[flat]]] = True
+        inside = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+        bad[of[inside[~self.fits(flat[inside], flat[inside + 1])]]] = True
+        guess, begin, cache = flat.astype(np.int32).tobytes(), 0, self.cache
+        for w, end, wrong, r in zip(words, (4 * ends).tolist(), bad.tolist(), raw, strict=True):
+            cache[w] = np.array(self.merge(r), np.int32).tobytes() if wrong else guess[begin:end]
+            begin = end + 4
 
     def pieces(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.added):
             return self.words.findall(text)
         return [w for part in self.cut.split(text) for w in ([part] if part in self.added else self.words.findall(part))]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for s, i in self.added.items():
-            self.cache[s] = (i,)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.cache) > CACHE_WORDS // 2:
+            self.cache, self.older = {}, self.cache
         cut = [self.pieces(t) for t in texts]
-        if new := set(chain.from_iterable(cut)).difference(self.cache):
+        cache, older = self.cache, self.older
+        new = []
+        for w in set(chain.from_iterable(cut)).difference(cache):
+            if (ids := older.get(w)) is None:
+                new.append(w)
+            else:
+                cache[w] = ids
+        if new:
             self.learn(new)
-        return [list(chain.from_iterable(map(self.cache.__getitem__, words))) for words in cut]
+            if self.added:
+                cache |= {s: np.int32(i).tobytes() for s, i in self.added.items()}
+        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         known = len(self.bytes_of)
@@ -198,7 +234,7 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> Dat
         def flush() -> None:
             for got in bpe.encode(held):
                 lengths.append(lengths[-1] + len(got))
-                flat.append(np.array(got, np.int32))
+                flat.append(got)
             held.clear()
 
         for t in texts:
