@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
@@ -22,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE. Letters and numbers are tried first here; no
 #: two alternatives but the last two can start at one place and differ in what they take, so the order doesn't show.
@@ -254,11 +256,18 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> Dat
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds the text that a column of token ids stands for; null ids decode to an empty text."""
+    """Adds the text that a column of token ids stands for; null ids decode to an empty text.
 
-    @F.arrow_udf("string")
-    def text(rows: pa.Array) -> pa.Array:
+    A pass over batches and not a scalar function: chained to encode(), Spark would run the encoding twice.
+    """
+    rest = [c for c in df.columns if c != to]
+    schema = StructType([*[df.schema[c] for c in rest], StructField(to, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        return pa.array((bpe.decode(r.values.to_numpy(zero_copy_only=False).tolist() if r.is_valid and not r.values.null_count else r.as_py() or []) for r in rows), pa.string())
+        for b in batches:
+            rows = b.column(rest.index(ids))
+            texts = pa.array((bpe.decode(r.values.to_numpy(zero_copy_only=False).tolist() if r.is_valid and not r.values.null_count else r.as_py() or []) for r in rows), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], [*rest, to])
 
-    return df.withColumn(to, text(F.col(ids)))
+    return df.select(*rest).mapInArrow(run, schema)
