@@ -72,24 +72,25 @@ def variants(fps: DataFrame, differ: int = DIFFER) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("s")).select(F.col("s.bit").alias("bit"), F.col("s.kept").alias("kept"), "fp")
 
 
-def forest(x: np.ndarray, differ: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links within one bucket: each node looks once at those not yet reached."""
-    out, left = [], x
+def forest(x: np.ndarray, differ: int) -> np.ndarray:
+    """Edges (n, 2) of a spanning forest of the links within one bucket of unsigned fingerprints: each looks once at
+    those not yet reached."""
+    out, left = [np.zeros((0, 2), np.uint64)], x
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             a = queue.pop()
             near = np.bitwise_count(left ^ a) <= differ
             if near.any():
-                found = left[near]
-                left = left[~near]
+                found, left = left[near], left[~near]
                 queue.extend(found)
-                out.extend((int(a), int(b)) for b in found)
-    return out
+                out.append(np.stack([np.full(len(found), a), found], 1))
+    return np.concatenate(out)
 
 
 def edges_of(key: np.ndarray, fp: np.ndarray, differ: int) -> np.ndarray:
     """key: number of the bucket of each fingerprint, ascending. Pairs (n, 2), verified."""
+    fp = fp.view(np.uint64)  # numpy counts the bits of a signed number's magnitude
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.r_[begin, len(key)])
     row = np.repeat(size, size)
@@ -100,9 +101,8 @@ def edges_of(key: np.ndarray, fp: np.ndarray, differ: int) -> np.ndarray:
             at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= differ]
             found.append(np.stack([fp[at], fp[at + d]], 1))
     for b, n in zip(begin[size > SMALL], size[size > SMALL], strict=True):
-        if links := forest(fp[b : b + n], differ):
-            found.append(np.array(links, np.int64))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        found.append(forest(fp[b : b + n], differ))
+    return np.unique(np.concatenate(found), axis=0).view(np.int64) if found else np.zeros((0, 2), np.int64)
 
 
 def compare(differ: int, bucket: int):
@@ -158,7 +158,7 @@ def compare(differ: int, bucket: int):
 
 def compare_chunks(differ: int):
     def run(t: pa.Table) -> pa.Table:
-        e = np.array(forest(np.unique(t.column("fp").to_numpy()), differ), np.int64).reshape(-1, 2)
+        e = forest(np.unique(t.column("fp").to_numpy()).view(np.uint64), differ).view(np.int64)
         return pa.table({"u": e[:, 0], "v": e[:, 1]})
 
     return run
