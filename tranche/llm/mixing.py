@@ -27,6 +27,11 @@ def row_key() -> Column:
     return F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
 
 
+def seeded(seed: int, *parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of seed and parts, which any SQL engine can give too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, max_repeat=MAX_REPEAT) -> DataFrame:
     """sources: one row per source (source_key, source, source_size). Adds weight and target.
 
@@ -86,10 +91,9 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SHAR
     )
     quota = apportion(sources, "target", "_all", [], ["source_key"], "_quota")
     sources = sources.join(quota, "source_key", "left").select("source_key", "source_size", "target", "block", "_shards", F.coalesce("_quota", F.lit(0)).alias("_quota"))
-    mark = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # each source stands SALTS times, so that the rows of a large one meet it in many tasks
     salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = sized.withColumn("_mark", mark).withColumn("_salt", F.pmod("_mark", F.lit(SALTS)).cast("int")).join(salted, ["source_key", "_salt"]).drop("_salt").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_mark"), F.col("_shards")))
+    placed = sized.withColumn("_mark", seeded(seed, F.col("row_key"))).withColumn("_salt", F.pmod("_mark", F.lit(SALTS)).cast("int")).join(salted, ["source_key", "_salt"]).drop("_salt").withColumn("shard", F.pmod(seeded(seed + 1, F.col("row_key")), F.col("_shards")))
     shards = placed.groupBy("source_key", "shard").agg(F.sum("size").alias("_shard_size"), F.first("_quota").alias("_quota"))
     shards = apportion(shards, "_shard_size", "_quota", ["source_key"], ["shard"], "_blocks")
     here = Window.partitionBy("source_key", "shard")
@@ -101,7 +105,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SHAR
         .withColumn("_blocks", F.least(F.coalesce("_blocks", F.lit(0)), max_repeat * F.col("_in")))
         .withColumn("passes", F.coalesce(F.floor(F.col("_blocks") / F.nullif(F.col("_in"), F.lit(0))), F.lit(0)).cast("int"))
         .withColumn("_more", F.col("_blocks") - F.col("passes") * F.col("_in"))
-        .withColumn("_from", F.pmod(F.xxhash64(F.lit(seed + 2), "source_key", "shard"), F.col("_in") - F.col("_more") + 1) * F.col("block"))
+        .withColumn("_from", F.pmod(seeded(seed + 2, F.col("source_key"), F.col("shard").cast("string")), F.col("_in") - F.col("_more") + 1) * F.col("block"))
         .withColumn("_to", F.col("_from") + F.col("_more") * F.col("block"))
     )
     start = F.col("_end") - F.col("size")

@@ -107,4 +107,44 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_z
 select query_id, cast(rank as integer) as rank, vec_id, score from
   (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
 """
-ORACLE: dict[str, str] = {"op7_topk": SQL_TOPK, "op8_substring": SQL_SUBSTRING}
+SQL_PREFERENCES = """
+with t as (select conv_id, list({'role': role, 'text': text} order by turn, role, text) as l from conversations where conv_id is not null group by conv_id),
+p as (select a.conv_id, a.l, a.l[-1] as own, b.l[-1].text as other from t a left join t b on b.conv_id = xor(a.conv_id, 1)),
+s as (select *, own.text is not distinct from other as same, concat('<|', coalesce(own.role, 'unknown'), '|>', chr(10)) as head from p),
+r as (select *, list_transform(case when same then l else l[:-2] end, lambda x: concat('<|', coalesce(x.role, 'unknown'), '|>', chr(10), coalesce(x.text, ''), '<|end|>', chr(10))) as common from s)
+select conv_id, cast(len(common) as bigint) as n_common, array_to_string(common, '') as prompt,
+  case when same then '' else concat(head, coalesce(own.text, ''), '<|end|>', chr(10)) end as chosen_completion,
+  case when same then '' else concat(head, coalesce(other, ''), '<|end|>', chr(10)) end as rejected_completion,
+  case when not same and own.role = 'assistant' then concat(len(head), '-', len(head) + length(coalesce(own.text, '')) + 7) else '' end as chosen_spans,
+  case when not same and own.role = 'assistant' then concat(len(head), '-', len(head) + length(coalesce(other, '')) + 7) else '' end as rejected_spans
+from r
+"""
+
+
+def sql_seeded(seed: int, what: str) -> str:
+    return f"cast(concat('0x', substr(md5(concat('{seed}:', {what})), 1, 15)) as bigint)"
+
+
+#: All quotients are ranked here, and every cell is small enough for one window.
+SQL_MIXING = f"""
+with d as (select doc_id, source, case when source is null then '-' else concat('+', source) end as k, coalesce(cast(doc_id as varchar), concat('-', md5(coalesce(text, '')))) as rk, cast(len({SQL_WORDS}) as bigint) as size from documents),
+src as (select k, min(source) as source, sum(size) as ss, count(*) as docs from d group by k),
+w as (select *, [5.0, 2.0, 1.0][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as integer)] as w, 2.0 * ss as cap from src),
+r as (select *, cap / w as ratio, least(1.5 * sum(ss) over (), sum(cap) over ()) as total from w),
+v as (select *, (total - coalesce(sum(cap) over f, 0)) / (sum(w) over () - coalesce(sum(w) over f, 0)) as lvl from r window f as (order by ratio, k rows between unbounded preceding and 1 preceding)),
+m as (select *, max(case when ratio > lvl then lvl end) over () as l from v),
+g as (select k, cast(ss as bigint) as source_size, ceil(docs / {mixing.SHARD_DOCS}.0) as shards, case when l is null or ratio <= lvl then cap else l * w end as target from m),
+b as (select *, cast(least({mixing.MAX_BLOCK}, greatest(1, coalesce(floor(min(target) filter (where target > 0) over () / 200), 1))) as bigint) as block, sum(target) over () as every from g),
+n as (select *, cast(round(every / block) as bigint) as seats from b),
+q1 as (select k, count(*) as quota from (select k, row_number() over (order by target / (2 * j + 1) desc, k) as i, seats from n, unnest(range(0, seats)) as t(j) where target > 0) where i <= seats group by k),
+p as (select d.*, source_size, target, block, coalesce(quota, 0) as quota, cast({sql_seeded(mixing.SEED + 1, "rk")} % shards as bigint) as shard, {sql_seeded(mixing.SEED, "rk")} as mark from d join n using (k) left join q1 using (k)),
+c as (select k, shard, sum(size) as words, any_value(quota) as quota from p group by k, shard),
+q2 as (select k, shard, count(*) as blocks from (select k, shard, row_number() over (partition by k order by words / (2 * j + 1) desc, shard) as i, quota from c, unnest(range(0, quota)) as t(j) where words > 0) where i <= quota group by k, shard),
+a as (select p.*, ceil(words / block) as per, least(coalesce(blocks, 0), 2 * ceil(words / block)) as blocks, sum(size) over (partition by k, shard order by mark, doc_id, size rows unbounded preceding) as fin
+  from p join (select k, shard, words from c) using (k, shard) left join q2 using (k, shard)),
+e as (select *, case when per > 0 then floor(blocks / per) else 0 end as passes, case when per > 0 then blocks - floor(blocks / per) * per else 0 end as more from a),
+o as (select *, {sql_seeded(mixing.SEED + 2, "k, ':', shard")} % cast(per - more + 1 as bigint) * block as lo from e)
+select doc_id, size, source_size, target, source, shard,
+  cast(passes * size + greatest(0, least(size, lo + more * block - (fin - size))) - greatest(0, least(size, lo - (fin - size))) as bigint) as taken from o
+"""
+ORACLE: dict[str, str] = {"op5_preferences": SQL_PREFERENCES, "op7_topk": SQL_TOPK, "op8_substring": SQL_SUBSTRING, "op10_mixing": SQL_MIXING}
