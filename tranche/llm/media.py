@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_slices
+
 ROW, TAIL = 64, 64
 SCHEME = "urn:sha256:"
 ITEM = "array<struct<position:int,kind:string,text:string,source:string,digest:string,caption:string>>"
@@ -139,7 +141,7 @@ READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 lon
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in READ.split(", ")]
-    for b in batches:
+    for b in in_slices(batches, 1):
         rows = []
         for d, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             stored = m.as_buffer().to_pybytes()

@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_slices
+
 DATE = "2024-01-01T00:00:00Z"
-BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "table", "article", "section", "header", "footer", "nav", "aside", "blockquote", "pre", "body", "title", "head", "html", "main", "form", "hr"}
+BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "table", "article", "section", "header", "footer", "nav", "aside", "blockquote", "pre", "body", "title", "head", "html", "main", "form", "hr", "figure", "figcaption"}
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>?", re.S | re.I)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
@@ -123,7 +125,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in ROWS.split(", ")]
     types = [pa.int64() if x.split()[1] == "long" else pa.string() for x in ROWS.split(", ")]
-    for b in batches:
+    for b in in_slices(batches, 1):
         rows = [{"page_id": i, **r} for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True) for r in derive(x.as_buffer().to_pybytes() if x.is_valid else b"")]
         yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
