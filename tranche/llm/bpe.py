@@ -22,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from .shared import in_slices
 
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE. Letters and numbers are tried first here; no
 #: two alternatives but the last two can start at one place and differ in what they take, so the order doesn't show.
 PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker keeps: once half of them are new, those not met since go. Results don't depend on it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Slots for tested pairs, as a power of two.
 PAIR_BITS = 20
 #: Stands between words; no byte of a token.
@@ -47,43 +48,60 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Bpe:
+class Vocabulary:
+    """What decoding needs: the bytes of each id."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         chars = printable_bytes()
         raw = lambda s: bytes(chars[c] for c in s)
-        self.vocab = {raw(s): i for s, i in spec["model"]["vocab"].items()}
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*self.vocab.values(), *added.values()]) + 1
-        self.bytes_of = [b""] * size
-        for b, i in self.vocab.items():
+        vocab = {raw(s): i for s, i in spec["model"]["vocab"].items()}
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes_of = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
+        for b, i in vocab.items():
             self.bytes_of[i] = b
-        for s, i in added.items():
+        for s, i in self.added.items():
             self.bytes_of[i] = s.encode()
-        self.added = added
+        self.prepare(vocab, [tuple(map(raw, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]])
+
+    def prepare(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
+        pass
+
+    def decode(self, ids: list[int]) -> str:
+        known = len(self.bytes_of)
+        try:
+            joined = b"".join(map(self.bytes_of.__getitem__, ids))
+        except (IndexError, TypeError):
+            joined = b"".join(self.bytes_of[i] for i in ids if i is not None and 0 <= i < known)
+        return joined.decode("utf-8", "replace")
+
+
+class Bpe(Vocabulary):
+    def prepare(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
+        size, added = len(self.bytes_of), self.added
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.words = regex.compile(PATTERN)
         self.left = np.full(size, -1, np.int64)
         self.right = np.full(size, -1, np.int64)
         self.rank = np.full(size, -1, np.int64)
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, m in enumerate(spec["model"]["merges"]):
-            a, b = (self.vocab[raw(x)] for x in (m if isinstance(m, list) else m.split(" ")))
-            made = self.vocab[self.bytes_of[a] + self.bytes_of[b]]
-            self.rules.setdefault((a, b), (r, made))
+        self.rank_of: dict[tuple[int, int], int] = {}
+        self.made_by: list[int] = []
+        for r, (x, y) in enumerate(merges):
+            a, b = vocab[x], vocab[y]
+            made = vocab[x + y]
+            self.made_by.append(made)
+            self.rank_of.setdefault((a, b), r)
             if self.rank[made] < 0:
                 self.left[made], self.right[made], self.rank[made] = a, b, r
-        self.rank_of = {pair: r for pair, (r, _) in self.rules.items()}
-        self.made_by = {r: made for r, made in self.rules.values()}
-        self.byte_ids = [self.vocab[bytes([c])] for c in range(256)]
+        self.byte_ids = [vocab[bytes([c])] for c in range(256)]
         self.base = np.int64(size)
-        codes = np.array([a * size + b for a, b in self.rules], np.int64)
+        codes = np.array([a * size + b for a, b in self.rank_of], np.int64)
         order = np.argsort(codes)
         self.codes = np.concatenate([codes[order], [FAR]])
-        self.ranks = np.concatenate([np.array([r for r, _ in self.rules.values()], np.int64)[order], [FAR]])
+        self.ranks = np.concatenate([np.array(list(self.rank_of.values()), np.int64)[order], [FAR]])
         self.matcher = ahocorasick.Automaton()
-        for b, t in self.vocab.items():
+        for b, t in vocab.items():
             self.matcher.add_word(b.decode("latin-1"), t)
         self.matcher.add_word(SEPARATOR, -1)
         self.matcher.make_automaton()
@@ -139,22 +157,22 @@ class Bpe:
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same through a heap over a linked list, for words of any length."""
-        ids = [self.vocab[word[i : i + 1]] for i in range(len(word))]
-        n, rules = len(ids), self.rules
+        ids = [self.byte_ids[c] for c in word]
+        n, rank_of, made_by = len(ids), self.rank_of, self.made_by
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rules.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j], after[i] = made, -1, after[j]
+            ids[i], ids[j], after[i] = made_by[rank], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := rules.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
+                if x >= 0 and y >= 0 and (r := rank_of.get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [t for t in ids if t >= 0]
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,67 +225,53 @@ class Bpe:
                 cache |= {s: np.int32(i).tobytes() for s, i in self.added.items()}
         return [np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        known = len(self.bytes_of)
-        try:
-            joined = b"".join(map(self.bytes_of.__getitem__, ids))
-        except (IndexError, TypeError):
-            joined = b"".join(self.bytes_of[i] for i in ids if i is not None and 0 <= i < known)
-        return joined.decode("utf-8", "replace")
+    def forget(self) -> None:
+        """Drops the words met so far."""
+        self.cache, self.older = {}, {}
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[tuple[type, str], Vocabulary] = {}
 
 
-def loaded(path: str) -> Bpe:
-    """The tokenizer of a worker, read once."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
-
-
-#: Texts of this many characters are encoded at a time.
-STEP_CHARS = 2_000_000
+def loaded(path: str, kind: type = Bpe) -> Vocabulary:
+    """The tokenizer of a worker, read once; for decoding alone a Vocabulary."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """Adds the token ids of a text column; path: a tokenizers JSON file present on every executor."""
+    """Adds the token ids of a text column; path: a tokenizers JSON file present on every executor.
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        bpe, lengths, flat, held, chars = loaded(path), [0], [], [], 0
-
-        def flush() -> None:
-            for got in bpe.encode(held):
-                lengths.append(lengths[-1] + len(got))
-                flat.append(got)
-            held.clear()
+    This and decode() are passes over batches and not scalar functions: of those, one chained to the other, Spark
+    would run the encoding twice.
+    """
+    rest = [c for c in df.columns if c != to]
+    schema = StructType([*[df.schema[c] for c in rest], StructField(to, ArrayType(IntegerType()))])
+    at = rest.index(text)
 
-        for t in texts:
-            held.append(t.as_py() or "")
-            chars += len(held[-1])
-            if chars > STEP_CHARS:
-                flush()
-                chars = 0
-        flush()
-        return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for b in in_slices(batches, at):
+            got = bpe.encode([t.as_py() or "" for t in b.column(at)])
+            ends = np.cumsum([0, *map(len, got)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*rest, to])
+        bpe.forget()  # the worker may wait long for its next task
 
-    return df.withColumn(to, ids(F.col(text)))
+    return df.select(*rest).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds the text that a column of token ids stands for; null ids decode to an empty text.
-
-    A pass over batches and not a scalar function: chained to encode(), Spark would run the encoding twice.
-    """
+    """Adds the text that a column of token ids stands for; null ids decode to an empty text."""
     rest = [c for c in df.columns if c != to]
     schema = StructType([*[df.schema[c] for c in rest], StructField(to, StringType())])
+    at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for b in batches:
-            rows = b.column(rest.index(ids))
-            texts = pa.array((bpe.decode(r.values.to_numpy(zero_copy_only=False).tolist() if r.is_valid and not r.values.null_count else r.as_py() or []) for r in rows), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], [*rest, to])
+        bpe = loaded(path, Vocabulary)
+        for b in in_slices(batches, at):
+            texts = (bpe.decode(r.values.to_numpy(zero_copy_only=False).tolist() if r.is_valid and not r.values.null_count else r.as_py() or []) for r in b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*rest, to])
 
     return df.select(*rest).mapInArrow(run, schema)

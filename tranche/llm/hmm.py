@@ -33,7 +33,9 @@ from .shared import table
 
 STATES, CLASSES, ITERATIONS, SEED, ENDING = 4, 512, 3, 7, 2
 #: Words after which a block ends, and tokens that a recursion holds at a time.
-BLOCK_WORDS, STEP_TOKENS = 2_000_000, 400_000
+BLOCK_WORDS, STEP_TOKENS = 2_000_000, 250_000
+#: Rows that leave a block at a time.
+SLICE_DOCS, SLICE_WORDS = 500, 50_000
 
 
 def class_of(word: bytes) -> int:
@@ -52,13 +54,22 @@ def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal seen, size, block
         cls = np.fromiter(map(class_of, seen), np.int32, len(seen))
-        train = [ids for _, held, ids in docs if not held]
-        n = np.bincount(np.concatenate(train), minlength=len(seen)) if train else np.zeros(len(seen), np.int64)
-        key, d, w = (part << 32) | block, len(docs), len(seen)
+        n = np.zeros(len(seen), np.int64)
+        for _, held, ids in docs:
+            if not held:
+                np.add.at(n, ids, 1)
+        key = (part << 32) | block
         names = ["block", "doc_id", "held_out", "ids", "classes", "word", "cls", "idx", "n"]
         null = lambda n, *types: [pa.nulls(n, t) for t in types]
-        yield pa.RecordBatch.from_arrays([pa.array([key] * d, pa.int64()), pa.array([x[0] for x in docs], pa.int64()), pa.array([x[1] for x in docs], pa.bool_()), pa.array([x[2].tobytes() for x in docs], pa.binary()), pa.array([cls[x[2]].astype(np.uint16).tobytes() for x in docs], pa.binary()), *null(d, pa.binary(), pa.int32(), pa.int32(), pa.int64())], names)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(w, key)), *null(w, pa.int64(), pa.bool_(), pa.binary(), pa.binary()), pa.array(list(seen), pa.binary()), pa.array(cls), pa.array(np.arange(w, dtype=np.int32)), pa.array(n)], names)
+        for i in range(0, len(docs), SLICE_DOCS):
+            some = docs[i : i + SLICE_DOCS]
+            d = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * d, pa.int64()), pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.bool_()), pa.array([x[2].tobytes() for x in some], pa.binary()), pa.array([cls[x[2]].astype(np.uint16).tobytes() for x in some], pa.binary()), *null(d, pa.binary(), pa.int32(), pa.int32(), pa.int64())], names)
+        words = list(seen)
+        for i in range(0, len(words), SLICE_WORDS):
+            some = words[i : i + SLICE_WORDS]
+            w, at = len(some), slice(i, i + SLICE_WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(w, key)), *null(w, pa.int64(), pa.bool_(), pa.binary(), pa.binary()), pa.array(some, pa.binary()), pa.array(cls[at]), pa.array(np.arange(i, i + w, dtype=np.int32)), pa.array(n[at])], names)
         docs.clear()
         seen = defaultdict()
         seen.default_factory = seen.__len__

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,20 @@ def table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts (or lists of numbers, at 4 bytes) take about `most` bytes, so that what is
+    made of a batch of long texts is never held whole."""
+    for b in batches:
+        c = b.column(column)
+        size = pc.multiply(pc.list_value_length(c), 4) if pa.types.is_list(c.type) else pc.binary_length(c)
+        part = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for begin, end in zip(edges, edges[1:]):
+            if end > begin:
+                yield b.slice(begin, end - begin)
+    pa.default_memory_pool().release_unused()
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

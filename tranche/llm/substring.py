@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import in_slices, table
 
 WIDTH, RUN = 50, 8
 #: Words of segments that a shard holds, about.
@@ -106,7 +106,7 @@ def scan(width: int, run: int):
     item = pa.struct([("h", pa.int64()), ("s", pa.int32()), ("m", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches, 1):
             counts, digests, shas, hs, ss, ms, ends = [], [], [], [], [], [], [0]
             for t in b.column(1):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
@@ -126,7 +126,7 @@ def cut(width: int):
     """doc_id, part, text and segments to rows of anchor, place and words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches, 2, 1 << 20):
             ids, parts, hs, ss, ms, words = [], [], [], [], [], []
             for d, p, t, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 got = t.as_buffer().to_pybytes().split()
@@ -197,7 +197,7 @@ class FmIndex:
         n = len(words)
         rank, depth, kept = words.astype(np.int64), 1, {}
         while depth < width:
-            kept[depth] = rank
+            kept = {depth: rank}  # of the longest runs that fit into a window
             ahead = np.zeros(n, np.int64)
             ahead[: n - depth] = rank[depth:] + 1
             _, rank = np.unique(rank * np.int64(n + 2) + np.where(rank_ends(words, depth), 0, ahead), return_inverse=True)
@@ -289,7 +289,7 @@ def remove(width: int):
     import hashlib
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches, 2):
             gone, shas, texts = [], [], []
             for t, runs in zip(b.column(2), b.column(3).to_pylist(), strict=True):
                 words = t.as_buffer().to_pybytes().split()
