@@ -49,8 +49,10 @@ def reliability(scored: DataFrame, k: int = 10, strategy: str = "quantile") -> D
     if strategy != "uniform":
         raise ValueError(f"unknown strategy {strategy!r}")
     edges = F.array(*[F.lit(b / k) for b in range(1, k)])
-    rows = _rounded(scored).where("pd >= 0 and pd <= 1").withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col("pd"))))
-    return rows.groupBy("bin").agg(*stats).select("*", (F.col("bin") / k).alias("p_lo"), ((F.col("bin") + 1) / k).alias("p_hi")).orderBy("bin")
+    inside = (F.col("pd") >= 0) & (F.col("pd") <= 1)
+    rows = _rounded(scored).withColumn("bin", F.when(inside, F.size(F.filter(edges, lambda e: e <= F.col("pd")))).otherwise(-1))
+    # asked of the aggregate, so that the test isn't pushed down into the score's expression
+    return rows.groupBy("bin").agg(*stats, F.max(inside).alias("_in")).where("_in").drop("_in").select("*", (F.col("bin") / k).alias("p_lo"), ((F.col("bin") + 1) / k).alias("p_hi")).orderBy("bin")
 
 
 def deciles(scored: DataFrame, k: int = 10) -> DataFrame:

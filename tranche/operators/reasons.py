@@ -39,7 +39,9 @@ def explained(model: Logistic, matrix: DataFrame, top: int = 4) -> DataFrame:
 
 
 def reason_rows(explanations: DataFrame) -> DataFrame:
-    return explanations.select("loan_id", F.posexplode("reasons").alias("rank", "r")).select("loan_id", (F.col("rank") + 1).alias("rank"), "r.*")
+    # the outer form: the plain one also becomes a filter that repeats the whole expression
+    rows = explanations.select("loan_id", F.posexplode_outer("reasons").alias("rank", "r")).where("r is not null")
+    return rows.select("loan_id", (F.col("rank") + 1).alias("rank"), "r.*")
 
 
 def explain_one(model: Logistic, matrix: DataFrame, loan_id: str, top: int = 4) -> DataFrame:
