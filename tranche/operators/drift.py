@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,12 @@ BINS = 10
 
 
 def long_counts(rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
-    """feature, by..., value, n: distinct values are counted before anything is sorted or shuffled by value."""
+    """feature, by..., value, n: distinct values are counted before anything is sorted or shuffled by value.
+
+    Kept, since what follows reads it half a dozen times; spark.catalog.clearCache() or unpersist() frees it.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value")) for f in features]))
-    return rows.select(*by, pairs.alias("_p")).select(*by, "_p.*").groupBy("feature", *by, "value").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(*by, pairs.alias("_p")).select(*by, "_p.*").groupBy("feature", *by, "value").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def cut_arrays(expected: DataFrame, ks: list[int]) -> DataFrame:
