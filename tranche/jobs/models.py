@@ -106,8 +106,10 @@ def patient(losses: list[float], patience: int) -> int:
     return best + 1
 
 
-def fit_boosted(df: DataFrame, features: list[str], rounds: int = 40, rate: float = 0.05, depth: int = 4, least: int = 20, held: float = 0.15, patience: int = 20, seed: int = 7) -> Boosted:
-    """Boosted trees; the number of rounds is the best on a held-out share of rows, found with patience, then fitted again."""
+def fit_boosted(df: DataFrame, features: list[str], rounds: int = 500, rate: float = 0.05, depth: int = 4, least: int = 20, held: float = 0.15, patience: int = 20, seed: int = 7) -> Boosted:
+    """Boosted trees; the number of rounds, `rounds` at most, is the best on a held-out share of rows, found with patience,
+    then fitted again. The search doubles its rounds until patience ends it: the first trees of a longer fit are those of a
+    shorter one, so what is kept is as if all rounds had been fitted."""
     from pyspark.ml.classification import GBTClassifier
 
     _needs(df, features)
@@ -115,10 +117,15 @@ def fit_boosted(df: DataFrame, features: list[str], rounds: int = 40, rate: floa
     ranked = global_rank(df.withColumn("_h", F.xxhash64(F.lit(seed), "loan_id").cast("double")), "_h", ["loan_id"])
     data = vectors(ranked.withColumn("held", F.col("rank") < max(1, int(n * held))), [_col(f).cast("double") for f in features]).cache()
     try:
-        learner = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=seed)
-        model = learner.fit(data.where("not held"))
-        keep = patient(model.evaluateEachIteration(data.where("held")), patience)
-        if keep < rounds:
+        learner = GBTClassifier(stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=seed)
+        tried = min(rounds, 2 * (patience + 1))
+        while True:
+            model = learner.copy({learner.maxIter: tried}).fit(data.where("not held"))
+            keep = patient(model.evaluateEachIteration(data.where("held")), patience)
+            if tried == rounds or keep + patience <= tried:
+                break
+            tried = min(rounds, 2 * tried)
+        if keep < tried:
             model = learner.copy({learner.maxIter: keep}).fit(data.where("not held"))
     finally:
         data.unpersist()

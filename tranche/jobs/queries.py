@@ -231,14 +231,14 @@ def logistic_fit(spark, d):
 
 
 def gbt_importance(spark, d):
-    model = models.fit_boosted(matrix(spark, d), COLUMNS, rounds=8, patience=4)
+    model = models.fit_boosted(matrix(spark, d), COLUMNS)
     return spark.createDataFrame(model.importances(), "feature string, importance double")
 
 
 def model_comparison(spark, d):
     sides = split(spark, d).cache()
     train, test = sides.where("not is_test"), sides.where("is_test")
-    first, second = models.fit_logistic(train, COLUMNS), models.fit_boosted(train, COLUMNS, rounds=8, patience=4)
+    first, second = models.fit_logistic(train, COLUMNS), models.fit_boosted(train, COLUMNS)
     return models.compare(metrics.evaluation(first.score(test)), metrics.evaluation(second.score(test)))
 
 
