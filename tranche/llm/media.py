@@ -40,7 +40,7 @@ class _Page(HTMLParser):
         self.items: list[dict] = []
         self.words: list[str] = []
         self.hidden = 0
-        self.figure: list[dict] | None = None
+        self.figures: list[dict] = []  # open ones: media without a caption yet, caption and its place among the items
         self.caption: list[str] | None = None
 
     def end_text(self) -> None:
@@ -49,13 +49,25 @@ class _Page(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "source": None, "digest": None, "caption": None})
 
+    def end_figure(self) -> None:
+        """A caption goes to the media of its figure, before or after it, that inner figures give none; a text if there are no media."""
+        f = self.figures.pop()
+        if f["caption"] is None:
+            if self.figures:
+                self.figures[-1]["media"] += f["media"]
+        elif f["media"]:
+            for item in f["media"]:
+                item["caption"] = f["caption"]
+        elif f["caption"]:
+            self.items.insert(f["place"], {"kind": "text", "text": f["caption"], "source": None, "digest": None, "caption": None})
+
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
             self.hidden += 1
         if tag in self.BREAKS or tag in self.MEDIA:
             self.end_text() if self.caption is None else self.caption.append(" ")
         if tag == "figure":
-            self.figure = []
+            self.figures.append({"media": [], "caption": None, "place": 0})
         if tag == "figcaption":
             self.caption = []
         if tag in self.MEDIA:
@@ -64,23 +76,23 @@ class _Page(HTMLParser):
             digest = source[len(SCHEME) :] if source.startswith(SCHEME) else a.get("data-digest")
             item = {"kind": "media", "text": None, "source": source, "digest": digest, "caption": a.get("alt") or ""}
             self.items.append(item)
-            if self.figure is not None:
-                self.figure.append(item)
+            if self.figures:
+                self.figures[-1]["media"].append(item)
 
     def handle_endtag(self, tag):
         if tag in self.HIDDEN and self.hidden:
             self.hidden -= 1
         if tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
-            for item in self.figure or []:
-                item["caption"] = text
-            if text and not self.figure:
+            if self.figures:
+                self.figures[-1].update(caption=text, place=len(self.items))
+            else:
                 self.words.append(text)
             self.caption = None
         if tag in self.BREAKS and self.caption is None:
             self.end_text()
-        if tag == "figure":
-            self.figure = None
+        if tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data):
         if not self.hidden:
@@ -94,6 +106,8 @@ def items_of(html: str | None) -> list[dict]:
     if page.caption:
         page.words.extend(page.caption)
     page.end_text()
+    while page.figures:
+        page.end_figure()
     return [{"position": i, **x} for i, x in enumerate(page.items)]
 
 
