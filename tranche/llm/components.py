@@ -1,11 +1,15 @@
-"""Connected components by alternating large and small stars; every step is a join and an aggregation."""
+"""Connected components by alternating large and small stars; every step is a join and an aggregation.
+
+Each step writes its links and deletes those of the step before. Defined results: no links, no rows; loops and links
+with a null end don't count; repeated links count once; a node in no link has no row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import discard, table
 
 
 def _hang(neighbours: DataFrame, larger_only: bool) -> DataFrame:
@@ -25,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         large = _hang(now.union(flip(now)), larger_only=True).distinct()
-        now = table(_hang(large, larger_only=False).where("u <> v").distinct())
+        before, now = now, table(_hang(large, larger_only=False).where("u <> v").distinct())
+        discard(before)
         last, seen = seen, mark(now)
         if last == seen:
             break

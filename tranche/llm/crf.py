@@ -2,13 +2,20 @@
 
 Each line is good or bad. What a line looks like, and what the lines beside it look like, weighs for a
 label, and labels of neighbouring lines weigh on each other. Forward-backward gives each line's
-probability of being good; weighted by length these make up the document's score. The model is fitted on the
-driver to a bounded sample of labelled documents (TRAIN_DOCS, the least by a hash of their id), every line
-bearing its document's label; looks are computed by the executors, for the sample as for all.
+probability of being good. Weighted by length these add up to the share of a document that is good, and its
+score is the chance that a document of that share is labelled good (a rising curve, fitted to the sample).
+
+Only documents are labelled, so lines get weak labels first: all lines of a good document are good; of a bad one
+those are bad that a model of single lines finds bad, and at least the worst. That model is fitted again to
+these labels until they stay. Lines whose labels change from one to the next are thus seen in teaching.
+
+The model is fitted on the driver to a bounded sample of labelled documents: at most TRAIN_DOCS, the least by a hash
+of their id, of at most TRAIN_LINES lines each. Looks are computed by the executors, for the sample as for all.
 
 Defined results: blank lines don't count; a text without lines, or null, scores the share of good
 documents in the sample; without any labels that share is 1 and every document scores it; rows of
-`labels` without id or quality are left out, of repeated ones the least quality counts.
+`labels` without id or quality are left out, of repeated ones the least quality counts; of different texts with one
+labelled id the one of least looks teaches.
 """
 
 from __future__ import annotations
@@ -20,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled documents teach the model.
-TRAIN_DOCS = 4000
+#: At most so many labelled documents, of at most so many lines each, teach the model.
+TRAIN_DOCS, TRAIN_LINES = 4000, 500
+#: Rounds of weak labelling, at most.
+RELABEL = 20
 ROUNDS, RATE, DECAY, SEED = 200, 0.15, 3e-4, 11
+#: Weight decay of neighbours' looks and label pairs, so that a line's own look weighs first.
+DECAY_BESIDE = 3e-2
 #: Bytes of text that are looked at together.
 STEP_BYTES = 1 << 20
 
@@ -103,10 +114,11 @@ def with_neighbours(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Crf:
-    """weight: of a feature for good over bad. move: (2, 2) of a label followed by a label; 1 is good."""
+    """weight: of a feature for good over bad. move: (2, 2) of a label followed by a label; 1 is good. curve: slope and
+    height of the log-odds of a document over its share of good lines."""
 
-    def __init__(self, weight: np.ndarray, move: np.ndarray, prior: float):
-        self.weight, self.move, self.prior = weight, move, prior
+    def __init__(self, weight: np.ndarray, move: np.ndarray, prior: float, curve: tuple[float, float] = (4.0, -2.0)):
+        self.weight, self.move, self.prior, self.curve = weight, move, prior, curve
 
     def marginals(self, doc: np.ndarray, x: np.ndarray, gradient: bool = False):
         """Probability that each line is good, by scaled forward-backward over all documents at once.
@@ -139,36 +151,83 @@ class Crf:
         p = p[:, 1] / p.sum(1)
         return (p, pairs) if gradient else p
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def lines(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per line with words: number of its text, its bytes, and its probability of being good."""
         doc, size, x = looks(texts)
+        return doc, size, self.marginals(doc, with_neighbours(doc, x)) if len(doc) else np.zeros(0)
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        doc, size, p = self.lines(texts)
         out = np.full(len(texts), self.prior)
-        if len(doc):
-            p = self.marginals(doc, with_neighbours(doc, x))
-            weight = np.bincount(doc, size, len(texts))
-            some = weight > 0
-            out[some] = (np.bincount(doc, p * size, len(texts)) / np.maximum(weight, 1))[some]
+        some, share = shares(doc, size, p, len(texts))
+        out[some] = 1 / (1 + np.exp(-(self.curve[0] * share + self.curve[1])))
         return np.clip(out, 0.0, 1.0)
 
 
-def train(doc: np.ndarray, x: np.ndarray, y: np.ndarray, prior: float, rounds: int = ROUNDS) -> Crf:
-    """y: label of each line. Ascends the mean log-likelihood per line, with weight decay, by adaptive steps."""
+def shares(doc: np.ndarray, size: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n documents have lines, and the shares of these, by length, that are good."""
+    weight = np.bincount(doc, size, n)
+    some = weight > 0
+    return some, np.bincount(doc, p * size, n)[some] / weight[some]
+
+
+def newton(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 25) -> np.ndarray:
+    """Weights of a logistic regression (the first column is 1), with weight decay per row."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (y - p) / len(y) - decay * w
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + decay * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def weak_labels(doc: np.ndarray, x: np.ndarray, good: np.ndarray, rounds: int = RELABEL) -> np.ndarray:
+    """Label of each line. good: label of its document. Lines of good documents are good. Of a bad document those are
+    bad that are likelier so by their own looks, and the worst one in any case."""
+    one = np.concatenate([np.ones((len(x), 1)), x], 1).astype(float)
+    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(doc)]))
+    y = good.copy()
+    for _ in range(rounds):
+        z = one @ newton(one, y)
+        worst = z == np.minimum.reduceat(z, begin)[of]
+        now = np.where(good > 0, 1, ((z > 0) & ~worst).astype(np.int64))
+        if (now == y).all():
+            break
+        y = now
+    return y
+
+
+def train(doc: np.ndarray, size: np.ndarray, x: np.ndarray, good: np.ndarray, prior: float, rounds: int = ROUNDS) -> Crf:
+    """good: label of each line's document. Ascends the mean log-likelihood of the weak labels per line, with weight decay,
+    by adaptive steps; then fits the curve of documents over their shares of good lines."""
     full = with_neighbours(doc, x)
     crf = Crf(np.zeros(full.shape[1]), np.zeros((2, 2)), prior)
     if not len(doc):
         return crf
+    y = weak_labels(doc, x, good)
     same = doc[1:] == doc[:-1]
     true_pairs = np.zeros((2, 2))
     np.add.at(true_pairs, (y[:-1][same], y[1:][same]), 1)
     true = full.T @ y
     n = len(doc)
+    decay = np.where(np.arange(full.shape[1]) <= x.shape[1], DECAY, DECAY_BESIDE)
     m, v = np.zeros(full.shape[1] + 4), np.zeros(full.shape[1] + 4)
     for r in range(1, rounds + 1):
         p, pairs = crf.marginals(doc, full, gradient=True)
-        g = np.r_[(true - full.T @ p) / n - DECAY * crf.weight, ((true_pairs - pairs) / n - DECAY * crf.move).ravel()]
+        g = np.r_[(true - full.T @ p) / n - decay * crf.weight, ((true_pairs - pairs) / n - DECAY_BESIDE * crf.move).ravel()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = RATE * (1 - r / (rounds + 1)) * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
         crf.weight += step[:-4]
         crf.move += step[-4:].reshape(2, 2)
+    some, share = shares(doc, size, crf.marginals(doc, full), int(doc[-1]) + 1)
+    labels = good[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])]
+    height, slope = newton(np.stack([np.ones(len(share)), share], 1), labels, 1e-4, 100)
+    crf.curve = (max(0.0, float(slope)), float(height))
     return crf
 
 
@@ -185,30 +244,49 @@ def in_steps(texts: pa.Array) -> Iterator[list[bytes]]:
 
 
 def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, quality, text to doc_id, quality, lines and looks (each line's bytes and look, as 32-bit numbers)."""
     for b in batches:
         at = 0
-        for texts in in_steps(b.column(1)):
-            doc, _, x = looks(texts)
-            rows = [x[doc == i] for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([r.tobytes() for r in rows], pa.binary())], ["quality", "looks"])
+        for texts in in_steps(b.column(2)):
+            doc, size, x = looks(texts)
+            rows = np.concatenate([size.astype(np.float32)[:, None], x], 1)
+            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(np.diff(ends)), pa.array([rows[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())], ["doc_id", "quality", "lines", "looks"])
             at += len(texts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_teach: Column, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, may_teach: Column, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Crf:
     """may_teach: condition on the doc_id column of labels."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & may_teach).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(train_docs)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    got = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = got.select("quality", "text").mapInArrow(_looked, "quality int, looks binary").toArrow()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    looked = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_looked, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, quality int, lines long, looks binary")
+    least = looked.where(F.col("lines") <= train_lines).groupBy("doc_id").agg(F.min(F.struct("looks", "quality")).alias("x"))
+    rows = least.select("x.*").toArrow()  # train_docs rows of train_lines lines at most
     y = (rows.column("quality").to_numpy() > 0).astype(np.int64)
-    width = looks([b"a"])[2].shape[1]
+    width = looks([b"a"])[2].shape[1] + 1
     xs = [np.frombuffer(r, np.float32).reshape(-1, width) for r in rows.column("looks").to_pylist()]
     order = sorted(range(len(xs)), key=lambda i: (y[i], xs[i].tobytes()))  # tasks end in any order; sums must not
     xs, y = [xs[i] for i in order], y[order]
     doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
     x = np.concatenate(xs) if xs else np.zeros((0, width), np.float32)
-    return train(doc, x, y[doc], float(y.mean()) if len(y) else 1.0)
+    return train(doc, x[:, 0].astype(float), x[:, 1:], y[doc], float(y.mean()) if len(y) else 1.0)
+
+
+def with_lines(docs: DataFrame, crf: Crf, text: str = "text", to: str = "lines") -> DataFrame:
+    """Adds each line with words, in order: its bytes and its probability of being good."""
+    kind = "array<struct<bytes:long,good:double>>"
+
+    @F.arrow_udf(kind)
+    def label(texts: pa.Array) -> pa.Array:
+        out = []
+        for some in in_steps(texts):
+            doc, size, p = crf.lines(some)
+            ends = np.searchsorted(doc, np.arange(len(some) + 1))
+            out += [[{"bytes": int(n), "good": float(g)} for n, g in zip(size[i:j], p[i:j])] for i, j in zip(ends, ends[1:])]
+        return pa.array(out, pa.list_(pa.struct([("bytes", pa.int64()), ("good", pa.float64())])))
+
+    return docs.withColumn(to, label(F.col(text)))
 
 
 def with_score(docs: DataFrame, crf: Crf, text: str = "text", to: str = "score") -> DataFrame:

@@ -1,17 +1,22 @@
 """Scoring by a hidden Markov language model.
 
 Tokens are words with A-Z in lower case and one end mark per document. A hidden state moves from token to
-token and emits the token's class, a bounded set of word endings; the class then emits the word by its
-add-one count within the class. So the model is normalised over all words, one unknown word per class
-included, what is fitted by Baum-Welch has a fixed size, and word counts stay in tables.
-
-1. Each block of documents numbers its words: the numbers and classes of its documents, and a lexicon
-   with training counts, are written once.
-2. One shuffle of the lexicons by word adds up the counts of all blocks.
-3. Baum-Welch: every task runs the scaled forward-backward recursion over its training documents and
-   emits expected counts, which are summed over tasks; all training documents, every iteration.
-4. Counts return to their blocks, which score their documents: sums of logs of counts, and the scaled
-   forward recursion over whole documents.
+token and emits the token's class; the class then emits the word by its add-one count within the class. A word
+that makes up at least one in SHARE training tokens is a class of its own, so there are at most SHARE of these;
+other words fall into ENDINGS classes by their last bytes. So the model is normalised over all words, one unknown
+word per class included, what is fitted by Baum-Welch has a bounded size, and word counts stay in tables.
+
+1. Each block of documents numbers its words: the numbers of its documents' tokens, and a lexicon with
+   training counts, are written once.
+2. Counts are summed by word, map-side first. They return to the lexicons by a join on the word, in which a word
+   has a row per block at most, a two-millionth of the tokens, however frequent it is.
+3. Each block meets its counts and writes its documents as class numbers, with their sums of log counts. Training
+   documents lie in FOLDS columns.
+4. Baum-Welch, incremental: every task runs the scaled forward-backward recursion over its training documents of
+   one fold and emits expected counts, which are summed over tasks and replace that fold's former counts; then the
+   model is fitted to the counts of all folds. A pass goes through all folds, so through all training documents.
+   Passes end when one raises the log-likelihood by less than GAIN of it.
+5. Scaled forward recursion over whole documents.
 
 Defined results: null or blank text is an end mark alone; without training documents every count is 0 and
 the start model scores; rows, repeated or not, are scored one by one.
@@ -21,30 +26,33 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import discard, table
 
-STATES, CLASSES, ITERATIONS, SEED, ENDING = 4, 512, 3, 7, 2
+STATES, SHARE, ENDINGS, ENDING, FOLDS, SEED = 4, 4096, 255, 2, 8, 7
+#: A pass that gains less ends the fit; PASSES would end it too, but no fit seen so far came near.
+GAIN, PASSES = 1e-3, 50
 #: Words after which a block ends, and tokens that a recursion holds at a time.
-BLOCK_WORDS, STEP_TOKENS = 2_000_000, 250_000
+BLOCK_WORDS, STEP_TOKENS = 4_000_000, 250_000
 #: Rows that leave a block at a time.
 SLICE_DOCS, SLICE_WORDS = 500, 50_000
 
 
 def class_of(word: bytes) -> int:
-    """0 for the end mark, else a number for the word's last bytes."""
-    return 1 + crc32(word[-ENDING:]) % (CLASSES - 1) if word else 0
+    """0 for the end mark, else a number for the word's last bytes; frequent words get numbers beyond these."""
+    return 1 + crc32(word[-ENDING:]) % ENDINGS if word else 0
 
 
 def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, held_out to rows of documents (ids, classes) and of the block's lexicon (word, class, index, n)."""
+    """doc_id, text, held_out to rows of documents (ids) and of the block's lexicon (word, ending's class, index, n)."""
     part, block = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
     docs: list[tuple] = []
     seen: defaultdict[bytes, int] = defaultdict()
@@ -53,23 +61,22 @@ def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal seen, size, block
-        cls = np.fromiter(map(class_of, seen), np.int32, len(seen))
         n = np.zeros(len(seen), np.int64)
         for _, held, ids in docs:
             if not held:
                 np.add.at(n, ids, 1)
         key = (part << 32) | block
-        names = ["block", "doc_id", "held_out", "ids", "classes", "word", "cls", "idx", "n"]
+        names = ["block", "doc_id", "held_out", "ids", "word", "cls", "idx", "n"]
         null = lambda n, *types: [pa.nulls(n, t) for t in types]
         for i in range(0, len(docs), SLICE_DOCS):
             some = docs[i : i + SLICE_DOCS]
             d = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * d, pa.int64()), pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.bool_()), pa.array([x[2].tobytes() for x in some], pa.binary()), pa.array([cls[x[2]].astype(np.uint16).tobytes() for x in some], pa.binary()), *null(d, pa.binary(), pa.int32(), pa.int32(), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * d, pa.int64()), pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.bool_()), pa.array([x[2].tobytes() for x in some], pa.binary()), *null(d, pa.binary(), pa.int32(), pa.int32(), pa.int64())], names)
         words = list(seen)
         for i in range(0, len(words), SLICE_WORDS):
             some = words[i : i + SLICE_WORDS]
             w, at = len(some), slice(i, i + SLICE_WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(w, key)), *null(w, pa.int64(), pa.bool_(), pa.binary(), pa.binary()), pa.array(some, pa.binary()), pa.array(cls[at]), pa.array(np.arange(i, i + w, dtype=np.int32)), pa.array(n[at])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(w, key)), *null(w, pa.int64(), pa.bool_(), pa.binary()), pa.array(some, pa.binary()), pa.array(np.fromiter(map(class_of, some), np.int32, w)), pa.array(np.arange(i, i + w, dtype=np.int32)), pa.array(n[at])], names)
         docs.clear()
         seen = defaultdict()
         seen.default_factory = seen.__len__
@@ -193,59 +200,132 @@ def count_expected(hmm: Hmm):
     return run
 
 
-def fit(sequences: DataFrame, shares: np.ndarray, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Hmm, list[float]]:
-    """sequences: classes (binary of 16-bit numbers) of all training documents. Also the log-likelihood before each iteration."""
-    hmm, logs = Hmm.begin(shares, states), []
-    for _ in range(iterations):
-        found = sequences.mapInArrow(count_expected(hmm), "what string, at int, n double").groupBy("what", "at").agg(F.sum("n").alias("n")).toPandas()
-        if found.empty:
+FOLD = [f"fold_{i}" for i in range(FOLDS)]
+
+
+def fold_counts(hmm: Hmm, sequences: DataFrame) -> dict[str, np.ndarray] | None:
+    """Expected counts, summed over tasks, of sequences of classes (binary of 16-bit numbers); None if there are none."""
+    found = sequences.mapInArrow(count_expected(hmm), "what string, at int, n double").groupBy("what", "at").agg(F.sum("n").alias("n")).toPandas()  # a row per parameter
+    if found.empty:
+        return None
+    shapes = {"start": hmm.start.shape, "move": hmm.move.shape, "emit": hmm.emit.shape, "log": (1,)}
+    got = {k: np.zeros(int(np.prod(s))) for k, s in shapes.items()}
+    for k, part in found.groupby("what"):
+        got[k][part["at"].to_numpy()] = part["n"].to_numpy()
+    return {k: v.reshape(shapes[k]) for k, v in got.items()}
+
+
+def fit(coded: DataFrame, shares: np.ndarray, states: int = STATES, passes: int = PASSES, gain: float = GAIN) -> tuple[Hmm, list[float]]:
+    """coded: a column of class sequences for each fold. Also the log-likelihood that each pass met."""
+    hmm, logs, counts = Hmm.begin(shares, states), [], {}
+    for _ in range(passes):
+        total = 0.0
+        for fold in FOLD:
+            got = fold_counts(hmm, coded.where(F.col(fold).isNotNull()).select(fold))
+            if got is not None:
+                total += float(got.pop("log")[0])
+                counts[fold] = got
+                hmm = Hmm.fitted({k: sum(c[k] for c in counts.values()) for k in got}, shares)
+        logs.append(total)
+        if not counts or len(logs) > 1 and logs[-1] - logs[-2] < gain * abs(logs[-2]):
             break
-        shapes = {"start": hmm.start.shape, "move": hmm.move.shape, "emit": hmm.emit.shape, "log": (1,)}
-        got = {k: np.zeros(int(np.prod(s))) for k, s in shapes.items()}
-        for k, part in found.groupby("what"):
-            got[k][part["at"].to_numpy()] = part["n"].to_numpy()
-        got = {k: v.reshape(shapes[k]) for k, v in got.items()}
-        logs.append(float(got.pop("log")[0]))
-        hmm = Hmm.fitted(got, shares)
     return hmm, logs
 
 
-def score_block(hmm: Hmm, base: float, within: np.ndarray):
-    """base: log10 of the unigram denominator. within: log10 of each class's denominator."""
+@dataclass
+class Vocabulary:
+    """frequent: words that are classes of their own. tokens, types: training tokens and different words of each class."""
+
+    frequent: list[bytes]
+    tokens: np.ndarray
+    types: np.ndarray
+
+    @property
+    def shares(self) -> np.ndarray:
+        return (self.tokens + 1) / (self.tokens + 1).sum()
+
+
+def vocabulary(totals: DataFrame) -> Vocabulary:
+    """totals: word, cls (of its ending), c."""
+    n = totals.agg(F.sum("c")).first()[0] or 0
+    often = totals.where((F.col("c") * SHARE >= n) & (F.col("c") > 0) & (F.octet_length("word") > 0)).select("word", "c", "cls").orderBy("word").collect()  # SHARE rows at most
+    tokens, types = (np.zeros(1 + ENDINGS + len(often)) for _ in range(2))
+    for r in totals.where("c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # a row per ending
+        tokens[r.cls], types[r.cls] = r.n, r.v
+    for i, r in enumerate(often, 1 + ENDINGS):
+        tokens[r.cls], types[r.cls] = tokens[r.cls] - r.c, types[r.cls] - 1
+        tokens[i], types[i] = r.c, 1
+    return Vocabulary([bytes(r.word) for r in often], tokens, types)
+
+
+READY = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, " + ", ".join(f"{c} binary" for c in [*FOLD, "rest"])
+
+
+def classify(base: float, within: np.ndarray):
+    """A block's documents and lexicon (idx, cls, c) to rows of READY. base: log10 of the unigram denominator. within: log10 of
+    each class's denominator. A training document's classes stand in the column of its fold, others' in rest."""
 
     def run(docs: pa.Table, lexicon: pa.Table) -> pa.Table:
-        known = np.zeros(lexicon.num_rows, np.int64)
-        cls = np.zeros(lexicon.num_rows, np.int64)
+        known, cls = np.zeros(lexicon.num_rows, np.int64), np.zeros(lexicon.num_rows, np.int64)
         at = lexicon.column("idx").to_numpy()
         known[at], cls[at] = lexicon.column("c").to_numpy(), lexicon.column("cls").to_numpy()
         logs = np.log10(known + 1.0)
-        seqs = [np.frombuffer(x.as_buffer(), np.int32) for x in docs.column("ids")]
-        n = np.array([len(s) for s in seqs], np.int64)
-        words = np.array([logs[s].sum() for s in seqs])
-        seen = np.array([np.count_nonzero(known[s]) for s in seqs], np.int64)
-        inside = np.array([within[cls[s]].sum() for s in seqs])
-        hidden = np.zeros(len(seqs))
-        for held, steps in pieces([cls[s] for s in seqs]):
-            hidden[np.array(held)[steps.order]] = forward(hmm, steps)[0]
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n, "n_known": seen, "base_score": words - n * base, "score": hidden / np.log(10) + words - inside})
+        inside, small = within[cls], cls.astype(np.uint16)
+        rows = {c: [] for c in ("n_tokens", "n_known", "base_score", "within", *FOLD, "rest")}
+        for d, held, x in zip(docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist(), docs.column("ids"), strict=True):
+            ids = np.frombuffer(x.as_buffer(), np.int32)
+            words = float(logs[ids].sum())
+            rows["n_tokens"].append(len(ids))
+            rows["n_known"].append(int(np.count_nonzero(known[ids])))
+            rows["base_score"].append(words - len(ids) * base)
+            rows["within"].append(words - float(inside[ids].sum()))
+            own = "rest" if held else FOLD[crc32(str(d).encode()) % FOLDS]
+            for c in [*FOLD, "rest"]:
+                rows[c].append(small[ids].tobytes() if c == own else None)
+        types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "within": pa.float64()}
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: pa.array(v, types.get(k, pa.binary())) for k, v in rows.items()}})
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: rows that are only scored."""
+def code(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Vocabulary]:
+    """(documents as classes with their sums of log counts, see READY; the vocabulary's figures)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    coded = table(rows.mapInArrow(number_words, "block long, doc_id long, held_out boolean, ids binary, classes binary, word binary, cls int, idx int, n long"))
-    by_word = Window.partitionBy("word")
-    lexicon = coded.where("word is not null").select("block", "word", "cls", "idx", "n", F.sum("n").over(by_word).alias("c"), (F.col("block") == F.min("block").over(by_word)).alias("first"))
-    lexicon = table(lexicon.select("block", "cls", "idx", "n", "c", "first"))
-    per_class = lexicon.groupBy("cls").agg(F.sum("n").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).toPandas()  # CLASSES rows at most
-    tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    tokens[per_class["cls"].to_numpy(int)], types[per_class["cls"].to_numpy(int)] = per_class["n"], per_class["v"]
-    shares = (tokens + 1) / (tokens + 1).sum()
-    hmm, _ = fit(coded.where("ids is not null and not held_out").select("classes"), shares, states, iterations)
-    base = float(np.log10(tokens.sum() + types.sum() + 1))
-    ready = score_block(hmm, base, np.log10(tokens + types + 1))
-    texts = coded.where("ids is not null").select("block", "doc_id", "held_out", "ids")
-    scored = texts.groupBy("block").cogroup(lexicon.select("block", "idx", "cls", "c").groupBy("block")).applyInArrow(ready, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens.sum())).cast("long").alias("train_tokens"), "base_score", "score")
+    numbered = table(rows.mapInArrow(number_words, "block long, doc_id long, held_out boolean, ids binary, word binary, cls int, idx int, n long"), compression="zstd")
+    lexicon = numbered.where("word is not null")
+    totals = table(lexicon.groupBy("word", "cls").agg(F.sum("n").alias("c")), compression="zstd")
+    words = vocabulary(totals)
+    spark = docs.sparkSession
+    frequent = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(words.frequent, 1 + ENDINGS)], "word binary, own int")
+    counts = totals.join(F.broadcast(frequent), "word", "left").select("word", F.coalesce("own", "cls").alias("cls"), "c")
+    met = lexicon.select(F.col("block").alias("of"), "word", "idx").join(counts, "word").select("of", "idx", "cls", "c")
+    ready = classify(float(np.log10(words.tokens.sum() + words.types.sum() + 1)), np.log10(words.tokens + words.types + 1))
+    coded = table(numbered.where("ids is not null").select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(met.groupBy("of")).applyInArrow(ready, READY), compression="zstd")
+    discard(numbered)
+    discard(totals)
+    return coded, words
+
+
+def scored(coded: DataFrame, hmm: Hmm) -> DataFrame:
+    """READY rows to doc_id, held_out, n_tokens, n_known, base_score, score."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(6)]
+            hidden = np.zeros(len(seqs))
+            for held, steps in pieces(seqs):
+                hidden[np.array(held)[steps.order]] = forward(hmm, steps)[0]
+            score = hidden / np.log(10) + b.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(score)], names)
+
+    classes = F.coalesce(*FOLD, "rest")
+    return coded.select(*names[:5], "within", classes).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", states: int = STATES, passes: int = PASSES, gain: float = GAIN) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: rows that are only scored."""
+    coded, words = code(docs, held_out, doc_id, text)
+    hmm, _ = fit(coded, words.shares, states, passes, gain)
+    found = scored(coded, hmm)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(words.tokens.sum())).cast("long").alias("train_tokens"), "base_score", "score")

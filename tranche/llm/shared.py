@@ -23,16 +23,50 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder in spark.checkpoint.dir, else the context's checkpoint folder. Where neither is set, a local folder for
+    a local master; on a cluster that is an error, since executors would each write to a disk of their own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what table() wrote, once all that was made of it has been written itself."""
+    _delete(df.sparkSession, df._table_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of this application; results that weren't written yet are lost with them."""
+    _delete(spark, _folder(spark))
+
+
+def text_key(text: str | Column = "text") -> Column:
+    """The first 16 bytes of a text's SHA-256 (null: empty); tells texts apart whose rows have one doc_id, or none."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
 def in_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import table
+from .shared import table, text_key
 
 BITS, SHINGLE, DIFFER, BUCKET, SMALL, STEP = 64, 3, 3, 4096, 12, 1 << 16
 
@@ -183,14 +183,9 @@ def links(fps: DataFrame, differ: int = DIFFER, bucket: int = BUCKET) -> DataFra
 NO_ID = -(1 << 63)
 
 
-def part_of(text: str = "text") -> Column:
-    """Tells the texts of rows with one doc_id, or none, apart."""
-    return F.hash(F.coalesce(F.col(text), F.lit("")))
-
-
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, differ: int = DIFFER, bucket: int = BUCKET) -> DataFrame:
     """doc_id, part, fp, component_id for every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), part_of(text).alias("part"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("part"), F.col(text).alias("text"))
     marked = table(with_fingerprint(rows, shingle=shingle).select("doc_id", "part", "fp"))
     nodes = table(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = table(components(links(nodes.select("fp"), differ, bucket)))
@@ -203,4 +198,4 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One document of each group: that with the smallest doc_id. Groups without any id stay whole."""
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("part").alias("_part")).distinct()
-    return docs.join(first, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (part_of() == F.col("_part")), "left_semi")
+    return docs.join(first, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (text_key() == F.col("_part")), "left_semi")

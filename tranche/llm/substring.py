@@ -5,22 +5,25 @@ start somewhere in a document with a smaller doc_id; every word that a repeated
 
 1. Equal texts fold: only the smallest doc_id of a text goes on. Every window of another copy is
    repeated, so its outcome is known.
-2. Every window has an anchor, the least hash of its runs of `RUN` words (leftmost of equals), so equal
-   windows have equal anchors. Neighbouring windows with one anchor form a segment. Anchors that occur
+2. Every window has an anchor, the least hash of its runs of `RUN` words, so equal windows have equal
+   anchors. Neighbouring windows with one anchor form a passage, cut at PIECE windows. Anchors that occur
    in one document only are set aside; they can't hold a repeated window.
-3. The segments of the other anchors are folded by their words and dealt to shards by anchor, so all
-   places of a window meet in one shard. Anchors with more than HOT different segments are cut into
-   single windows dealt by the window's own hash: no shard depends on one anchor.
-4. Each shard builds an FM-index over its segments, a wavelet tree over the Burrows-Wheeler transform
-   in word numbers, and drops everything else. Its segments are then streamed word by word from the
-   right through backward search, all at once; matching statistics are cut at `width`, and where they
-   reach it the interval's smallest doc_id tells who holds the window first.
+3. The passages of the other anchors are folded by their words and dealt to shards by anchor, so all
+   places of a window meet in one shard. Per anchor, passages of all documents but the last are
+   indexed, since a later document may repeat them, and those of all but the first are streamed.
+   Anchors with more than HOT different passages are cut into single windows dealt by the window's own
+   hash: no shard depends on one anchor.
+4. Each shard builds an FM-index over what is indexed: a wavelet tree over the Burrows-Wheeler
+   transform in word numbers, a byte a row for what rows share with the row before, sampled places, and the
+   least owner where a window has several rows. Passages are streamed from the right through backward
+   search, all at once; where a word doesn't fit, the match is shortened until it does. Matching
+   statistics are cut at `width`; where they reach it, the least owner of the interval is reported.
 5. Per document the intervals of repeated windows are joined to its words.
 
-Equality is decided on whole words, never on hashes. Defined results: null text has no words; rows with
-null doc_id come after all others in order and lose what any document with an id holds, and one of two
-such copies loses nothing to the other; rows that repeat a doc_id don't repeat each other; documents
-shorter than a window lose nothing.
+Texts and passages are folded by 128 bits of their SHA-256; an anchor only decides where windows meet, and there
+whole words are compared. Defined results: null text has no words; rows with null doc_id come after all
+others in order and lose what any document with an id holds, and one of two such copies loses nothing to
+the other; rows that repeat a doc_id don't repeat each other; documents shorter than a window lose nothing.
 """
 
 from __future__ import annotations
@@ -32,13 +35,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_slices, table
+from .shared import in_slices, table, text_key
 
 WIDTH, RUN = 50, 8
-#: Words of segments that a shard holds, about.
+#: Windows of a passage at most: what a stream takes in steps. Long repetitive texts have many equal passages, which fold.
+PIECE = 2048
+#: Words of passages that a shard holds, about.
 SHARD_WORDS = 400_000
-#: Different segments of one anchor, beyond which its windows are dealt singly.
+#: Different passages of one anchor, beyond which its windows are dealt singly.
 HOT = 4096
+#: Every so many words of a text the index keeps the place of their row.
+SAMPLE = 32
+#: Bytes of passages that leave a task at a time.
+OUT_BYTES = 4 << 20
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
 
@@ -81,7 +90,7 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(data: np.ndarray, width: int = WIDTH, run: int = RUN) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of words; for each segment its anchor, the word it starts at and its number of windows."""
+    """Number of words; for each passage its anchor, the word it starts at and its number of windows."""
     begin, end = word_bounds(data)
     n = len(begin)
     none = np.zeros(0, np.int64)
@@ -95,12 +104,16 @@ def anchors(data: np.ndarray, width: int = WIDTH, run: int = RUN) -> tuple[int,
     np.cumsum(word * up[:n], out=total[1:])
     runs = _mixed((total[run:] - total[:-run]) * down[: n - run + 1])
     least = np.lib.stride_tricks.sliding_window_view(runs, width - run + 1).argmin(axis=1) + np.arange(n - width + 1)
-    start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return n, runs[least[start]].view(np.int64), start, np.diff(np.r_[start, n - width + 1])
+    anchor = runs[least].view(np.int64)
+    start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    windows = np.diff(np.r_[start, n - width + 1])
+    parts = -(-windows // PIECE)
+    skip = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
+    return n, np.repeat(anchor[start], parts), np.repeat(start, parts) + skip, np.minimum(PIECE, np.repeat(windows, parts) - skip)
 
 
 def scan(width: int, run: int):
-    """doc_id, text to n_words, text_hash, kept_sha256 of the whole text and the document's segments."""
+    """doc_id, text to n_words, text_hash, kept_sha256 of the whole text and the document's passages."""
     import hashlib
 
     item = pa.struct([("h", pa.int64()), ("s", pa.int32()), ("m", pa.int32())])
@@ -123,20 +136,36 @@ def scan(width: int, run: int):
 
 
 def cut(width: int):
-    """doc_id, part, text and segments to rows of anchor, place and words."""
+    """doc_id, part, text and passages to rows of anchor, place and words."""
+    names = ["doc_id", "h", "s", "m", "part", "words"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in names]
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            cols = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*cols[:-1], cols[-1].cast(pa.string())], names)
+
         for b in in_slices(batches, 2, 1 << 20):
-            ids, parts, hs, ss, ms, words = [], [], [], [], [], []
             for d, p, t, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 got = t.as_buffer().to_pybytes().split()
                 joined = b" ".join(got)
-                ends = (np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) + 1) - 1).tolist()
+                ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) + 1) - 1
+                del got
                 for x in segs:
                     s, m = x["s"], x["m"]
-                    ids.append(d), parts.append(p), hs.append(x["h"]), ss.append(s), ms.append(m)
-                    words.append(joined[ends[s - 1] + 1 if s else 0 : ends[s + m + width - 2]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(hs, pa.int64()), pa.array(ss, pa.int32()), pa.array(ms, pa.int32()), pa.array(words, pa.binary()).cast(pa.string())], ["doc_id", "part", "h", "s", "m", "words"])
+                    words = joined[ends[s - 1] + 1 if s else 0 : ends[s + m + width - 2]]
+                    for c, v in zip(out, (d, x["h"], s, m, p, words), strict=True):
+                        c.append(v)
+                    size += len(words)
+                    if size >= OUT_BYTES:
+                        yield flush()
+                        out, size = [[] for _ in names], 0
+            if size:
+                yield flush()
+                out, size = [[] for _ in names], 0
 
     return rows
 
@@ -180,16 +209,50 @@ class Wavelet:
 
     def rank(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each c stands before lo and before hi."""
-        start = self.start[c]
-        return self.down(c, lo) - start, self.down(c, hi) - start
+        both = self.down(np.concatenate([c, c]), np.concatenate([lo, hi])) - np.tile(self.start[c], 2)
+        return both[: len(c)], both[len(c) :]
+
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it stands before."""
+        c = np.zeros(len(at), np.int64)
+        for bit, level in self.levels:
+            ones = level.ones(at)
+            on = level.ones(at + 1) > ones
+            c |= on.astype(np.int64) << bit
+            at = np.where(on, level.zeros + ones, at - ones)
+        return c, at - self.start[c]
+
+
+class Shared:
+    """How many words, cut at a byte, each row shares with the row before; the least of each 64 rows."""
+
+    def __init__(self, lcp: np.ndarray):
+        self.rows = np.zeros((len(lcp) // 64 + 1, 64), np.uint8)  # what follows the last row shares nothing with it
+        self.rows.ravel()[: len(lcp)] = lcp
+        self.least = self.rows.min(axis=1)
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return self.rows[i >> 6, i & 63]
+
+    def reach(self, i: np.ndarray, q: np.ndarray, back: bool) -> np.ndarray:
+        """The nearest row, from each i on (or back), that shares fewer than q words with the row before; q above 0."""
+        spots = np.arange(64)
+        block = i >> 6
+        near = (self.rows[block] < q[:, None]) & (spots <= (i & 63)[:, None] if back else spots >= (i & 63)[:, None])
+        far = np.flatnonzero(~near.any(axis=1))
+        while len(far):
+            block[far] += -1 if back else 1
+            far = far[self.least[block[far]] >= q[far]]
+        moved = np.flatnonzero(block != i >> 6)
+        near[moved] = self.rows[block[moved]] < q[moved, None]
+        return block * 64 + (63 - near[:, ::-1].argmax(axis=1) if back else near.argmax(axis=1))
 
 
 class FmIndex:
-    """Index over texts in word numbers from 1 on; searches patterns of up to `width` words.
+    """Index over texts in word numbers from 1 on, for matches of up to `width` words.
 
-    Suffixes are sorted by their first words only, 64 for a width of 50: all that such patterns ask for.
-    For each row the bounds of those that share its first `width` words are kept, so that a match of
-    width + 1 words can be cut to its first `width`, and the smallest owner among them.
+    Suffixes are sorted by their first words only, 64 for a width of 50: all that such matches ask for. A
+    window that stands in one row only finds its owner by walking back to a sampled place.
     """
 
     def __init__(self, words: np.ndarray, starts: np.ndarray, owners: np.ndarray, width: int):
@@ -197,57 +260,101 @@ class FmIndex:
         n = len(words)
         rank, depth, kept = words.astype(np.int64), 1, {}
         while depth < width:
-            kept = {depth: rank}  # of the longest runs that fit into a window
+            kept[depth] = rank
             ahead = np.zeros(n, np.int64)
             ahead[: n - depth] = rank[depth:] + 1
             _, rank = np.unique(rank * np.int64(n + 2) + np.where(rank_ends(words, depth), 0, ahead), return_inverse=True)
             depth *= 2
+        kept[depth] = rank
         order = np.argsort(rank, kind="stable")
-        half = max(d for d in kept if d <= width) if depth != width else depth
-        same = np.ones(n, bool)
-        same[0] = False
-        if depth == width:
-            same[1:] = rank[order[1:]] == rank[order[:-1]]
-        else:
-            over = np.minimum(order + (width - half), n - 1)
-            same[1:] = (kept[half][order[1:]] == kept[half][order[:-1]]) & (kept[half][over[1:]] == kept[half][over[:-1]])
-        first = np.flatnonzero(~same)
-        group = np.cumsum(~same) - 1
-        ends = np.r_[first[1:], n]
-        owner = np.repeat(owners, np.diff(np.r_[starts, n]))[order]
-        self.low, self.high = first[group].astype(np.int32), ends[group].astype(np.int32)
-        self.owner = np.minimum.reduceat(owner, first)[group]
-        self.width = width
+        lcp = np.zeros(n, np.int64)
+        for d in sorted(kept, reverse=True):  # words shared with the row before, largest steps first
+            a, b = np.minimum(order[1:] + lcp[1:], n - 1), np.minimum(order[:-1] + lcp[1:], n - 1)
+            lcp[1:] += np.where((lcp[1:] < width) & (kept[d][a] == kept[d][b]), d, 0)
+        del kept, rank
+        self.width, self.size = width, n
+        self.shared = Shared(np.minimum(lcp, width))
         top = int(words.max(initial=0))
         self.bwt = Wavelet(np.where(order > 0, words[order - 1], 0), top)
         self.first = np.r_[0, np.cumsum(np.bincount(words, minlength=top + 1))]
-        self.rows = n
+        place = order - starts[np.searchsorted(starts, order, "right") - 1]
+        sampled = place % SAMPLE == 0
+        self.sampled, self.text = BitRank(sampled), (np.searchsorted(starts, order[sampled], "right") - 1).astype(np.int32)
+        self.owners = owners
+        begin = np.flatnonzero(lcp < width)
+        several = np.diff(np.r_[begin, n]) > 1
+        mark = np.zeros(n, bool)
+        mark[begin[several]] = True
+        least = np.minimum.reduceat(owners[np.searchsorted(starts, order, "right") - 1], begin) if n else owners
+        self.several, self.least = BitRank(mark), least[several]
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that start with c followed by what rows lo to hi start with."""
         a, b = self.bwt.rank(c, lo, hi)
         return self.first[c] + a, self.first[c] + b
 
-    def stream(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each word of texts that the index holds, the smallest owner of the window that starts there; -1 where
-        the text ends before a whole window. All texts are gone through from the right at once.
+    def owner(self, row: np.ndarray) -> np.ndarray:
+        """The owner of each row's text: back word by word to a sampled row, at the latest the text's first."""
+        row, out, open_ = row.copy(), np.zeros(len(row), self.owners.dtype), np.arange(len(row))
+        while len(open_):
+            at = row[open_]
+            before = self.sampled.ones(at)
+            found = self.sampled.ones(at + 1) > before
+            out[open_[found]] = self.owners[self.text[before[found]]]
+            open_ = open_[~found]
+            c, k = self.bwt.access(row[open_])
+            row[open_] = self.first[c] + k
+        return out
+
+    def stream(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts, each followed by a 0, in the index's numbers (others: below 0), to their matching statistics: for each word
+        how many words from there on, `width` at most, the index holds in one place, and where these are `width` the
+        least owner, else -1. All texts are gone through from the right at once.
         """
         ends = np.r_[starts[1:], len(words)] - 1
         size = ends - starts
-        out = np.full(len(words), -1, np.int64)
+        length, least = np.zeros(len(words), np.uint8), np.full(len(words), -1, np.int64)
         order = np.argsort(-size, kind="stable")
         ends, size = ends[order], size[order]
-        lo, hi = np.zeros(len(size), np.int64), np.full(len(size), self.rows, np.int64)
-        for length in range(1, int(size.max(initial=0)) + 1):
-            live = int(np.searchsorted(-size, -length, "right"))
-            at = ends[:live] - length
-            lo, hi = self.step(words[at], lo[:live], hi[:live])
-            if (lo >= hi).any():
-                raise ValueError("a streamed text is not in the index")
-            if length >= self.width:  # cut the match to its first words
-                out[at] = self.owner[lo]
-                lo, hi = self.low[lo].astype(np.int64), self.high[lo].astype(np.int64)
-        return out
+        lo, hi, have = np.zeros(len(size), np.int64), np.full(len(size), self.size, np.int64), np.zeros(len(size), np.int64)
+        alone = []
+        for t in range(1, int(size.max(initial=0)) + 1):
+            live = int(np.searchsorted(-size, -t, "right"))
+            at = ends[:live] - t
+            c = words[at].astype(np.int64)
+            lo[:live][c < 0], hi[:live][c < 0], have[:live][c < 0] = 0, self.size, 0
+            open_ = np.flatnonzero(c > 0)
+            while len(open_):
+                a, b = self.step(c[open_], lo[open_], hi[open_])
+                fits = a < b
+                done = open_[fits]
+                lo[done], hi[done] = a[fits], b[fits]
+                have[done] += 1
+                open_ = open_[~fits]
+                if len(open_):  # shorten the match to what more rows begin with
+                    q = np.maximum(self.shared[lo[open_]], self.shared[hi[open_]]).astype(np.int64)
+                    self.widen(lo, hi, have, open_, q)
+            over = np.flatnonzero(have[:live] > self.width)
+            if len(over):
+                self.widen(lo, hi, have, over, np.full(len(over), self.width))
+            length[at] = have[:live]
+            whole = np.flatnonzero(have[:live] == self.width)
+            one = hi[whole] - lo[whole] == 1
+            alone.append(np.stack([at[whole[one]], lo[whole[one]]]))
+            least[at[whole[~one]]] = self.least[self.several.ones(lo[whole[~one]])]
+        if alone:
+            at, row = np.concatenate(alone, axis=1)
+            least[at] = self.owner(row)
+        return length, least
+
+    def widen(self, lo: np.ndarray, hi: np.ndarray, have: np.ndarray, which: np.ndarray, q: np.ndarray) -> None:
+        """Cuts matches to their first q words."""
+        have[which] = q
+        none = which[q == 0]
+        lo[none], hi[none] = 0, self.size
+        some, q = which[q > 0], q[q > 0]
+        if len(some):
+            lo[some], hi[some] = self.shared.reach(lo[some], q, True), self.shared.reach(hi[some], q, False)
 
 
 def rank_ends(words: np.ndarray, depth: int) -> np.ndarray:
@@ -258,25 +365,31 @@ def rank_ends(words: np.ndarray, depth: int) -> np.ndarray:
 
 
 def search_shard(width: int):
-    """All segments of a shard (seg, words, doc) to runs of windows with the smallest doc_id that holds them."""
+    """A shard's passages (seg, words, doc, indexed, streamed) to runs of windows with the smallest doc_id that holds them."""
 
     def run(t: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        flat: list[int] = []
-        starts = []
-        for w in t.column("words"):
-            starts.append(len(flat))
-            flat.extend(number.setdefault(x, len(number) + 1) for x in w.as_buffer().to_pybytes().split())
-            flat.append(0)
-        words, begin = np.array(flat, np.int32), np.array(starts, np.int64)
-        del flat
-        index = FmIndex(words, begin, t.column("doc").to_numpy(), width)
-        least = index.stream(words, begin)
+
+        def numbers(which: str, of) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+            rows, flat, starts = t.filter(t.column(which)), [], []
+            for w in rows.column("words"):
+                starts.append(len(flat))
+                flat.extend(map(of, w.as_buffer().to_pybytes().split()))
+                flat.append(0)
+            return np.array(flat, np.int32), np.array(starts, np.int64), rows
+
+        words, begin, held = numbers("indexed", lambda x: number.setdefault(x, len(number) + 1))
+        if not len(words):
+            return pa.table({"seg": pa.array([], pa.binary()), "off": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "least": pa.array([], pa.int64())})
+        index = FmIndex(words, begin, held.column("doc").to_numpy(), width)
+        words, begin, asked = numbers("streamed", lambda x: number.get(x, -1))
+        number.clear()
+        least = index.stream(words, begin)[1]
         at = np.flatnonzero(least >= 0)
         of = np.searchsorted(begin, at, "right") - 1
         new = np.r_[True, (np.diff(at) != 1) | (np.diff(of) != 0) | (np.diff(least[at]) != 0)] if len(at) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        return pa.table({"seg": t.column("seg").combine_chunks().take(pa.array(of[first])), "off": pa.array((at[first] - begin[of[first]]).astype(np.int32)), "n": pa.array(np.diff(np.r_[first, len(at)]).astype(np.int32)), "least": pa.array(least[at[first]])})
+        return pa.table({"seg": asked.column("seg").combine_chunks().take(pa.array(of[first])), "off": pa.array((at[first] - begin[of[first]]).astype(np.int32)), "n": pa.array(np.diff(np.r_[first, len(at)]).astype(np.int32)), "least": pa.array(least[at[first]])})
 
     return run
 
@@ -307,18 +420,8 @@ def remove(width: int):
     return rows
 
 
-def digest(text: Column) -> Column:
-    """The first 16 bytes of a text's SHA-256."""
-    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
-
-
-def part_of(text: str = "text") -> Column:
-    """Tells the texts of rows with one doc_id, or none, apart."""
-    return F.hash(digest(F.coalesce(F.col(text), F.lit(""))))
-
-
 def shard_runs(parts: DataFrame, width: int) -> DataFrame:
-    """parts: seg, doc, words, shard. Returns seg, off, n, least: runs of n windows from word off of a segment on."""
+    """parts: seg, doc, words, indexed, streamed, shard. Returns seg, off, n, least: runs of n windows from word off of a segment on."""
     return parts.groupBy("shard").applyInArrow(search_shard(width), "seg binary, off int, n int, least long")
 
 
@@ -328,37 +431,39 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
     scanned = table(docs.mapInArrow(scan(width, run), "doc_id long, n_words long, text_hash binary, whole_sha256 string, segments array<struct<h:long,s:int,m:int>>"))
     firsts = table(scanned.groupBy("text_hash").agg(F.min("doc_id").alias("holder"), F.min(F.struct("doc_id", "segments"))["segments"].alias("segments")))
-    # part tells texts apart whose rows have the same doc_id
-    part = F.hash("text_hash").alias("part")  # as part_of()
+    part = F.col("text_hash").alias("part")  # tells texts apart whose rows have the same doc_id; as text_key()
     places = firsts.select(F.col("holder").alias("doc_id"), part, F.explode("segments").alias("x")).select("doc_id", "part", "x.h", "x.s", "x.m")
-    shared = table(places.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
+    shared = table(places.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b"))
     asked = places.join(shared, "h", "left_semi").groupBy("doc_id", "part").agg(F.collect_list(F.struct("h", "s", "m")).alias("segments"))
-    texts = docs.withColumn("part", part_of())
+    texts = docs.withColumn("part", text_key())
     segments = table(
-        texts.join(asked, ["doc_id", "part"]).select("doc_id", "part", "text", "segments").mapInArrow(cut(width), "doc_id long, part int, h long, s int, m int, words string")
-        .withColumn("seg", digest(F.col("words")))
+        texts.join(asked, ["doc_id", "part"]).select("doc_id", "part", "text", "segments").mapInArrow(cut(width), "doc_id long, h long, s int, m int, part binary, words string")
+        .withColumn("seg", text_key("words"))
     )
-    single = table(segments.groupBy("seg", "h").agg(F.min("doc_id").alias("doc"), F.first("words").alias("words"), F.first("m").alias("m")))
+    single = segments.groupBy("seg", "h").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.first("words").alias("words"), F.first("m").alias("m"))
+    # only what a later document may ask for is indexed, only what an earlier one may hold is streamed
+    single = table(single.join(shared, "h").select("seg", "h", "doc", "last", "words", "m", (F.col("doc") < F.col("b")).alias("indexed"), (F.col("last") > F.col("a")).alias("streamed")))
     weight = single.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m") + width).alias("w"))
     total, most = weight.agg(F.sum("w"), F.max("n")).first()
     shards = F.lit(max(1, -(-(total or 0) // shard_words)))
+    cols = ["seg", "doc", "words", "indexed", "streamed"]
     if (most or 0) <= hot:
-        runs = shard_runs(single.select("seg", "doc", "words", F.pmod(F.xxhash64("h"), shards).alias("shard")), width)
+        runs = shard_runs(single.select(*cols, F.pmod(F.xxhash64("h"), shards).alias("shard")), width)
     else:
         heavy = table(weight.where(F.col("n") > hot).select("h"))
-        rest = single.join(heavy, "h", "left_anti").select("seg", "doc", "words", F.pmod(F.xxhash64("h"), shards).alias("shard"))
+        rest = single.join(heavy, "h", "left_anti").select(*cols, F.pmod(F.xxhash64("h"), shards).alias("shard"))
         split = F.split("words", " ")
         windows = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.array_join(F.slice(split, i + 1, width), " "))
-        pieces = table(single.join(heavy, "h", "left_semi").select("seg", "doc", F.posexplode(windows).alias("skip", "words")).withColumn("window", digest(F.col("words"))))
-        folded = pieces.groupBy("window").agg(F.min("doc").alias("doc"), F.first("words").alias("words"))
-        found = shard_runs(folded.select(F.col("window").alias("seg"), "doc", "words", F.pmod(F.xxhash64("window"), shards).alias("shard")), width)
+        pieces = table(single.join(heavy, "h", "left_semi").select("seg", "doc", "last", F.posexplode(windows).alias("skip", "words")).withColumn("window", text_key("words")))
+        folded = pieces.groupBy("window").agg(F.min("doc").alias("doc"), F.max("last").alias("last"), F.first("words").alias("words")).where("doc < last")
+        found = shard_runs(folded.select(F.col("window").alias("seg"), "doc", "words", F.lit(True).alias("indexed"), F.lit(True).alias("streamed"), F.pmod(F.xxhash64("window"), shards).alias("shard")), width)
         back = pieces.select("seg", "skip", "window").join(table(found.select(F.col("seg").alias("window"), "least")), "window")
         runs = shard_runs(rest, width).unionByName(back.select("seg", F.col("skip").alias("off"), F.lit(1).alias("n"), "least"))
     runs = table(runs.groupBy("seg").agg(F.collect_list(F.struct("off", "n", "least")).alias("runs")))
     met = segments.select("doc_id", "part", "s", "seg").join(runs, "seg").select("doc_id", "part", "s", F.explode("runs").alias("r")).where(F.col("r.least") < F.col("doc_id"))
-    hit = met.groupBy("doc_id", "part").agg(F.collect_list(F.struct((F.col("s") + F.col("r.off")).alias("s"), F.col("r.n").alias("n"))).alias("runs"))
+    hit = table(met.groupBy("doc_id", "part").agg(F.collect_list(F.struct((F.col("s") + F.col("r.off")).alias("s"), F.col("r.n").alias("n"))).alias("runs")))
     touched = texts.join(hit, ["doc_id", "part"]).select("doc_id", "part", "text", "runs")
-    touched = table(touched.mapInArrow(remove(width), "doc_id long, part int, n_removed long, kept_sha256 string, kept string").distinct())
+    touched = table(touched.mapInArrow(remove(width), "doc_id long, part binary, n_removed long, kept_sha256 string, kept string").distinct())
     known = scanned.select("doc_id", part, "n_words", "text_hash", "whole_sha256").join(firsts.select("text_hash", "holder"), "text_hash")
     copy = (F.col("doc_id") > F.col("holder")) & (F.col("n_words") >= width)
     own = F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id")
@@ -372,9 +477,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
 
 def apply_removal(docs: DataFrame, outcome: DataFrame, changed: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; those of which nothing is left go."""
-    keyed = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumnRenamed("part", "_part").drop("doc_id")
-    emptied = keyed(outcome.where("n_removed > 0 and n_removed = n_words").select("doc_id", "part")).distinct()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_part", part_of())
-    fate = keyed(changed).join(emptied.withColumn("_gone", F.lit(True)), ["_id", "_part"], "full_outer")
-    left = rows.join(fate, ["_id", "_part"], "left").where(F.col("_gone").isNull())
-    return left.withColumn("text", F.coalesce("kept", "text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    key = lambda c: F.struct(F.coalesce(c("doc_id").cast("long"), F.lit(LAST)).alias("id"), c("part").alias("part"))
+    emptied = outcome.where("n_removed > 0 and n_removed = n_words").select(key(F.col).alias("_key"), F.lit(None).cast("string").alias("kept")).distinct()
+    fate = changed.select(key(F.col).alias("_key"), "kept").unionByName(emptied).groupBy("_key").agg(F.count("kept").alias("n"), F.max("kept").alias("kept"), F.count_if(F.col("kept").isNull()).alias("gone"))
+    fate = fate.select("_key", F.struct("kept", (F.col("gone") > 0).alias("gone")).alias("_fate"))
+    row = F.struct(*docs.columns).alias("_row")
+    rows = docs.select(row, F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), text_key().alias("part")).alias("_key"))
+    left = rows.join(fate, "_key", "left").where(~F.coalesce("_fate.gone", F.lit(False)))
+    new = F.coalesce("_fate.kept", "_row.text")
+    made = {"text": new, "n_chars": F.length(new).cast("long")}
+    return left.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
