@@ -50,12 +50,9 @@ def library():
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
-def test_bpe_equals_library(text):
-    from tokenizers import Tokenizer
-
+def test_bpe_equals_library(library, text):
     own = bpe.loaded(queries.tokenizer_path())
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    ids = t.encode(text, add_special_tokens=False).ids
+    ids = library.encode(text, add_special_tokens=False).ids
     assert own.encode([text])[0].tolist() == ids and own.decode(ids) == text
 
 
@@ -214,7 +211,7 @@ def planted(seed, n=60):
 
 @pytest.mark.parametrize(("width", "run", "shard", "hot"), [(12, 3, 400, 4096), (12, 3, 10**6, 2), (8, 2, 200, 4096), (50, 8, 400_000, 4096)])
 def test_substring_equals_brute_force(spark, width, run, shard, hot):
-    rows = planted(2) + [(i + 100 if i is not None else None, t) for i, t in AWKWARD if i != 5]
+    rows = planted(2) + [(i + 100 if i is not None else None, t) for i, t in AWKWARD]
     outcome, changed = substring.dedup(documents(spark, rows).withColumn("words", F.lit(1)).repartition(4), width=width, run=run, shard_words=shard, hot=hot)
     got = sorted((tuple(r) for r in outcome.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
     assert got == brute_removal(rows, width)
@@ -231,6 +228,45 @@ def test_substring_empty_and_long(spark):
     assert got == {1: 0, 2: 20_000, 3: 0, 4: 200}
 
 
+def test_long_repetitive_texts(spark):
+    """Windows fold into few passages, however long the texts are."""
+    n = 3_000_000
+    rows = [(1, "a " * n), (2, "b " + "a " * n), (3, "ab " * 1000 + "a " * 60)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup(documents(spark, rows))[0].collect()}
+    assert got == {1: (n, 0), 2: (n + 1, n), 3: (1060, 60)}
+
+
+@pytest.mark.parametrize(("width", "vocab", "seed"), [(12, 3, 0), (50, 2, 1), (50, 400, 2), (8, 5, 3), (3, 1, 4)])
+def test_matching_statistics_of_texts_outside_the_index(width, vocab, seed):
+    rnd = random.Random(seed)
+    indexed = [[rnd.randrange(1, vocab + 1) for _ in range(rnd.randrange(1, 400))] for _ in range(9)] + [[1] * 150, [1, *[vocab] * 90]]
+    owners = [rnd.randrange(100) for _ in indexed]
+    asked = []
+    for _ in range(12):  # pieces of indexed texts between words of their own and words that the index lacks
+        text = []
+        for _ in range(5):
+            t = rnd.choice(indexed)
+            a = rnd.randrange(len(t))
+            text += t[a : a + rnd.randrange(1, 130)] + [rnd.choice([-1, 1, vocab])] * rnd.randrange(3)
+        asked.append(text)
+    flat = lambda texts: (np.array([x for t in texts for x in [*t, 0]], np.int32), np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1])
+    words_, starts = flat(indexed)
+    index = substring.FmIndex(words_, starts, np.array(owners), width)
+    length, least = index.stream(*flat(asked))
+    places = {}
+    for t, o in zip(indexed, owners, strict=True):
+        for i in range(len(t)):
+            for n in range(1, min(width, len(t) - i) + 1):
+                k = tuple(t[i : i + n])
+                places[k] = min(o, places.get(k, o))
+    at = 0
+    for t in asked:
+        for i in range(len(t)):
+            n = max((n for n in range(1, min(width, len(t) - i) + 1) if tuple(t[i : i + n]) in places), default=0)
+            assert length[at + i] == n and least[at + i] == (places[tuple(t[i : i + n])] if n == width else -1)
+        at += len(t) + 1
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(0)
     v = rng.integers(0, 37, 1000)

@@ -251,21 +251,23 @@ class Shared:
 class FmIndex:
     """Index over texts in word numbers from 1 on, for matches of up to `width` words.
 
-    Suffixes are sorted by their first words only, 64 for a width of 50: all that such matches ask for. A
-    window that stands in one row only finds its owner by walking back to a sampled place.
+    Suffixes are sorted whole, so that a window which stands in one row only finds its owner by walking back to a
+    sampled place; what rows share is kept up to `width` words.
     """
 
     def __init__(self, words: np.ndarray, starts: np.ndarray, owners: np.ndarray, width: int):
         """words: all texts, each followed by a 0. starts: where each begins. owners: a number for each."""
         n = len(words)
-        rank, depth, kept = words.astype(np.int64), 1, {}
-        while depth < width:
-            kept[depth] = rank
+        rank, depth, kept, more = words.astype(np.int64), 1, {}, True
+        while more or depth < width:  # a step that tells no more places apart is the last that could
+            if max(kept, default=0) < width:
+                kept[depth] = rank
             ahead = np.zeros(n, np.int64)
-            ahead[: n - depth] = rank[depth:] + 1
-            _, rank = np.unique(rank * np.int64(n + 2) + np.where(rank_ends(words, depth), 0, ahead), return_inverse=True)
-            depth *= 2
-        kept[depth] = rank
+            ahead[: max(0, n - depth)] = rank[depth:] + 1
+            finer = np.unique(rank * np.int64(n + 2) + np.where(rank_ends(words, depth), 0, ahead), return_inverse=True)[1]
+            more, rank, depth = finer.max(initial=0) > rank.max(initial=0), finer, 2 * depth
+        if max(kept, default=0) < width:
+            kept[depth] = rank
         order = np.argsort(rank, kind="stable")
         lcp = np.zeros(n, np.int64)
         for d in sorted(kept, reverse=True):  # words shared with the row before, largest steps first
