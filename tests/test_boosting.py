@@ -7,7 +7,7 @@ import inspect
 from pyspark.sql import functions as F
 
 from tranche.jobs import models, queries
-from tranche.operators.ranks import global_rank
+from tranche.operators.splits import at_random
 
 from .conftest import DATA
 
@@ -34,8 +34,7 @@ def test_doubling_search_keeps_what_all_rounds_keep(spark):
 
     names, rounds = ["fico", "oltv", "dti"], 12
     m = queries.matrix(spark, DATA).select("loan_id", "y", *names).cache()
-    ranked = global_rank(m.withColumn("_h", F.xxhash64(F.lit(7), "loan_id").cast("double")), "_h", ["loan_id"])
-    data = models.vectors(ranked.withColumn("held", F.col("rank") < int(m.count() * 0.15)), [F.col(f).cast("double") for f in names]).cache()
+    data = models.vectors(at_random(m, 0.15, 7).withColumnRenamed("is_test", "held"), [F.col(f).cast("double") for f in names]).cache()
     whole = GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=4, minInstancesPerNode=20, seed=7).fit(data.where("not held"))
     want = models.patient(whole.evaluateEachIteration(data.where("held")), 1)
     got = models.fit_boosted(m, names, rounds=rounds, patience=1)

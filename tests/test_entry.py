@@ -24,7 +24,7 @@ def rows(df):
     return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", ["parse_acquisition", "load_stats", "rejected_rows", "loan_labels", "vintage_cohorts", "join_accounting", "evaluation_report", "psi_features", "reason_codes", "proxy_power"])
+@pytest.mark.parametrize("name", ["parse_acquisition", "load_stats", "rejected_rows", "loan_labels", "vintage_cohorts", "join_accounting", "evaluation_report", "evaluation_full", "hash_split", "psi_features", "reason_codes", "proxy_power", "permutation_importance", "custom_benchmark", "group_attach"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -61,7 +61,7 @@ def test_deciles(spark):
 @pytest.mark.parametrize("n", [1, 7, 10, 101, 1003])
 def test_slices_are_ntile(spark, n):
     df = spark.range(n).select(F.col("id").cast("string").alias("loan_id"), (F.col("id") % 13).cast("double").alias("v"))
-    got = ranks.global_rank(df, "v", ["loan_id"], buckets=5).withColumn("s", ranks.slice_of(F.col("rank"), F.lit(n), 10) + 1)
+    got = ranks.global_rank(df, "v", ["loan_id"], per_bucket=max(1, n // 5)).withColumn("s", ranks.slice_of(F.col("rank"), F.lit(n), 10) + 1)
     from pyspark.sql import Window
 
     want = df.withColumn("s", F.ntile(10).over(Window.orderBy("v", "loan_id")))
@@ -76,6 +76,23 @@ def test_quantile_cuts(spark, n, k):
     assert got == sorted({ordered[math.ceil(b * n / k2) - 1] for b in range(1, k2)})
 
 
+def test_buckets_split_a_shared_value(spark):
+    df = spark.range(20_000).select(F.format_string("L%06d", "id").alias("loan_id"), F.when(F.col("id") % 10 == 0, F.col("id") / 7).otherwise(0.5).alias("v"))
+    sizes = [r["count"] for r in ranks.bucketed(df, ["v", "loan_id"], 1000).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2000
+    ranked = ranks.global_rank(df, "v", ["loan_id"], per_bucket=1000).toPandas().sort_values(["v", "loan_id"])
+    assert (ranked["rank"].to_numpy() == np.arange(20_000)).all()
+
+
+def test_running_totals_by_group(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("g"), (F.col("id") * 7919 % 3001).cast("double").alias("v"), (F.col("id") % 3).alias("n"))
+    df = df.union(spark.createDataFrame([(None, None, 1), ("a", None, 2)], "g string, v double, n long"))
+    got = ranks.running_before(df, "v", ["n"], ["g"], per_bucket=100).where("g is not null").toPandas()
+    for _, part in got.groupby("g"):
+        part = part.sort_values("v", na_position="first")
+        assert (part["n_before"].to_numpy() == np.r_[0, part["n"].cumsum()[:-1]]).all()
+
+
 def psi(spark, a, b, k=10):
     df = spark.createDataFrame([(False, float(x)) for x in a] + [(True, float(x)) for x in b], "is_test boolean, x double")
     return drift.psi(drift.long_counts(df, ["x"], ["is_test"]), k).first().psi
@@ -95,6 +112,11 @@ def test_splits(spark):
     n, test = side.agg(F.count(F.lit(1)), F.count_if("is_test")).first()
     assert n == m.count() and test == n // 4
     assert not side.exceptAll(splits.at_random(m, 0.25, 7)).count() and side.exceptAll(splits.at_random(m, 0.25, 8)).count()
+    repeated = m.where("loan_id < 'L000000040'").select("loan_id", F.explode(F.array(*[F.lit(i) for i in range(50)])).alias("vintage"), "y")
+    sides = splits.at_random(repeated.union(repeated.withColumn("loan_id", F.lit(None))), 0.3, 7)
+    n, test = sides.agg(F.count(F.lit(1)), F.count_if("is_test")).first()
+    assert test == int(n * 0.3) and not sides.exceptAll(splits.at_random(repeated.union(repeated.withColumn("loan_id", F.lit(None))).repartition(5), 0.3, 7)).count()
+    assert splits.at_random(m.limit(1), 0.1).first().is_test and splits.at_random(m.where("false"), 0.1).count() == 0
     with pytest.raises(ValueError, match="side empty"):
         splits.by_vintage(m, 2050)
     with pytest.raises(ValueError):
@@ -128,14 +150,45 @@ def test_logistic_matches_newton(spark, tmp_path):
         models.fit_logistic(m.where("y = 1"), names)
 
 
-def test_boosted(spark):
+def test_boosted(spark, tmp_path):
     names = ["fico", "oltv", "dti"]
     m = queries.matrix(spark, DATA).select("loan_id", "y", *names).cache()
     model = models.fit_boosted(m, names, rounds=3, patience=2)
     assert abs(sum(x for _, x in model.importances()) - 1) < 1e-9 and 1 <= model.rounds <= 3
-    shares = models.permutation_importance(model, m, names, repeats=1, sample=500)
-    assert max(shares, key=lambda x: x[1])[0] == "fico"
+    shares = models.permutation_importance(model, m, names, repeats=1)
+    assert models.top_importances(shares, 1)[0][0] == "fico" and abs(sum(x for _, x in shares) - 1) < 1e-9
     assert models.patient([3, 2, 1, 2, 2, 0], 2) == 3 and models.patient([3, 2, 1, 2, 0], 3) == 5
+    store.save_boosted(spark, model, str(tmp_path / "m"))
+    again = store.load_boosted(spark, str(tmp_path / "m"))
+    assert (again.features, again.rounds, again.importances()) == (model.features, model.rounds, model.importances())
+    assert not model.score(m).exceptAll(again.score(m)).count()
+    with pytest.raises(ValueError, match="no logistic model"):
+        store.load_logistic(spark, str(tmp_path / "m" / "about"))
+    store.save_logistic(spark, TOY, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no boosted model"):
+        store.load_boosted(spark, str(tmp_path / "t"))
+
+
+def test_importances_in_order():
+    assert models.top_importances([("a", 0.2), ("b", 0.5), ("c", 0.2), ("d", 0.1)], 3) == [("b", 0.5), ("a", 0.2), ("c", 0.2)]
+
+
+@pytest.mark.parametrize("block", [1, 2, 50, 1 << 12])
+def test_permutation_deals_every_value_once(spark, block):
+    """A model that is the feature itself: the losses are those of values dealt round each block."""
+    df = spark.range(120).select(F.format_string("L%03d", "id").alias("loan_id"), (F.col("id") % 3 == 0).cast("int").alias("y"), ((F.col("id") * 37 % 101) / 101).alias("x"), F.lit(0.0).alias("z"))
+    model = models.Logistic(["x", "z"], [0.0, 0.0], [1.0, 1.0], [1.0, 0.0], 0.0)
+    from tranche.functions.scalars import seeded
+
+    rows = df.select("y", "x", seeded(7, F.col("loan_id")).alias("a"), seeded(8, F.col("loan_id")).alias("b")).collect()
+    blocks, parts = -(-120 // block), {}
+    for r in sorted(rows, key=lambda r: r.b):
+        parts.setdefault(r.a % blocks, []).append(r)
+    p = lambda x: 1 / (1 + math.exp(-x))
+    start = np.mean([(p(r.x) - r.y) ** 2 for r in rows])
+    dealt = np.mean([(p(part[(i + k) % len(part)].x) - r.y) ** 2 for part in parts.values() for i, r in enumerate(part) for k in (1, 2, 3)])
+    got = dict(models.permutation_importance(model, df, ["x", "z"], block=block))
+    assert got == {"x": 1.0 if dealt > start + 1e-12 else 0.0, "z": 0.0}
 
 
 TOY = models.Logistic(["fico", "oltv", "dti"], [0.0] * 3, [1.0] * 3, [-1.0, 0.5, 0.25], -2.0)
@@ -171,6 +224,8 @@ def test_out_of_time(spark):
     report = out_of_time.validate(m, ["fico", "oltv", "dti", "orig_rate"], 1998)
     table = {r.metric: r for r in out_of_time.headline(report.metrics).collect()}
     assert list(table) == list(out_of_time.HEADLINE) and table["auc"].naive > 0.5
+    curves = {(r.protocol, r.part) for r in report.curves.select("protocol", "part").distinct().collect()}
+    assert len(curves) == 6 and report.curves.where("part = 'decile' and metric = 'n' and protocol = 'oot'").agg(F.sum("value")).first()[0] == report.metrics.where("metric = 'n' and protocol = 'oot'").first().value
     assert report.feature_psi.count() == 4 and report.score_psi.first().psi >= 0
     compared = models.compare(report.metrics.where("protocol = 'oot'").drop("protocol"), report.metrics.where("protocol = 'naive'").drop("protocol"))
     assert compared.count() == 8

@@ -51,3 +51,6 @@ def logistic(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-z))
 
 
+def seeded(seed: int, *parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of seed and parts (nulls left out), which any SQL engine can give too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary")), 1, 15), 16, 10).cast("long")

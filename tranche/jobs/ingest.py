@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,8 +19,13 @@ class Dataset:
     missing: DataFrame
 
 
-def build(acquisition_lines: DataFrame, performance_lines: DataFrame, horizon: int = labels.HORIZON, target: str = "d90", strict: bool = False) -> Dataset:
+def build(
+    acquisition_lines: DataFrame, performance_lines: DataFrame, horizon: int = labels.HORIZON, target: str = "d90", strict: bool = False,
+    own: list[features.Feature] | None = None, benchmark: Mapping[int, float] = features.BENCHMARK,
+) -> Dataset:
+    """own: features in place of the usual ones. benchmark: yearly rates that the usual rate_spread is taken from."""
+    chosen = own or features.spec(benchmark)
     acquisitions = parsed(acquisition_lines, ACQUISITION, strict)
     months = parsed(performance_lines, PERFORMANCE, strict)
-    every = features.joined(acquisitions, labels.label_loans(months, horizon), target=target)
-    return Dataset(features.matrix(features.feature_rows(every)), features.accounting(every), features.missing_by_field(every))
+    every = features.joined(acquisitions, labels.label_loans(months, horizon), chosen, target)
+    return Dataset(features.matrix(features.feature_rows(every), chosen), features.accounting(every), features.missing_by_field(every))

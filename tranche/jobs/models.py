@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tranche.functions.scalars import logistic
-from tranche.operators.ranks import global_rank
+from tranche.functions.scalars import logistic, seeded
+from tranche.operators.splits import at_random
 
 
 def _col(name: str) -> Column:
@@ -113,9 +113,8 @@ def fit_boosted(df: DataFrame, features: list[str], rounds: int = 500, rate: flo
     from pyspark.ml.classification import GBTClassifier
 
     _needs(df, features)
-    n = _checked(df)
-    ranked = global_rank(df.withColumn("_h", F.xxhash64(F.lit(seed), "loan_id").cast("double")), "_h", ["loan_id"])
-    data = vectors(ranked.withColumn("held", F.col("rank") < max(1, int(n * held))), [_col(f).cast("double") for f in features]).cache()
+    _checked(df)
+    data = vectors(at_random(df, held, seed).withColumnRenamed("is_test", "held"), [_col(f).cast("double") for f in features]).cache()
     try:
         learner = GBTClassifier(stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=seed)
         tried = min(rounds, 2 * (patience + 1))
@@ -132,28 +131,41 @@ def fit_boosted(df: DataFrame, features: list[str], rounds: int = 500, rate: flo
     return Boosted(features, model, keep)
 
 
-def permutation_importance(model, df: DataFrame, features: list[str], repeats: int = 3, seed: int = 7, sample: int | None = 20_000) -> list[tuple[str, float]]:
+#: Rows among which values are dealt anew, about.
+BLOCK = 1 << 12
+
+
+def permutation_importance(model, df: DataFrame, features: list[str], repeats: int = 3, seed: int = 7, block: int = BLOCK) -> list[tuple[str, float]]:
     """How much the Brier score suffers when a feature's values are dealt out anew, as shares of the whole; gains count 0.
 
-    Rows are paired with those of another hashed order by rank. sample: rows looked at, by hash; None: all.
+    All rows count. They fall into blocks by a hash of the loan and stand there in a seeded order; the r-th time a row
+    gets the values of the r-th row after it, round the block. One shuffle brings donors to their rows, and one pass scores
+    every feature and repeat.
     """
-    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), "loan_id").cast("double"))
-    rows = rows.orderBy("_h").limit(sample) if sample else rows
-    base = global_rank(rows, "_h", ["loan_id"]).cache()
-    loss = lambda d: model.score(d).agg(F.avg((F.col("pd") - F.col("y")) ** 2)).first()[0]
-    try:
-        start, out = loss(base), []
-        for f in features:
-            worse = 0.0
-            for r in range(repeats):
-                other = base.select(_col(f).alias("_other"), F.xxhash64(F.lit(seed + r + 1), "loan_id").cast("double").alias("_g"), "loan_id")
-                other = global_rank(other, "_g", ["loan_id"]).select("rank", "_other")
-                worse += loss(base.join(other, "rank").withColumn(f, F.col("_other"))) - start
-            out.append((f, max(0.0, worse / repeats)))
-    finally:
-        base.unpersist()
-    total = sum(x for _, x in out)
-    return [(f, x / total if total > 0 else 0.0) for f, x in out]
+    _needs(df, features)
+    _checked(df)
+    blocks = -(-df.count() // block)
+    rows = df.select("loan_id", F.col("y").cast("double").alias("y"), F.array(*[_col(f).cast("double") for f in features]).alias("_own"))
+    rows = rows.withColumn("_block", F.pmod(seeded(seed, F.col("loan_id")), F.lit(blocks)))
+    whole = Window.partitionBy("_block").orderBy(seeded(seed + 1, F.col("loan_id")), "loan_id")
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.array(*[F.nth_value("_own", i).over(every) for i in range(1, repeats + 1)])
+    place = F.row_number().over(whole)
+    donor = lambda r: F.coalesce(F.lead("_own", r).over(whole), F.element_at(first, ((place + r - 1) % F.count(F.lit(1)).over(every) + 1).cast("int")))
+    met = rows.select("y", "_own", F.array(*[donor(r) for r in range(1, repeats + 1)]).alias("_donors"))
+    # feature -1: the row as it is
+    tries = met.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1)))).withColumn("_r", F.explode(F.when(F.col("_f") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(repeats - 1)))))
+    value = lambda i: F.when(F.col("_f") == i, F.get(F.get("_donors", F.col("_r")), F.lit(i))).otherwise(F.get("_own", F.lit(i)))
+    scored = model.score(tries.select("_f", "y", *[value(i).alias(f) for i, f in enumerate(features)]))
+    loss = {r["_f"]: r["loss"] for r in scored.groupBy("_f").agg(F.avg((F.col("pd") - F.col("y")) ** 2).alias("loss")).collect()}
+    worse = [max(0.0, loss[i] - loss[-1]) for i in range(len(features))]
+    total = sum(worse)
+    return [(f, x / total if total > 0 else 0.0) for f, x in zip(features, worse, strict=True)]
+
+
+def top_importances(importances: list[tuple[str, float]], n: int = 5) -> list[tuple[str, float]]:
+    """The n greatest, equal ones in the order of the features."""
+    return sorted(importances, key=lambda x: -x[1])[:n]
 
 
 def compare(first: DataFrame, second: DataFrame) -> DataFrame:

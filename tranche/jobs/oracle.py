@@ -8,14 +8,26 @@ from tranche.operators import features
 from tranche.sources import testtables as tt
 from tranche.sources.schemas import DEFAULT_CODES
 
-from .queries import ACQ_SHOWN, COLUMNS, FIXED, LAST_TRAIN
+from .models import BLOCK
+from .queries import ACQ_SHOWN, COLUMNS, FIXED, LAST_TRAIN, OWN_RATES
 
 PLAIN = {t: t for t in tt.TABLES}
 NUMBERS = [c for c in COLUMNS if "=" not in c]
+SEED, TEST_SHARE, REPEATS = 7, 0.25, 3
 RATES = "(values " + ", ".join(f"({y}, cast({v} as double), {i})" for i, (y, v) in enumerate(features.BENCHMARK.items())) + ") as t(year, rate, pos)"
+OWN = "(values " + ", ".join(f"({y}, cast({v} as double), {i})" for i, (y, v) in enumerate(OWN_RATES.items())) + ") as t(year, rate, pos)"
 VOCAB = {f.name: f.vocab for f in features.spec() if f.vocab}
 
 
+def seeded(seed: int, what: str) -> str:
+    return f"cast(concat('0x', substr(md5(concat('{seed}:', {what})), 1, 15)) as bigint)"
+
+
+def part(f: str) -> str:
+    m, s, c = next((m, s, c) for x, m, s, c in zip(FIXED.features, FIXED.means, FIXED.stds, FIXED.coefs, strict=True) if x == f)
+    return f"({q(f)} - {m}) / {s} * {c}"
+
+
 def q(c: str) -> str:
     return f'"{c}"'
 
@@ -67,6 +79,14 @@ PARTS = {
     "ranked": "select *, row_number() over (partition by loan_id order by contribution desc, position) as rank from contrib where contribution > 0",
     "par": "select state as grp, count(*) as n, avg(pd_raw) as mean_predicted, avg(y) as realised, avg(pd_raw) - avg(y) as gap from (select *, raw as pd_raw from sc) group by state",
     "gsize": "select state as grp, count(*) as n, cast(least(10, greatest(2, floor(count(*) / 20.0))) as integer) as k from sc group by state having count(*) >= 30",
+    "blocked": f"select loan_id, y, z, [{', '.join(part(f) for f in COLUMNS)}] as p, {seeded(SEED, 'loan_id')} % cast(ceil(count(*) over () / {BLOCK}.0) as bigint) as block, {seeded(SEED + 1, 'loan_id')} as mark from sc",
+    "placed": "select *, row_number() over (partition by block order by mark, loan_id) as i, count(*) over (partition by block) as n from blocked",
+    "dealt": f"""select b + 1 as b, avg(pow(1 / (1 + exp(-(own.z - own.p[b + 1] + donor.p[b + 1]))) - own.y, 2)) as loss
+      from placed own, range(1, {REPEATS + 1}) as t(r), range(0, {len(COLUMNS)}) as u(b) join placed donor on donor.block = own.block and donor.i = (own.i + r - 1) % own.n + 1 group by b""",
+    "worse": f"select [{', '.join(repr(f) for f in COLUMNS)}][b] as feature, b as position, greatest(0, loss - (select avg(pow(1 / (1 + exp(-z)) - y, 2)) from sc)) as w from dealt",
+    "import": "select feature, position, case when sum(w) over () > 0 then w / sum(w) over () else 0 end as importance from worse",
+    "relia": "select cast(b - 1 as integer) as bin, count(*) as n, avg(pd) as mean_predicted, avg(y) as realised, min(pd) as p_lo, max(pd) as p_hi from (select *, ntile(10) over (order by pd, y, loan_id) as b from sc) group by b",
+    "decis": "select cast(b as integer) as bin, count(*) as n, avg(pd) as mean_predicted, avg(y) as realised, avg(y) / (select avg(y) from sc) as lift from (select *, ntile(10) over (order by pd desc, loan_id) as b from sc) group by b",
     "alls": "select feature, value, row_number() over (partition by feature order by value) as i, count(*) over (partition by feature) as n from plong",
     "kcuts": "select feature, k, list(distinct value) as c from alls, range(2, 11) as t(k), range(1, 10) as u(b) where b < k and i = (b * n + k - 1) // k group by feature, k",
     "kall": "select feature, k, len(list_filter(coalesce(c, []), lambda e: e < value)) as bin, count(*) as e from plong cross join range(2, 11) as t(k) left join kcuts using (feature, k) group by all",
@@ -118,9 +138,17 @@ SELECTS = {
     "brier": f"select n, {rd('brier')} from onerow",
     "brier_skill": f"select {rd('climatology')}, {rd('1 - brier / climatology', 'skill')} from onerow",
     "calibration_in_large": f"select {rd('mean_predicted')}, {rd('realised')}, {rd('realised / mean_predicted', 'ratio')} from onerow",
-    "reliability_quantile": f"select cast(b - 1 as integer) as bin, count(*) as n, {rd('avg(pd)', 'mean_predicted')}, {rd('avg(y)', 'realised')}, {rd('min(pd)', 'p_lo')}, {rd('max(pd)', 'p_hi')} from (select *, ntile(10) over (order by pd, y, loan_id) as b from sc) group by b",
+    "reliability_quantile": f"select bin, n, {rd('mean_predicted')}, {rd('realised')}, {rd('p_lo')}, {rd('p_hi')} from relia",
     "reliability_uniform": f"select bin, count(*) as n, {rd('avg(pd)', 'mean_predicted')}, {rd('avg(y)', 'realised')}, {rd('bin / 10.0', 'p_lo')}, {rd('(bin + 1) / 10.0', 'p_hi')} from (select *, cast(least(9, floor(pd * 10)) as integer) as bin from sc) group by bin",
-    "decile_table": f"select cast(b as integer) as decile, count(*) as n, {rd('avg(pd)', 'mean_predicted')}, {rd('avg(y)', 'realised')}, {rd('avg(y) / (select avg(y) from sc)', 'lift')} from (select *, ntile(10) over (order by pd desc, loan_id) as b from sc) group by b",
+    "decile_table": f"select bin as decile, n, {rd('mean_predicted')}, {rd('realised')}, {rd('lift')} from decis",
+    "evaluation_full": """select 'overall' as part, 0 as bin, unnest(['n', 'realised', 'mean_predicted', 'ratio', 'auc', 'brier', 'climatology', 'skill']) as metric, round(unnest([n, realised, mean_predicted, realised / mean_predicted, auc, brier, climatology, 1 - brier / climatology]), 6) as value from onerow
+      union all select 'reliability', bin, unnest(['n', 'mean_predicted', 'realised', 'p_lo', 'p_hi']), round(unnest([n, mean_predicted, realised, p_lo, p_hi]), 6) from relia
+      union all select 'decile', bin, unnest(['n', 'mean_predicted', 'realised', 'lift']), round(unnest([n, mean_predicted, realised, lift]), 6) from decis""",
+    "hash_split": f"select loan_id, row_number() over (order by {seeded(SEED, 'loan_id')}, loan_id) <= greatest(1, floor(count(*) over () * {TEST_SHARE})) as is_test from mat",
+    "permutation_importance": f"select feature, {rd('importance')} from import",
+    "top_importances": f"select cast(row_number() over (order by import.importance desc, position) as integer) as rank, feature, {rd('import.importance', 'importance')} from import order by import.importance desc, position limit 5",
+    "custom_benchmark": f"""select loan_id, {rd('l.orig_rate - rate', 'rate_spread')}, {rd('l.ocltv - l.oltv', 'second_lien')} from loanrows l join acq a using (loan_id)
+      join (select yr, arg_min(rate, abs(yr - year) * 1000 + pos) as rate from (select distinct year(orig_date) as yr from acq), {OWN} group by yr) on yr = year(a.orig_date)""",
     "evaluation_report": "select unnest(['n', 'realised', 'mean_predicted', 'ratio', 'auc', 'brier', 'climatology', 'skill']) as metric, unnest([round(n, 6), round(realised, 6), round(mean_predicted, 6), round(realised / mean_predicted, 6), round(auc, 6), round(brier, 6), round(climatology, 6), round(1 - brier / climatology, 6)]) as value from onerow",
     "quantile_cuts": "select distinct percentile as cut from (select unnest(percentile_list) as percentile from (select quantile_disc(fico, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as percentile_list from mat))",
     "psi_score": f"select feature, {rd('psi')} from psis where feature = 'pd'",
@@ -129,7 +157,7 @@ SELECTS = {
     "contributions": f"select loan_id, feature, {rd('contribution')} from contrib",
     "reason_codes": f"select loan_id, cast(rank as integer) as rank, feature, {rd('contribution')}, {rd('value')} from ranked where rank <= 4",
     "explained_loans": f"select loan_id, {rd('raw', 'pd')}, {rd('z', 'log_odds')}, coalesce(n, 0) as n_reasons, first as first_reason from sc left join (select loan_id, least(4, count(*)) as n, arg_min(feature, rank) as first from ranked group by loan_id) using (loan_id)",
-    "group_attach": "select coalesce(a.state, 'UNKNOWN') as grp, count(*) as n from mat m left join (select loan_id, state from acq where loan_id not like '%3') a using (loan_id) group by 1",
+    "group_attach": "select coalesce(a.state, 'UNKNOWN') as grp, count(*) as n from mat m left join (select case when loan_id like '%3' then concat('X', loan_id) else loan_id end as loan_id, state from acq) a using (loan_id) group by 1",
     "group_parity": f"select grp, n, {rd('mean_predicted')}, {rd('realised')}, {rd('gap')} from par",
     "group_pooling": "select case when n < 30 then 'OTHER' else g end as grp, cast(sum(n) as bigint) as n from (select concat(state, '-', cast(vintage as varchar)) as g, count(*) as n from mat group by 1) group by 1",
     "proxy_power": f"select feature, {rd('power')} from power",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tranche.operators.drift import feature_psi, long_counts, psi
-from tranche.operators.metrics import SCORE_DIGITS, evaluation, united
+from tranche.operators.metrics import SCORE_DIGITS, full_evaluation, united
 from tranche.operators.splits import at_random, by_vintage
 
 from .models import fit_logistic
@@ -22,6 +22,7 @@ Trainer = Callable[[DataFrame, list[str]], object]
 @dataclass
 class Report:
     metrics: DataFrame  # protocol (in_sample, oot, naive), metric, value
+    curves: DataFrame  # protocol, part (reliability, decile), bin, metric, value
     score_psi: DataFrame
     feature_psi: DataFrame
 
@@ -32,9 +33,10 @@ def validate(matrix: DataFrame, features: list[str], last_train: int = 2006, tra
     model = trainer(late.where("not is_test"), features)
     other = trainer(naive.where("not is_test"), features)
     scored = model.score(late)
-    metrics = united({"in_sample": evaluation(scored.where("not is_test")), "oot": evaluation(scored.where("is_test")), "naive": evaluation(other.score(naive.where("is_test")))})
+    full = united({"in_sample": full_evaluation(scored.where("not is_test")), "oot": full_evaluation(scored.where("is_test")), "naive": full_evaluation(other.score(naive.where("is_test")))})
     rounded = scored.select("is_test", F.round("pd", SCORE_DIGITS).alias("pd"))
-    return Report(metrics, psi(long_counts(rounded, ["pd"], ["is_test"])), feature_psi(late, features))
+    overall = F.col("part") == "overall"
+    return Report(full.where(overall).drop("part", "bin"), full.where(~overall), psi(long_counts(rounded, ["pd"], ["is_test"])), feature_psi(late, features))
 
 
 def headline(metrics: DataFrame) -> DataFrame:

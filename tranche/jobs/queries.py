@@ -17,7 +17,7 @@ from tranche.sources import testtables as tt
 from tranche.sources.loan_files import load_stats, parsed, rejected
 from tranche.sources.schemas import ACQUISITION, PERFORMANCE
 
-from . import models, out_of_time
+from . import ingest, models, out_of_time
 
 COLUMNS = features.columns()
 LAST_TRAIN = 1998
@@ -157,6 +157,10 @@ def evaluation_report(spark, d):
     return metrics.evaluation(scored(spark, d)).select("metric", r("value"))
 
 
+def evaluation_full(spark, d):
+    return metrics.full_evaluation(scored(spark, d)).select("part", "bin", "metric", r("value"))
+
+
 def quantile_cuts(spark, d):
     return ranks.quantile_cuts(rows(spark, d).select(F.col("fico").cast("double").alias("fico")), "fico").select("cut")
 
@@ -189,7 +193,9 @@ def explained_loans(spark, d):
 
 
 def group_attach(spark, d):
-    attached = features.attach_groups(matrix(spark, d).select("loan_id"), tt.acquisitions(spark, d).where("loan_id not like '%3'"))
+    """Loans ending in 3 have another id where their group is looked up, so they get none."""
+    known = tt.acquisitions(spark, d).withColumn("loan_id", F.when(F.col("loan_id").endswith("3"), F.concat(F.lit("X"), F.col("loan_id"))).otherwise(F.col("loan_id")))
+    attached = features.attach_groups(matrix(spark, d).select("loan_id"), known)
     return attached.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -235,19 +241,40 @@ def gbt_importance(spark, d):
     return spark.createDataFrame(model.importances(), "feature string, importance double")
 
 
+def permutation_importance(spark, d):
+    return spark.createDataFrame(models.permutation_importance(FIXED, matrix(spark, d), COLUMNS), "feature string, importance double").select("feature", r("importance"))
+
+
+def top_importances(spark, d):
+    best = models.top_importances(models.permutation_importance(FIXED, matrix(spark, d), COLUMNS), 5)
+    return spark.createDataFrame([(i, f, x) for i, (f, x) in enumerate(best, 1)], "rank int, feature string, importance double").select("rank", "feature", r("importance"))
+
+
+#: Rates and a feature of one's own.
+OWN_RATES = {1994: 8.38, 1997: 7.6, 2000: 8.05}
+SECOND_LIEN = features.Feature("second_lien", ("ocltv", "oltv"), lambda: F.col("ocltv") - F.col("oltv"))
+
+
+def custom_benchmark(spark, d):
+    built = ingest.build(tt.acquisition_lines(spark, d), tt.performance_lines(spark, d), own=[*features.spec(OWN_RATES), SECOND_LIEN], benchmark=OWN_RATES)
+    return built.matrix.select("loan_id", r("rate_spread"), r("second_lien"))
+
+
 def model_comparison(spark, d):
-    sides = split(spark, d).cache()
-    train, test = sides.where("not is_test"), sides.where("is_test")
-    first, second = models.fit_logistic(train, COLUMNS), models.fit_boosted(train, COLUMNS)
-    return models.compare(metrics.evaluation(first.score(test)), metrics.evaluation(second.score(test)))
+    def compared(sides: DataFrame) -> DataFrame:
+        train, test = sides.where("not is_test"), sides.where("is_test")
+        first, second = models.fit_logistic(train, COLUMNS), models.fit_boosted(train, COLUMNS)
+        return models.compare(metrics.evaluation(first.score(test)), metrics.evaluation(second.score(test)))
+
+    return ranks.settled(split(spark, d), compared)
 
 
 def out_of_time_report(spark, d):
-    return out_of_time.validate(matrix(spark, d).cache(), COLUMNS, LAST_TRAIN).metrics
+    return ranks.settled(matrix(spark, d), lambda m: out_of_time.validate(m, COLUMNS, LAST_TRAIN).metrics)
 
 
 def headline_table(spark, d):
-    return out_of_time.headline(out_of_time.validate(matrix(spark, d).cache(), COLUMNS, LAST_TRAIN).metrics)
+    return ranks.settled(matrix(spark, d), lambda m: out_of_time.headline(out_of_time.validate(m, COLUMNS, LAST_TRAIN).metrics))
 
 
 ACQ_SHOWN = ["loan_id", "channel", "orig_rate", "orig_upb", "orig_date", "oltv", "ocltv", "num_borrowers", "dti", "fico", "first_time_buyer", "purpose", "property_type", "occupancy", "state", "mi_pct", "co_fico"]
@@ -258,9 +285,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_table": feature_table, "design_matrix": design_matrix, "join_accounting": join_accounting, "missing_by_field": missing_by_field,
     "vintage_split": vintage_split, "hash_split": hash_split, "score_fixed_model": score_fixed_model, "auc": auc, "brier": brier, "brier_skill": brier_skill,
     "calibration_in_large": calibration_in_large, "reliability_quantile": partial(reliability, strategy="quantile"), "reliability_uniform": partial(reliability, strategy="uniform"),
-    "decile_table": decile_table, "evaluation_report": evaluation_report, "quantile_cuts": quantile_cuts, "psi_score": psi_score, "psi_features": psi_features,
+    "decile_table": decile_table, "evaluation_report": evaluation_report, "evaluation_full": evaluation_full, "quantile_cuts": quantile_cuts, "psi_score": psi_score, "psi_features": psi_features,
     "top_drifted": top_drifted, "contributions": contributions, "reason_codes": reason_codes, "explained_loans": explained_loans, "group_attach": group_attach,
     "group_parity": group_parity, "group_pooling": group_pooling, "proxy_power": proxy_power, "proxy_flags": proxy_flags, "fairness_audit": fairness_audit,
     "worst_group": worst_group, "logistic_fit": logistic_fit, "gbt_importance": gbt_importance, "model_comparison": model_comparison,
+    "permutation_importance": permutation_importance, "top_importances": top_importances, "custom_benchmark": custom_benchmark,
     "out_of_time_report": out_of_time_report, "headline_table": headline_table,
 }

@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import is_cut, running_before
+from .ranks import cut_table, settled
 
 FLOOR = 1e-4  # least share of a bin
 BINS = 10
 
 
 def long_counts(rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
-    """feature, by..., value, n: distinct values are counted before anything is sorted or shuffled by value.
-
-    Kept, since what follows reads it half a dozen times; spark.catalog.clearCache() or unpersist() frees it.
-    """
+    """feature, by..., value, n: distinct values are counted before anything is sorted or shuffled by value."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value")) for f in features]))
-    return rows.select(*by, pairs.alias("_p")).select(*by, "_p.*").groupBy("feature", *by, "value").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def cut_arrays(expected: DataFrame, ks: list[int]) -> DataFrame:
-    """expected: feature, value, n. feature, k, cuts: the interior bin edges for each wanted number of bins."""
-    rows = running_before(expected, "value", ["n"], ["feature"])
-    totals = expected.groupBy("feature").agg(F.sum("n").alias("_total"))
-    rows = rows.join(F.broadcast(totals), "feature")
-    hit = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: is_cut(F.col("n_before"), F.col("n"), F.col("_total"), k))
-    found = rows.select("feature", "value", F.explode(hit).alias("k")).groupBy("feature", "k").agg(F.array_sort(F.collect_list("value")).alias("cuts"))
-    every = totals.select("feature", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-    return every.join(found, ["feature", "k"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
+    return rows.select(*by, pairs.alias("_p")).select(*by, "_p.*").groupBy("feature", *by, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bin_of(value: Column, cuts: Column) -> Column:
@@ -42,17 +27,26 @@ def term(e: Column, a: Column) -> Column:
     return (a - e) * F.ln(a / e)
 
 
+def _expected_cuts(counts: DataFrame, ks: list[int]) -> DataFrame:
+    """feature, k, cuts over all counts given, whatever groups they are counted by."""
+    return cut_table(counts.groupBy("feature", "value").agg(F.sum("n").alias("n")), ks, ["feature"])
+
+
 def psi(counts: DataFrame, k: int = BINS) -> DataFrame:
     """counts: feature, is_test, value, n. feature, psi of the test side in bins of the other.
 
     A bin empty on both sides adds nothing, so bins that have rows suffice.
     """
-    cuts = cut_arrays(counts.where("not is_test").groupBy("feature", "value").agg(F.sum("n").alias("n")), [k])
-    binned = counts.join(F.broadcast(cuts), "feature").withColumn("bin", bin_of(F.col("value"), F.col("cuts")))
-    n = lambda test: F.sum(F.when(F.col("is_test") == test, F.col("n")).otherwise(0))
-    bins = binned.groupBy("feature", "bin").agg(n(False).alias("e"), n(True).alias("a"))
-    totals = bins.groupBy("feature").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
-    return bins.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.sum(term(F.col("e") / F.col("_e"), F.col("a") / F.col("_a"))).alias("psi"))
+
+    def found(counts: DataFrame) -> DataFrame:
+        cuts = _expected_cuts(counts.where("not is_test"), [k])
+        binned = counts.join(F.broadcast(cuts), "feature").withColumn("bin", bin_of(F.col("value"), F.col("cuts")))
+        n = lambda test: F.sum(F.when(F.col("is_test") == test, F.col("n")).otherwise(0))
+        bins = binned.groupBy("feature", "bin").agg(n(False).alias("e"), n(True).alias("a"))
+        totals = bins.groupBy("feature").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
+        return bins.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.sum(term(F.col("e") / F.col("_e"), F.col("a") / F.col("_a"))).alias("psi"))
+
+    return settled(counts, found)
 
 
 def feature_psi(split: DataFrame, features: list[str], k: int = BINS) -> DataFrame:
@@ -65,15 +59,27 @@ def top_drifted(drift: DataFrame, n: int = 5) -> DataFrame:
     return drift.orderBy(F.desc("psi"), "position").limit(n)
 
 
+def cells(counts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """counts: feature, grp, value, n; cuts: feature, k, cuts. feature, grp, cell, edge, n: one pass sorts each value among
+    the edges of all k at once; edge: the greatest below it. Cells are as many as there are edges, and one."""
+    edges = cuts.groupBy("feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("_edges"))
+    placed = counts.join(F.broadcast(edges), "feature").withColumn("cell", bin_of(F.col("value"), F.col("_edges")))
+    return placed.groupBy("feature", "grp", "cell").agg(F.first(F.get("_edges", F.col("cell") - 1)).alias("edge"), F.sum("n").alias("n"))
+
+
 def group_psi(counts: DataFrame, ks: DataFrame) -> DataFrame:
-    """counts: feature, grp, value, n. ks: grp, k (2 to BINS; few rows). feature, grp, psi of each group against all rows."""
-    everyone = counts.groupBy("feature", "value").agg(F.sum("n").alias("n"))
-    cuts = cut_arrays(everyone, list(range(2, BINS + 1)))
-    spread = lambda df, *by: df.withColumn("bin", bin_of(F.col("value"), F.col("cuts"))).groupBy("feature", *by, "bin").agg(F.sum("n").alias("n"))
-    expected = spread(everyone.join(F.broadcast(cuts), "feature"), "k")
-    actual = spread(counts.join(F.broadcast(ks), "grp").join(F.broadcast(cuts), ["feature", "k"]), "grp")
+    """counts: feature, grp, value, n, kept by the caller. ks: grp, k (2 to BINS). feature, grp, psi of each group against all rows.
+
+    Every value is read once; what follows works on at most 46 cells for each feature and group.
+    """
+    cuts = _expected_cuts(counts, list(range(2, BINS + 1)))
+    celled = cells(counts, cuts)
+    binned = lambda df, *by: df.withColumn("bin", F.size(F.filter("cuts", lambda e: e <= F.col("edge")))).groupBy("feature", *by, "bin").agg(F.sum("n").alias("n"))
+    everyone = celled.groupBy("feature", "cell").agg(F.first("edge").alias("edge"), F.sum("n").alias("n"))
+    expected = binned(everyone.join(F.broadcast(cuts), "feature"), "k")
+    actual = binned(celled.join(ks, "grp").join(F.broadcast(cuts), ["feature", "k"]), "grp")
     e_all = expected.groupBy("feature", "k").agg(F.sum("n").alias("_e"))
     a_all = actual.groupBy("feature", "grp").agg(F.sum("n").alias("_a"))
-    cells = expected.join(ks, "k").join(e_all, ["feature", "k"]).join(a_all, ["feature", "grp"]).withColumnRenamed("n", "e")
-    cells = cells.join(actual.withColumnRenamed("n", "a"), ["feature", "grp", "bin"], "left")
-    return cells.groupBy("feature", "grp").agg(F.sum(term(F.col("e") / F.col("_e"), F.coalesce("a", F.lit(0)) / F.col("_a"))).alias("psi"))
+    both = ks.join(expected, "k").join(e_all, ["feature", "k"]).join(a_all, ["feature", "grp"]).withColumnRenamed("n", "e")
+    both = both.join(actual.withColumnRenamed("n", "a"), ["feature", "grp", "bin"], "left")
+    return both.groupBy("feature", "grp").agg(F.sum(term(F.col("e") / F.col("_e"), F.coalesce("a", F.lit(0)) / F.col("_a"))).alias("psi"))

@@ -107,12 +107,11 @@ def accounting(all_loans: DataFrame) -> DataFrame:
     """One row of counts over what joined() returns; labels without acquisition count by loan, the rest by row."""
     n = lambda *fates: F.count_if(F.col("fate").isin(*fates))
     used = ("censored", "missing", "row")
-    loans = all_loans.where("fate <> 'no_label'").select("loan_id").distinct().agg(F.count("loan_id").alias("n_labels"))
-    counts = all_loans.agg(
+    return all_loans.agg(
         n("no_label", *used).alias("n_acquisitions"), n(*used).alias("n_joined"), n("row").alias("n_rows"), n("censored").alias("n_censored_excluded"),
         n("missing").alias("n_missing_required"), n("no_acquisition").alias("n_label_without_acq"), n("no_label").alias("n_acq_without_label"),
+        F.count_distinct(F.when(F.col("fate") != "no_label", F.col("loan_id"))).alias("n_labels"),
     )
-    return counts.withColumn("_k", F.lit(0)).join(loans.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
 def missing_by_field(all_loans: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import global_rank, running_before, slice_of
+from .ranks import global_rank, running_before, settled, slice_of
 
 SCORE_DIGITS = 9
 
@@ -21,21 +21,29 @@ def _rounded(scored: DataFrame) -> DataFrame:
 
 def auc(scored: DataFrame) -> DataFrame:
     """One row, auc: chance that a random event scores above a random non-event, ties counting half; null for one class."""
-    by_score = _rounded(scored).groupBy("pd").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return settled(_rounded(scored), _auc)
+
+
+def _auc(rows: DataFrame) -> DataFrame:
+    by_score = rows.groupBy("pd").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return running_before(by_score, "pd", ["neg"]).agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def brier(scored: DataFrame) -> DataFrame:
     """One row: n, brier, realised, mean_predicted, climatology (Brier of the constant realised rate), skill (null if that is 0)."""
+    return _brier(_rounded(scored))
+
+
+def _brier(rows: DataFrame) -> DataFrame:
     n, p, y = F.count(F.lit(1)), F.avg("pd"), F.avg("y")
-    rows = _rounded(scored).agg(n.alias("n"), F.avg((F.col("pd") - F.col("y")) * (F.col("pd") - F.col("y"))).alias("brier"), y.alias("realised"), p.alias("mean_predicted"))
+    rows = rows.agg(n.alias("n"), F.avg((F.col("pd") - F.col("y")) * (F.col("pd") - F.col("y"))).alias("brier"), y.alias("realised"), p.alias("mean_predicted"))
     base = F.col("realised") * (1 - F.col("realised"))
     return rows.withColumn("climatology", base).withColumn("skill", 1 - F.col("brier") / F.nullif(base, F.lit(0.0)))
 
 
-def _sliced(scored: DataFrame, k: int, rising: bool) -> DataFrame:
-    rows = _rounded(scored).withColumn("_v", F.col("pd") if rising else -F.col("pd"))
+def _sliced(rows: DataFrame, k: int, rising: bool) -> DataFrame:
+    rows = rows.withColumn("_v", F.col("pd") if rising else -F.col("pd"))
     n = rows.groupBy().agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(0))
     ranked = global_rank(rows, "_v", ["y", "loan_id"] if rising else ["loan_id"])
     return ranked.withColumn("_one", F.lit(0)).join(F.broadcast(n), "_one").withColumn("slice", slice_of(F.col("rank"), F.col("_n"), k))
@@ -43,32 +51,66 @@ def _sliced(scored: DataFrame, k: int, rising: bool) -> DataFrame:
 
 def reliability(scored: DataFrame, k: int = 10, strategy: str = "quantile") -> DataFrame:
     """bin, n, mean_predicted, realised, p_lo, p_hi. quantile: slices of equal count; uniform: equal parts of 0 to 1, empty ones left out."""
-    stats = [F.count(F.lit(1)).alias("n"), F.avg("pd").alias("mean_predicted"), F.avg("y").alias("realised")]
     if strategy == "quantile":
-        return _sliced(scored, k, True).groupBy(F.col("slice").alias("bin")).agg(*stats, F.min("pd").alias("p_lo"), F.max("pd").alias("p_hi")).orderBy("bin")
+        return settled(_rounded(scored), lambda rows: _reliability(rows, k).orderBy("bin"))
     if strategy != "uniform":
         raise ValueError(f"unknown strategy {strategy!r}")
+    return _reliability(_rounded(scored), k, uniform=True).orderBy("bin")
+
+
+def _reliability(rows: DataFrame, k: int, uniform: bool = False) -> DataFrame:
+    stats = [F.count(F.lit(1)).alias("n"), F.avg("pd").alias("mean_predicted"), F.avg("y").alias("realised")]
+    if not uniform:
+        return _sliced(rows, k, True).groupBy(F.col("slice").alias("bin")).agg(*stats, F.min("pd").alias("p_lo"), F.max("pd").alias("p_hi"))
     edges = F.array(*[F.lit(b / k) for b in range(1, k)])
     inside = (F.col("pd") >= 0) & (F.col("pd") <= 1)
-    rows = _rounded(scored).withColumn("bin", F.when(inside, F.size(F.filter(edges, lambda e: e <= F.col("pd")))).otherwise(-1))
+    rows = rows.withColumn("bin", F.when(inside, F.size(F.filter(edges, lambda e: e <= F.col("pd")))).otherwise(-1))
     # asked of the aggregate, so that the test isn't pushed down into the score's expression
-    return rows.groupBy("bin").agg(*stats, F.max(inside).alias("_in")).where("_in").drop("_in").select("*", (F.col("bin") / k).alias("p_lo"), ((F.col("bin") + 1) / k).alias("p_hi")).orderBy("bin")
+    return rows.groupBy("bin").agg(*stats, F.max(inside).alias("_in")).where("_in").drop("_in").select("*", (F.col("bin") / k).alias("p_lo"), ((F.col("bin") + 1) / k).alias("p_hi"))
 
 
 def deciles(scored: DataFrame, k: int = 10) -> DataFrame:
     """decile (1: riskiest), n, mean_predicted, realised, lift over the overall rate (null if that is 0)."""
-    rows = _sliced(scored, k, False).groupBy((F.col("slice") + 1).alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg("pd").alias("mean_predicted"), F.sum("y").alias("_y"))
+    return settled(_rounded(scored), lambda rows: _deciles(rows, k).orderBy("decile"))
+
+
+def _deciles(rows: DataFrame, k: int) -> DataFrame:
+    rows = _sliced(rows, k, False).groupBy((F.col("slice") + 1).alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg("pd").alias("mean_predicted"), F.sum("y").alias("_y"))
     overall = rows.agg((F.sum("_y") / F.sum("n")).alias("_all")).withColumn("_one", F.lit(0))
     out = rows.withColumn("realised", F.col("_y") / F.col("n")).withColumn("_one", F.lit(0)).join(F.broadcast(overall), "_one")
-    return out.select("decile", "n", "mean_predicted", "realised", (F.col("realised") / F.nullif(F.col("_all"), F.lit(0.0))).alias("lift")).orderBy("decile")
+    return out.select("decile", "n", "mean_predicted", "realised", (F.col("realised") / F.nullif(F.col("_all"), F.lit(0.0))).alias("lift"))
+
+
+METRICS = ("n", "realised", "mean_predicted", "ratio", "auc", "brier", "climatology", "skill")
+
+
+def _long(df: DataFrame, names: tuple[str, ...], *keys: str) -> DataFrame:
+    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select(*keys, "m.*")
 
 
 def evaluation(scored: DataFrame) -> DataFrame:
     """metric, value: n, realised, mean_predicted, ratio, auc, brier, climatology, skill. An empty table has no report."""
-    one = brier(scored).where("n > 0").withColumn("ratio", F.when(F.col("mean_predicted") > 0, F.col("realised") / F.col("mean_predicted")))
-    both = one.withColumn("_one", F.lit(0)).join(auc(scored).withColumn("_one", F.lit(0)), "_one")
-    names = ["n", "realised", "mean_predicted", "ratio", "auc", "brier", "climatology", "skill"]
-    return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
+    return settled(_rounded(scored), _evaluation)
+
+
+def _evaluation(rows: DataFrame) -> DataFrame:
+    one = _brier(rows).where("n > 0").withColumn("ratio", F.when(F.col("mean_predicted") > 0, F.col("realised") / F.col("mean_predicted")))
+    return _long(one.withColumn("_one", F.lit(0)).join(_auc(rows).withColumn("_one", F.lit(0)), "_one"), METRICS)
+
+
+def full_evaluation(scored: DataFrame, k: int = 10) -> DataFrame:
+    """part, bin, metric, value: the figures of evaluation() (part overall, bin 0), the reliability curve by slices (from bin 0)
+    and the decile table (from bin 1), all from one look at the scores."""
+
+    def every(rows: DataFrame) -> DataFrame:
+        parts = {
+            "overall": _evaluation(rows).withColumn("bin", F.lit(0)),
+            "reliability": _long(_reliability(rows, k), ("n", "mean_predicted", "realised", "p_lo", "p_hi"), "bin"),
+            "decile": _long(_deciles(rows, k).withColumnRenamed("decile", "bin"), ("n", "mean_predicted", "realised", "lift"), "bin"),
+        }
+        return united({name: df.select("bin", "metric", "value") for name, df in parts.items()}, "part")
+
+    return settled(_rounded(scored), every)
 
 
 def united(reports: dict[str, DataFrame], name: str = "protocol") -> DataFrame:

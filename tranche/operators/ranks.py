@@ -1,45 +1,82 @@
 """Global ranks, running totals and exact quantiles without one task that sorts everything.
 
-Values are cut into buckets at approximate quantiles. Buckets are pure functions of the value, so a
-recomputed task gives the same; windows run inside buckets and bucket totals carry over.
+Rows are cut into buckets at key points: rows of (group, value, tie-break columns), so a value that many rows
+share is cut as well. The points are fetched once, from a hashed share of the keys, and the number of buckets follows
+from the number of rows. What comes out doesn't depend on the points: windows run inside buckets, bucket totals carry over.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-BUCKETS = 64
-
-
-def bucketed(df: DataFrame, value: str, group: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Adds _bucket, rising with the value within each group. Groups must be few (they are broadcast, one array each)."""
-    keys = group or ["_one"]
-    df = df if group else df.withColumn("_one", F.lit(0))
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    cuts = cuts.withColumn("_cuts", F.array_distinct(F.coalesce("_cuts", F.array().cast("array<double>"))))
-    out = df.join(F.broadcast(cuts), keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    return out if group else out.drop("_one")
-
-
-def running_before(df: DataFrame, value: str, counts: list[str], group: list[str] | None = None, order: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Adds <count>_before for each count: its sum over rows of the group with a lower value (equal values by `order`)."""
-    group = group or []
-    rows = bucketed(df, value, group, buckets)
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+#: Rows of a bucket, about; buckets at most; keys looked at per bucket.
+PER_BUCKET, MOST, SEEN = 200_000, 4096, 16
+
+
+def settled(rows: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """build(rows), which must have few rows: they are fetched, while `rows`, which it reads several times, is kept."""
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = build(kept)
+        return rows.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        kept.unpersist()
+
+
+def _points(df: DataFrame, key: list[str], n: int, buckets: int) -> list:
+    """Keys that part df evenly: all rows of equal keys stay together, so only rows that no key tells apart can be many."""
+    share = max(1, n // (SEEN * buckets))
+    some = df.select(*key).where(F.pmod(F.xxhash64(*key), F.lit(share)) == 0).distinct().orderBy(*key).collect()
+    step = max(1, -(-len(some) // buckets))
+    return some[step::step]
+
+
+def bucketed(df: DataFrame, key: list[str], per_bucket: int = PER_BUCKET) -> DataFrame:
+    """Adds _bucket, rising with key. Looks twice at df, so keep it if it is costly."""
+    n = df.count()
+    buckets = min(MOST, -(-n // per_bucket))
+    points = _points(df, key, n, buckets) if buckets > 1 else []
+    if not points:
+        return df.withColumn("_bucket", F.lit(0))
+    width = math.isqrt(len(points) - 1) + 1  # two short looks in place of one long one
+    blocks = [points[i : i + width] for i in range(0, len(points), width)]
+    kind = StructType([df.schema[k] for k in key])
+    shape = StructType([StructField("_one", IntegerType()), StructField("_heads", ArrayType(kind)), StructField("_blocks", ArrayType(ArrayType(kind)))])
+    cuts = df.sparkSession.createDataFrame([(0, [b[0] for b in blocks], blocks)], shape)
+    here = F.struct(*key)
+    below = lambda points: F.size(F.filter(points, lambda p: p < here))
+    met = df.withColumn("_one", F.lit(0)).join(F.broadcast(cuts), "_one").withColumn("_block", below("_heads"))
+    inside = F.when(F.col("_block") == 0, 0).otherwise((F.col("_block") - 1) * width + below(F.get("_blocks", F.col("_block") - 1)))
+    return met.withColumn("_bucket", inside).drop("_one", "_heads", "_blocks", "_block")
+
+
+def running_before(df: DataFrame, value: str, counts: list[str], group: list[str] | None = None, order: list[str] | None = None, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """Adds <count>_before for each count: its sum over rows of the group with a lower value (equal values by `order`).
+
+    Totals of buckets, at most MOST and one more per group, are broadcast; groups must be few.
+    """
+    group, order = group or [], order or []
+    rows = bucketed(df, [*group, value, *order], per_bucket)
     keys = [*group, "_bucket"]
     ahead = (Window.partitionBy(*group) if group else Window).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_{c}") for c in counts])
     totals = totals.select(*keys, *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in counts])
-    inside = Window.partitionBy(*keys).orderBy(value, *(order or [])).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy(value, *order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(F.broadcast(totals), keys)
     for c in counts:
         out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}"))
     return out.drop("_bucket", *[f"_{c}" for c in counts])
 
 
-def global_rank(df: DataFrame, value: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
+def global_rank(df: DataFrame, value: str, order: list[str], per_bucket: int = PER_BUCKET) -> DataFrame:
     """Adds rank, from 0, by value and then `order`."""
-    return running_before(df.withColumn("_n", F.lit(1)), value, ["_n"], order=order, buckets=buckets).withColumnRenamed("_n_before", "rank").drop("_n")
+    return running_before(df.withColumn("_n", F.lit(1)), value, ["_n"], order=order, per_bucket=per_bucket).withColumnRenamed("_n_before", "rank").drop("_n")
 
 
 def slice_of(rank: Column, n: Column, k: int) -> Column:
@@ -57,11 +94,19 @@ def is_cut(before: Column, n: Column, total: Column, k: Column) -> Column:
     return reached(before + n) > reached(before)
 
 
-def quantile_cuts(df: DataFrame, value: str, k: int = 10, group: list[str] | None = None) -> DataFrame:
-    """group, cut: the distinct values at ranks ceil(b n / k), b from 1 to k - 1."""
-    group = group or []
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    rows = running_before(counts, value, ["n"], group)
-    totals = counts.groupBy(*(group or [F.lit(0).alias("_one")])).agg(F.sum("n").alias("_total"))
-    rows = rows.join(F.broadcast(totals), group) if group else rows.withColumn("_one", F.lit(0)).join(F.broadcast(totals), "_one")
-    return rows.where(is_cut(F.col("n_before"), F.col("n"), F.col("_total"), F.lit(k))).select(*group, F.col(value).alias("cut"))
+def cut_table(counts: DataFrame, ks: list[int], group: list[str]) -> DataFrame:
+    """counts: group, value, n, kept by the caller. group, k, cuts: ascending values at ranks ceil(b n / k), b from 1 to k - 1,
+    for each k; a row for every group and k, fetched: k values at most."""
+    rows = running_before(counts, "value", ["n"], group)
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"))
+    hit = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: is_cut(F.col("n_before"), F.col("n"), F.col("_total"), k))
+    found = rows.join(F.broadcast(totals), group).select(*group, "value", F.explode(hit).alias("k")).groupBy(*group, "k").agg(F.array_sort(F.collect_list("value")).alias("cuts"))
+    every = totals.select(*group, F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    out = every.join(found, [*group, "k"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
+    return counts.sparkSession.createDataFrame(out.collect(), out.schema)
+
+
+def quantile_cuts(df: DataFrame, value: str, k: int = 10) -> DataFrame:
+    """cut: the distinct values at ranks ceil(b n / k), b from 1 to k - 1."""
+    counts = df.groupBy(F.lit(0).alias("_all"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return settled(counts, lambda c: cut_table(c, [k], ["_all"]).select(F.explode("cuts").alias("cut")))

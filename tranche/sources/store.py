@@ -7,12 +7,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tranche.jobs.models import Logistic
+from tranche.jobs.models import Boosted, Logistic
 
 
 def save_dataset(matrix: DataFrame, stats: DataFrame, path: str, horizon_months: int) -> None:
-    """Matrix partitioned by vintage, accounting and horizon beside it."""
-    matrix.repartition("vintage").write.mode("overwrite").partitionBy("vintage").parquet(f"{path}/matrix")
+    """Matrix partitioned by vintage, accounting and horizon beside it. Rebalancing gives a large vintage several tasks and
+    files of the advisory size, and small ones few."""
+    matrix.hint("rebalance", "vintage").write.mode("overwrite").partitionBy("vintage").parquet(f"{path}/matrix")
     stats.withColumn("horizon_months", F.lit(horizon_months)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -34,6 +35,27 @@ def load_logistic(spark: SparkSession, path: str) -> Logistic:
     return Logistic(list(features), list(means), list(stds), list(coefs), body["intercept"])
 
 
+def save_boosted(spark: SparkSession, model: Boosted, path: str) -> None:
+    """The trees as Spark ML writes them; features and rounds beside them."""
+    model.model.write().overwrite().save(f"{path}/trees")
+    body = json.dumps({"features": model.features, "rounds": model.rounds})
+    spark.createDataFrame([("boosted", body)], "kind string, body string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_boosted(spark: SparkSession, path: str) -> Boosted:
+    from pyspark.errors import AnalysisException
+    from pyspark.ml.classification import GBTClassificationModel
+
+    try:
+        row = spark.read.schema("kind string, body string").json(f"{path}/about").first()
+    except AnalysisException as e:
+        raise ValueError(f"no boosted model in {path}") from e
+    if row is None or row["kind"] != "boosted":
+        raise ValueError(f"no boosted model in {path}: {row and row['kind']}")
+    body = json.loads(row["body"])
+    return Boosted(body["features"], GBTClassificationModel.load(f"{path}/trees"), body["rounds"])
+
+
 def save_report(report: DataFrame, path: str) -> None:
     """A long metric table as JSON lines."""
     report.coalesce(1).write.mode("overwrite").json(path)

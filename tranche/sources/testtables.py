@@ -1,4 +1,5 @@
-"""Loans made of the star-schema test tables: an order is a loan, a line item a month of its history.
+"""Loans made of the star-schema test tables: an order is a loan, a line item a month of its history. Every 97th loan
+has another id among the acquisitions, so that joins meet rows without a partner on both sides.
 
 The SQL runs unchanged on Spark and DuckDB.
 """
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from .schemas import ACQUISITION, PERFORMANCE
 
 ACQUISITION_SQL = """
-select concat('L', lpad(cast(o_orderkey as string), 9, '0')) as loan_id,
+select concat(case when o_orderkey % 97 = 0 then 'X' else 'L' end, lpad(cast(o_orderkey as string), 9, '0')) as loan_id,
   case o_orderpriority when '1-URGENT' then 'R' when '2-HIGH' then 'C' when '3-MEDIUM' then 'B' when '5-LOW' then 'T' end as channel,
   4.0E0 + (o_orderkey % 300) / 100.0E0 + (year(o_orderdate) - 1995) * 0.15E0 as orig_rate,
   case when o_orderkey % 89 = 0 then 0.0E0 else o_totalprice end as orig_upb,
@@ -29,7 +30,6 @@ select concat('L', lpad(cast(o_orderkey as string), 9, '0')) as loan_id,
   case when (o_orderkey * 7) % 58 > 40 then 20.0E0 + o_orderkey % 16 end as mi_pct,
   cast(case when o_orderkey % 2 = 1 then 600 + o_orderkey % 200 end as int) as co_fico
 from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
-where o_orderkey % 97 <> 0
 """
 PERFORMANCE_SQL = """
 select loan_id, make_date(cast(floor((months + loan_age) / 12.0E0) as int), cast((months + loan_age) % 12 + 1 as int), 1) as period, loan_age,
