@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tranche.llm import chat, media, mixing, queries, topk, warc
+from tranche.llm import chat, media, mixing, queries, topk, warc, warc_files
 from tranche.llm.shared import read
 
 from ..conftest import DATA
@@ -37,7 +37,26 @@ def test_resolve(spark):
     pages = media.with_items(spark.createDataFrame([(1, PAGE, "x"), (2, None, "y"), (1, PAGE, "x")], "page_id long, html string, feature_of string"))
     known = spark.createDataFrame([("aa", 7)], "digest string, payload_bytes long")
     rows = media.resolve(pages, known).collect()
-    assert len(rows) == 14 and {r.payload_bytes for r in rows if r.digest == "aa"} == {7} and {r.payload_bytes for r in rows if r.digest == "bb"} == {None}
+    facts = lambda digest: {r.media and r.media.payload_bytes for r in rows if r.item.digest == digest}
+    assert len(rows) == 14 and facts("aa") == {7} and facts("bb") == {None}
+    own = ["digest", "source", "text", "kind", "position", "caption", "payload_bytes", "_digest", "_page", "item", "media", "kept"]
+    clash = pages
+    for c in own:
+        clash = clash.withColumn(c, F.lit("own"))
+    found = media.resolve(clash, known, texts=False)
+    assert found.columns == ["page_id", "html", "feature_of", *(c for c in own if c not in ("item", "media")), "item", "media"]
+    assert sorted((r.item.digest or "", r.media and r.media.payload_bytes, r.digest, r.payload_bytes) for r in found.collect()) == sorted([("", None, "own", "own"), ("aa", 7, "own", "own"), ("bb", None, "own", "own")] * 2)
+
+
+def test_items_of_all_pages(spark):
+    """Media and words of every page in the order of its HTML."""
+    import re
+
+    rows = media.with_items(read(spark, DATA, "pages")).collect()
+    for r in rows:
+        shown = [x for x in r["items"] if x.kind == "media"]
+        assert [x.source for x in shown] == re.findall(r"<img[^>]*?src=[\"']([^\"']*)", r.html) and [x.position for x in r["items"]] == list(range(len(r["items"])))
+    assert len(rows) == read(spark, DATA, "pages").count()
 
 
 @pytest.mark.parametrize("data", [b"", b"a", b"\n" * 64, b"P5\n1 1\n255\n" * 9, bytes(range(256))])
@@ -60,7 +79,16 @@ def test_media_query(spark, tmp_path):
             raw = (texts[r.doc_id] or "").encode()
             full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
-            assert r.caption == f"bytes of document {r.doc_id}" and r.position == 1
+            samples, levels = list(full), [0] * 16
+            for x in samples:
+                levels[x // 16] += 1
+            steps = sum(abs(a - b) for i in range(0, len(full), 64) for a, b in zip(samples[i : i + 63], samples[i + 1 : i + 64], strict=True))
+            assert r.feature == f"64x{len(full) // 64};{sum(samples) * 1000 // len(full)};{','.join(str(n * 1000 // len(full)) for n in levels)};{steps}"
+            head = f"P5\n64 {len(full) // 64}\n255\n".encode()
+            assert (r.media_bytes, r.media_sha256) == (len(head + full), hashlib.sha256(head + full).hexdigest())
+            t = texts[r.doc_id] or ""
+            halves = [bool(t[: len(t) // 2].strip()), bool(t[len(t) // 2 :].strip())]
+            assert r.caption == f"bytes of document {r.doc_id}" and r.position == 1 + halves[0] and r.n_items == 2 + sum(halves)
 
 
 # --- chat ---
@@ -121,6 +149,64 @@ def test_derivatives(spark):
     assert warc.derivatives(warc.responses(df.where("false"))).count() == 0
 
 
+def test_records_of_all_pages(spark):
+    """Both records of every page, taken apart again by plain code."""
+    import base64
+
+    pages = {r.page_id: r for r in read(spark, DATA, "pages").collect()}
+    digest = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    rows = queries.op6_warc(spark, DATA).collect()
+    assert len(rows) == 2 * len(pages) and len({r.record_id for r in rows}) == len(rows)
+    for r in rows:
+        page = pages[r.page_id]
+        sent = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(page.html.encode())}\r\n\r\n{page.html}".encode()
+        about = dict(x.split(": ", 1) for x in r.header.strip().split("\r\n"))
+        assert about == {"WARC-Type": r.warc_type, "WARC-Record-ID": r.record_id, "WARC-Refers-To": r.refers_to, "WARC-Date": r.warc_date, "WARC-Target-URI": page.url, "Content-Type": r.content_type, "WARC-Block-Digest": digest(r.block.encode()), "Content-Length": str(len(r.block.encode()))}
+        assert r.payload_digest == digest(page.html.encode()) and r.block_digest == about["WARC-Block-Digest"] and r.content_length == len(r.block.encode())
+        if r.warc_type == "metadata":
+            told = json.loads(r.block)
+            assert told["WARC-Header"] == {"WARC-Type": "response", "WARC-Record-ID": r.refers_to, "WARC-Date": r.warc_date, "WARC-Target-URI": page.url, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest(page.html.encode()), "WARC-Block-Digest": digest(sent), "Content-Length": str(len(sent))}
+            assert told["HTTP-Status"] == "HTTP/1.1 200 OK" and told["Payload-Length"] == len(page.html.encode()) and told["HTTP-Header"]["Content-Length"] == str(len(page.html.encode()))
+
+
+@pytest.mark.parametrize("split", [700, 5000, 0])
+def test_warc_files(spark, tmp_path, split):
+    warc_files.register(spark)
+    made = warc.responses(read(spark, DATA, "pages")).repartition(3)
+    path = str(tmp_path / "files")
+    for _ in range(2):
+        made.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("at"), "record").write.format("warc").mode("overwrite").save(path)
+    names = sorted(p.name for p in (tmp_path / "files").iterdir())
+    assert len(names) == 3 and all(n.endswith(".warc.gz") for n in names)
+    back = spark.read.format("warc").option("split", split).load(path)
+    assert sorted(bytes(r.record) for r in back.collect()) == sorted(bytes(r.record) for r in made.collect())
+    derived = lambda df: sorted((r.record_id, r.header, r.block) for r in warc.derivatives(df).collect())
+    assert derived(back.select(F.lit(0).cast("long").alias("page_id"), "record")) == derived(made)
+
+
+def test_warc_files_awkward(spark, tmp_path):
+    import gzip
+
+    warc_files.register(spark)
+    load = lambda p, split=0: spark.read.format("warc").option("split", split).load(str(p))
+    (tmp_path / "none").mkdir()
+    assert load(tmp_path / "none").count() == 0
+    records = [warc.response(i, f"http://x/{i}", "\x1f\x8b\x08 \r\n\r\nWARC/1.0 " * 40 * i) for i in range(6)]
+    (tmp_path / "some" / "deep").mkdir(parents=True)
+    (tmp_path / "some" / "a.warc").write_bytes(b"".join(records))
+    inner = gzip.compress(records[1], mtime=0)  # a member inside a member's stored bytes isn't one of the file's
+    stored = [warc.serialise([("WARC-Type", "resource"), ("Content-Length", str(len(inner)))], inner), *records]
+    (tmp_path / "some" / "deep" / "b.warc.gz").write_bytes(b"".join(gzip.compress(r, 6) for r in stored))
+    got = load(tmp_path / "some").collect()
+    assert sorted(bytes(r.record) for r in got if r.file == "a.warc") == sorted(records)
+    assert sorted(bytes(r.record) for r in got if r.file == "b.warc.gz") == sorted(stored)
+    for name, data in (("c.warc", b"".join(records)[:-30]), ("c.warc.gz", gzip.compress(records[3])[:-9]), ("d.warc.gz", b"no gzip at all")):
+        (tmp_path / name.replace(".", "_")).mkdir()
+        (tmp_path / name.replace(".", "_") / name).write_bytes(data)
+        with pytest.raises(Exception, match="record at"):
+            load(tmp_path / name.replace(".", "_")).collect()
+
+
 def test_text_of_all_pages_keeps_words(spark):
     from html.parser import HTMLParser
 
@@ -227,6 +313,21 @@ def test_mix_rows(spark):
     assert mixing.mix(documents(spark, [(1, None)])).first().taken == 0
 
 
+def test_mix_repeated_ids(spark):
+    """Each row follows a plan row of its own, so the words made are those planned."""
+    rows = [(i % 40 if i % 3 else None, words(5 + i % 50, i % 90, 300), "en", "ab"[i % 2], 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("passes", "piece_from", "taken", "size", "row_key", "_row", "_key", "_size", "_plan", "_i", "_n", "_text"):
+        docs = docs.withColumn(c, F.lit("own"))
+    plan = mixing.mix(docs, shard_docs=100)
+    made = mixing.apply_plan(docs.repartition(5), plan)
+    assert made.columns == docs.columns and made.where("passes <> 'own' or _plan <> 'own'").count() == 0
+    planned = plan.agg(F.sum("taken"), F.count_if(F.col("taken") > 0)).first()
+    assert (sum(len(r.text.split()) for r in made.collect()), made.count()) == tuple(planned)
+    by_id = lambda df, n: {r[0]: r[1] for r in df.groupBy("doc_id").agg(n).collect()}
+    assert by_id(plan.where("taken > 0"), F.sum("taken")) == by_id(made, F.sum(F.size(F.split("text", "\\s+"))))
+
+
 @pytest.mark.parametrize("seats", [0, 1, 7, 100, 1000])
 def test_apportionment_is_highest_quotients(spark, seats):
     weights = [5.0, 1.0, 0.5, 30.0, 7.25, 7.25, 0.0]

@@ -2,14 +2,16 @@
 
 A page's HTML is parsed into items in reading order, each a piece of text or a reference to a medium by its
 digest, with its caption. Media live in a store of (digest, media); a join by digest resolves references. Payload
-bytes are read where they lie: what is computed from them is folded to one row per digest and joined
-to the references, so bytes are not shuffled and a medium that a third of all pages show is no hot group.
+bytes are read where they lie: what is computed from them is folded, map-side first, to one small row per digest and
+joined to the references. Neither bytes nor texts are shuffled. References to one medium that many pages show meet
+its one row, so Spark's skew join can split them over tasks.
 
 Media here are grey images (binary PGM, 8-bit samples, ROW samples a row), which hold any bytes without loss.
 
 Defined results: null or empty HTML has no items; text inside script and style doesn't count; a caption is a
 figcaption of the same figure, else the alt text, else empty; an image without a digest counts by its
-source alone (null digest); a digest that the store lacks stays, with nulls; repeated pages each return.
+source alone (null digest); a digest that the store lacks stays, with nulls; repeated pages each return; columns
+of pages stay as they are, whatever their names, but for those named as results (item, media), which are replaced.
 """
 
 from __future__ import annotations
@@ -171,8 +173,11 @@ def read_back(store: DataFrame) -> DataFrame:
     return store.select("digest", "media").mapInArrow(_read, READ).groupBy("digest").agg(*[F.first(c).alias(c) for c in (x.split()[0] for x in READ.split(", ")) if c != "digest"])
 
 
-def resolve(sequences: DataFrame, known: DataFrame, items: str = "items") -> DataFrame:
-    """sequences: an items column. A row per item, in place, with the columns of known (one row per digest) or nulls."""
-    keep = [c for c in sequences.columns if c != items]
-    rows = sequences.select(*keep, F.explode(items).alias("_i")).select(*keep, "_i.*")
-    return rows.join(known, "digest", "left")
+def resolve(sequences: DataFrame, known: DataFrame, items: str = "items", texts: bool = True) -> DataFrame:
+    """sequences: an items column. A row per item, in place, with the struct `item` and the struct `media`: the columns of
+    known (one row per digest), null where it has none. texts: whether text items return too."""
+    keep = [c for c in sequences.columns if c not in (items, "item", "media")]
+    wanted = F.col(f"`{items}`") if texts else F.filter(F.col(f"`{items}`"), lambda i: i["kind"] == "media")
+    rows = sequences.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("_page"), F.explode(wanted).alias("item"))
+    facts = known.select(F.col("digest").alias("_digest"), F.struct(*[c for c in known.columns if c != "digest"]).alias("media"))
+    return rows.join(facts, F.col("item.digest") == F.col("_digest"), "left").select(*[F.col(f"_page.`{c}`").alias(c) for c in keep], "item", "media")

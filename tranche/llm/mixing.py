@@ -8,8 +8,8 @@ a seeded order; whole passes come first, then a run of blocks from a seeded star
 
 Only DataFrame operations are used. Shards hold about `shard_docs` documents each, so a source with
 a third of all rows is many tasks. Defined results: null text or null size has no words and is taken 0
-times; a null source is a source of its own, last in order; equal doc_ids are separate documents; an
-empty table gives an empty mix.
+times; a null source is a source of its own, last in order; equal doc_ids are separate documents, each with a row
+of the plan; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -117,15 +117,25 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SHAR
     )
 
 
-def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mixed documents: the text of every taken one, its passes one below another, then its piece.
+def apply_plan(docs: DataFrame, plan: DataFrame, size: Column | None = None) -> DataFrame:
+    """The mixed documents: the text of every taken one, its passes one below another, then its piece. size: as in mix().
 
-    Rows that repeat a row_key all follow the plan's row of the largest share.
+    A row follows the plan's row of its row_key and size. Rows that repeat both are numbered, on both sides; only these
+    are sorted, whatever share of a table they are. Other columns pass through, whatever their names.
     """
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    piece = F.concat_ws(" ", F.slice(words, F.col("piece_from").cast("int") + 1, (F.col("piece_to") - F.col("piece_from")).cast("int")))
-    whole = F.array_repeat(F.col("text"), F.col("passes"))
-    made = F.concat_ws("\n", F.when(F.col("piece_to") > F.col("piece_from"), F.concat(whole, F.array(piece))).otherwise(whole))
-    taken = plan.where("taken > 0").groupBy("row_key").agg(F.max(F.struct("taken", "passes", "piece_from", "piece_to")).alias("_p")).select(F.col("row_key").alias("_key"), "_p.passes", "_p.piece_from", "_p.piece_to")
-    kept = docs.withColumn("_key", row_key()).join(taken, "_key").withColumn("text", made)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), row_key().alias("_key"), own.alias("_size"))
+    plans = plan.select(F.col("row_key").alias("_key"), F.col("size").alias("_size"), F.struct("taken", "passes", "piece_from", "piece_to").alias("_plan"))
+    keys = plans.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_n"), F.max("_plan").alias("_plan"))
+    once = rows.join(keys.where("_n = 1 and _plan.taken > 0").drop("_n"), ["_key", "_size"]).select("_row", "_plan")
+    repeated, within = keys.where("_n > 1").select("_key", "_size"), Window.partitionBy("_key", "_size")
+    asked = rows.join(repeated, ["_key", "_size"]).withColumn("_i", F.row_number().over(within.orderBy(F.xxhash64("_row.text"))))
+    dealt = plans.join(repeated, ["_key", "_size"]).withColumn("_i", F.row_number().over(within.orderBy("_plan")))
+    kept = once.unionByName(asked.join(dealt.where("_plan.taken > 0"), ["_key", "_size", "_i"]).select("_row", "_plan"))
+    text, begin, end = F.col("_row.text"), F.col("_plan.piece_from").cast("int"), F.col("_plan.piece_to").cast("int")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    piece = F.concat_ws(" ", F.slice(words, begin + 1, end - begin))
+    whole = F.array_repeat(text, F.col("_plan.passes"))
+    kept = kept.withColumn("_text", F.concat_ws("\n", F.when(end > begin, F.concat(whole, F.array(piece))).otherwise(whole)))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return kept.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -27,14 +27,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page per document, showing its bytes as an image that the store holds under its digest."""
-    data = F.coalesce("text", F.lit("")).cast("binary")
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), media.padded(data).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    """A page per document: its text, and after the first half of it the text's bytes as an image that the store holds
+    under its digest. The row of a document is that of its image, with the image's place among the page's items."""
+    text = F.coalesce("text", F.lit(""))
+    data = text.cast("binary")
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.octet_length(data).cast("long").alias("n_bytes"), media.padded(data).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     store = table(docs.select("digest", media.to_media(F.col("payload")).alias("media")), compression="zstd")
     name = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))
-    page = F.concat(F.lit("<article><h1>"), name, F.lit(f'</h1><figure><img src="{media.SCHEME}'), F.col("digest"), F.lit('" alt=""><figcaption>bytes of '), name, F.lit("</figcaption></figure></article>"))
-    shown = media.resolve(media.with_items(docs.select("doc_id", "n_bytes", page.alias("html"))).drop("html"), table(media.read_back(store)))
-    return shown.where("kind = 'media'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    half = F.length("text") / 2
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first, second = escaped(F.substring("text", F.lit(1), half.cast("int"))), escaped(F.substring("text", half.cast("int") + 1, F.length("text")))
+    page = F.concat(F.lit("<article><h1>"), name, F.lit("</h1><p>"), first, F.lit(f'</p><figure><img src="{media.SCHEME}'), F.col("digest"), F.lit('" alt=""><figcaption>bytes of '), name, F.lit("</figcaption></figure><p>"), second, F.lit("</p></article>"))
+    pages = media.with_items(docs.select("doc_id", "n_bytes", page.alias("html"))).select("doc_id", "n_bytes", "items", F.size("items").alias("n_items"))
+    rows = media.resolve(pages, table(media.read_back(store)), texts=False)
+    return rows.select("doc_id", "n_bytes", "media.payload_bytes", "media.payload_sha256", "media.tail_crc32", "media.media_bytes", "media.media_sha256", "media.feature", "item.position", "item.caption", "n_items")
 
 
 def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> crf.Crf:
@@ -53,7 +59,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation is chosen over itself with the last turn's text taken from its neighbour (conv_id 2n and 2n + 1)."""
+    """Each conversation is chosen over itself with the last turn's text taken from its neighbour (conv_id 2n and 2n + 1).
+    Turns without a conv_id belong to no conversation, so none of them is part of a pair."""
     turns = read(spark, sf_dir, "conversations").where("conv_id is not null")
     pair = chat.gather_turns(turns, F.floor(F.col("conv_id") / 2), {"even": F.col("conv_id") % 2 == 0, "odd": F.col("conv_id") % 2 != 0})
     last = lambda c: F.element_at(c, -1)
