@@ -323,6 +323,55 @@ def test_hmm_rows(spark, monkeypatch):
     assert hmm.score(documents(spark, []), held).count() == 0
 
 
+def plain_counts(model, seq):
+    """Expected counts of a short sequence, unscaled and step by step."""
+    k, n = len(model.start), len(seq)
+    a, b = np.zeros((n, k)), np.ones((n, k))
+    for t in range(n):
+        a[t] = model.emit[:, seq[t]] * (model.start if t == 0 else a[t - 1] @ model.move)
+    for t in range(n - 2, -1, -1):
+        b[t] = model.move @ (model.emit[:, seq[t + 1]] * b[t + 1])
+    p = a[-1].sum()
+    move, emit = np.zeros((k, k)), np.zeros_like(model.emit)
+    for t in range(n):
+        emit[:, seq[t]] += a[t] * b[t] / p
+        if t:
+            move += model.move * np.outer(a[t - 1], model.emit[:, seq[t]] * b[t]) / p
+    return {"start": a[0] * b[0] / p, "move": move, "emit": emit, "log": math.log(p)}
+
+
+def test_hmm_score_equals_brute_force(spark, monkeypatch):
+    """Classes, counts, incremental Baum-Welch and the score of whole texts, over a small table."""
+    monkeypatch.setattr(hmm, "BLOCK_WORDS", 300)
+    rows = [(i, " ".join([words(12, i, 60), "The"] * (1 + i % 3) + [f"rare{i}"] * (i % 2))) for i in range(60)] + [(60, None), (None, "the w1")]
+    fold = lambda i, by: zlib.crc32(("" if i is None else str(i)).encode()) % by
+    tokens = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
+    counts = Counter(x for i, w in tokens if fold(i, 7) != 2 for x in w)
+    total = sum(counts.values())
+    often = sorted(x for x, c in counts.items() if x and c * hmm.SHARE >= total)
+    cls = lambda x: 1 + hmm.ENDINGS + often.index(x) if x in often else (1 + zlib.crc32(x[-2:]) % 255 if x else 0)
+    n, v = np.zeros(1 + hmm.ENDINGS + len(often)), np.zeros(1 + hmm.ENDINGS + len(often))
+    for x, c in counts.items():
+        n[cls(x)] += c
+        v[cls(x)] += 1
+    shares = (n + 1) / (n + 1).sum()
+    seqs = [(i, [cls(x) for x in w]) for i, w in tokens]
+    model, held, logs = hmm.Hmm.begin(shares), {}, []
+    while len(logs) < 2 or logs[-1] - logs[-2] >= hmm.GAIN * abs(logs[-2]):
+        logs.append(0.0)
+        for f in range(hmm.FOLDS):
+            found = [plain_counts(model, s) for i, s in seqs if fold(i, 7) != 2 and zlib.crc32(str(i).encode()) % hmm.FOLDS == f]
+            if found:
+                logs[-1] += sum(c["log"] for c in found)
+                held[f] = {k: sum(c[k] for c in found) for k in ("start", "move", "emit")}
+                sums = {k: sum(c[k] for c in held.values()) for k in ("start", "move", "emit")}
+                even = lambda a: (a + 1 / hmm.STATES) / (a.sum(-1, keepdims=True) + 1)
+                model = hmm.Hmm(even(sums["start"]), even(sums["move"]), (sums["emit"] + shares) / (sums["emit"].sum(1, keepdims=True) + 1))
+    want = {i: (brute_forward(model, s) / math.log(10) + sum(math.log10((counts[x] + 1) / (n[cls(x)] + v[cls(x)] + 1)) for x in w)) for (i, w), (_, s) in zip(tokens, seqs, strict=True)}
+    got = {r.doc_id: r.score for r in hmm.score(documents(spark, rows).repartition(3), remainder(F.col("doc_id"), 7) == 2).collect()}
+    assert len(logs) > 3 and got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-7) for i in want)
+
+
 def test_hmm_beats_unigrams_on_held_out(spark):
     got = queries.op9_hmm(spark, DATA.replace("0.001", "0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]

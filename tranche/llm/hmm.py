@@ -11,7 +11,8 @@ word per class included, what is fitted by Baum-Welch has a bounded size, and wo
 2. Counts are summed by word, map-side first. They return to the lexicons by a join on the word, in which a word
    has a row per block at most, a two-millionth of the tokens, however frequent it is.
 3. Each block meets its counts and writes its documents as class numbers, with their sums of log counts. Training
-   documents lie in FOLDS columns.
+   documents are dealt to FOLDS folds, each in files of its own, so that a task of one fold still holds many documents
+   side by side.
 4. Baum-Welch, incremental: every task runs the scaled forward-backward recursion over its training documents of
    one fold and emits expected counts, which are summed over tasks and replace that fold's former counts; then the
    model is fitted to the counts of all folds. A pass goes through all folds, so through all training documents.
@@ -200,9 +201,6 @@ def count_expected(hmm: Hmm):
     return run
 
 
-FOLD = [f"fold_{i}" for i in range(FOLDS)]
-
-
 def fold_counts(hmm: Hmm, sequences: DataFrame) -> dict[str, np.ndarray] | None:
     """Expected counts, summed over tasks, of sequences of classes (binary of 16-bit numbers); None if there are none."""
     found = sequences.mapInArrow(count_expected(hmm), "what string, at int, n double").groupBy("what", "at").agg(F.sum("n").alias("n")).toPandas()  # a row per parameter
@@ -216,12 +214,12 @@ def fold_counts(hmm: Hmm, sequences: DataFrame) -> dict[str, np.ndarray] | None:
 
 
 def fit(coded: DataFrame, shares: np.ndarray, states: int = STATES, passes: int = PASSES, gain: float = GAIN) -> tuple[Hmm, list[float]]:
-    """coded: a column of class sequences for each fold. Also the log-likelihood that each pass met."""
+    """coded: fold and classes. Also the log-likelihood that each pass met."""
     hmm, logs, counts = Hmm.begin(shares, states), [], {}
     for _ in range(passes):
         total = 0.0
-        for fold in FOLD:
-            got = fold_counts(hmm, coded.where(F.col(fold).isNotNull()).select(fold))
+        for fold in range(FOLDS):
+            got = fold_counts(hmm, coded.where(F.col("fold") == fold).select("classes"))
             if got is not None:
                 total += float(got.pop("log")[0])
                 counts[fold] = got
@@ -258,12 +256,12 @@ def vocabulary(totals: DataFrame) -> Vocabulary:
     return Vocabulary([bytes(r.word) for r in often], tokens, types)
 
 
-READY = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, " + ", ".join(f"{c} binary" for c in [*FOLD, "rest"])
+READY = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary, fold int"
 
 
 def classify(base: float, within: np.ndarray):
     """A block's documents and lexicon (idx, cls, c) to rows of READY. base: log10 of the unigram denominator. within: log10 of
-    each class's denominator. A training document's classes stand in the column of its fold, others' in rest."""
+    each class's denominator. Documents that don't teach are in fold FOLDS."""
 
     def run(docs: pa.Table, lexicon: pa.Table) -> pa.Table:
         known, cls = np.zeros(lexicon.num_rows, np.int64), np.zeros(lexicon.num_rows, np.int64)
@@ -271,7 +269,7 @@ def classify(base: float, within: np.ndarray):
         known[at], cls[at] = lexicon.column("c").to_numpy(), lexicon.column("cls").to_numpy()
         logs = np.log10(known + 1.0)
         inside, small = within[cls], cls.astype(np.uint16)
-        rows = {c: [] for c in ("n_tokens", "n_known", "base_score", "within", *FOLD, "rest")}
+        rows = {c: [] for c in ("n_tokens", "n_known", "base_score", "within", "classes", "fold")}
         for d, held, x in zip(docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist(), docs.column("ids"), strict=True):
             ids = np.frombuffer(x.as_buffer(), np.int32)
             words = float(logs[ids].sum())
@@ -279,11 +277,10 @@ def classify(base: float, within: np.ndarray):
             rows["n_known"].append(int(np.count_nonzero(known[ids])))
             rows["base_score"].append(words - len(ids) * base)
             rows["within"].append(words - float(inside[ids].sum()))
-            own = "rest" if held else FOLD[crc32(str(d).encode()) % FOLDS]
-            for c in [*FOLD, "rest"]:
-                rows[c].append(small[ids].tobytes() if c == own else None)
-        types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "within": pa.float64()}
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: pa.array(v, types.get(k, pa.binary())) for k, v in rows.items()}})
+            rows["classes"].append(small[ids].tobytes())
+            rows["fold"].append(FOLDS if held else crc32(str(d).encode()) % FOLDS)
+        types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "within": pa.float64(), "classes": pa.binary(), "fold": pa.int32()}
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: pa.array(v, types[k]) for k, v in rows.items()}})
 
     return run
 
@@ -300,7 +297,7 @@ def code(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     counts = totals.join(F.broadcast(frequent), "word", "left").select("word", F.coalesce("own", "cls").alias("cls"), "c")
     met = lexicon.select(F.col("block").alias("of"), "word", "idx").join(counts, "word").select("of", "idx", "cls", "c")
     ready = classify(float(np.log10(words.tokens.sum() + words.types.sum() + 1)), np.log10(words.tokens + words.types + 1))
-    coded = table(numbered.where("ids is not null").select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(met.groupBy("of")).applyInArrow(ready, READY), compression="zstd")
+    coded = table(numbered.where("ids is not null").select("block", "doc_id", "held_out", "ids").groupBy("block").cogroup(met.groupBy("of")).applyInArrow(ready, READY), compression="zstd", by="fold")
     discard(numbered)
     discard(totals)
     return coded, words
@@ -319,8 +316,7 @@ def scored(coded: DataFrame, hmm: Hmm) -> DataFrame:
             score = hidden / np.log(10) + b.column(5).to_numpy()
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(score)], names)
 
-    classes = F.coalesce(*FOLD, "rest")
-    return coded.select(*names[:5], "within", classes).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return coded.select(*names[:5], "within", "classes").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", states: int = STATES, passes: int = PASSES, gain: float = GAIN) -> DataFrame:
