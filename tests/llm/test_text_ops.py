@@ -121,6 +121,56 @@ def test_crf_learns_and_handles_rows(spark):
     assert {r.score for r in crf.with_score(documents(spark, [(1, None), (2, "")]), none).collect()} == {1.0}
 
 
+def brute_score(model, text, lines):
+    """By plain sums over all labellings, as long as lines are few, else line by line in logs."""
+    _, size, x = lines
+    if not len(size):
+        return model.prior
+    z = crf.with_neighbours(np.zeros(len(size), np.int64), x) @ model.weight
+    lse = lambda v: max(v) + math.log(sum(math.exp(a - max(v)) for a in v))
+    node = [(0.0, float(np.clip(a, -30, 30))) for a in z]
+    ahead, back = [list(node[0])], [[0.0, 0.0]]
+    for n in node[1:]:
+        ahead.append([n[b] + lse([ahead[-1][a] + model.move[a, b] for a in (0, 1)]) for b in (0, 1)])
+    for n in node[:0:-1]:
+        back.insert(0, [lse([model.move[a, b] + n[b] + back[0][b] for b in (0, 1)]) for a in (0, 1)])
+    good = [1 / (1 + math.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, back, strict=True)]
+    share = sum(g * s for g, s in zip(good, size, strict=True)) / sum(size)
+    return 1 / (1 + math.exp(-(model.curve[0] * share + model.curve[1])))
+
+
+def test_crf_query_equals_brute_force(spark):
+    """Every score of the query, from each text's own lines alone."""
+    small = DATA.replace("0.001", "0.01")
+    model = queries.quality_model(read(spark, small, "documents"), spark, small)
+    texts = {r.doc_id: r.text for r in read(spark, small, "documents").collect()}
+    rows = queries.op3_crf(spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = (texts[r.doc_id] or "").encode()
+        assert math.isclose(r.score, brute_score(model, text, crf.looks([text])), abs_tol=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.5)
+
+
+def test_crf_finds_bad_lines_in_good_documents(spark):
+    """Junk lines put between lines of good documents that didn't teach."""
+    small = DATA.replace("0.001", "0.01")
+    docs, labels = read(spark, small, "documents"), read(spark, small, "labels")
+    model = crf.fit(docs, labels, remainder(F.col("doc_id"), 3) != 1)
+    held = docs.join(labels, "doc_id").where((remainder(F.col("doc_id"), 3) == 1) & (F.col("quality") == 1)).orderBy("doc_id").collect()
+    junk = ["### $$$ @@@ ||| ### $$$ @@@ ||| *** &&& ###", "CLICK HERE NOW!!! BUY CHEAP!!! CLICK HERE NOW!!!", "home | about | login | home | about | login | home"]
+    found = kept = lines = bad = mixed = 0
+    for k, r in enumerate(held):
+        good = [x for x in r.text.split("\n") if x.strip()]
+        if len(good) < 3:
+            continue
+        at = len(good) // 2
+        _, _, p = model.lines(["\n".join([*good[:at], junk[k % 3], *good[at:]]).encode()])
+        found, bad, kept, lines = found + (p[at] < 0.5), bad + 1, kept + int((np.delete(p, at) >= 0.5).sum()), lines + len(good)
+        mixed += bool((p < 0.5).any() and (p >= 0.5).any())
+    assert bad >= 20 and found / bad >= 0.9 and kept / lines >= 0.95 and mixed / bad >= 0.85
+
+
 # --- near-dedup ---
 
 
