@@ -126,12 +126,13 @@ def apply_plan(docs: DataFrame, plan: DataFrame, size: Column | None = None) ->
     own = word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), row_key().alias("_key"), own.alias("_size"))
     plans = plan.select(F.col("row_key").alias("_key"), F.col("size").alias("_size"), F.struct("taken", "passes", "piece_from", "piece_to").alias("_plan"))
-    keys = plans.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_n"), F.max("_plan").alias("_plan"))
-    once = rows.join(keys.where("_n = 1 and _plan.taken > 0").drop("_n"), ["_key", "_size"]).select("_row", "_plan")
+    keys = table(plans.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_n"), F.max("_plan").alias("_plan")))
+    kept = rows.join(keys.where("_n = 1 and _plan.taken > 0").drop("_n"), ["_key", "_size"]).select("_row", "_plan")
     repeated, within = keys.where("_n > 1").select("_key", "_size"), Window.partitionBy("_key", "_size")
-    asked = rows.join(repeated, ["_key", "_size"]).withColumn("_i", F.row_number().over(within.orderBy(F.xxhash64("_row.text"))))
-    dealt = plans.join(repeated, ["_key", "_size"]).withColumn("_i", F.row_number().over(within.orderBy("_plan")))
-    kept = once.unionByName(asked.join(dealt.where("_plan.taken > 0"), ["_key", "_size", "_i"]).select("_row", "_plan"))
+    if not repeated.isEmpty():  # else the texts needn't be read for them
+        asked = rows.join(repeated, ["_key", "_size"]).withColumn("_i", F.row_number().over(within.orderBy(F.xxhash64("_row.text"))))
+        dealt = plans.join(repeated, ["_key", "_size"]).withColumn("_i", F.row_number().over(within.orderBy("_plan")))
+        kept = kept.unionByName(asked.join(dealt.where("_plan.taken > 0"), ["_key", "_size", "_i"]).select("_row", "_plan"))
     text, begin, end = F.col("_row.text"), F.col("_plan.piece_from").cast("int"), F.col("_plan.piece_to").cast("int")
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     piece = F.concat_ws(" ", F.slice(words, begin + 1, end - begin))
