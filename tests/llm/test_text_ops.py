@@ -228,6 +228,35 @@ def test_near_groups_rows(spark):
     assert simhash.near_groups(documents(spark, [])).count() == 0
 
 
+CLASH = ("_id", "_part", "_key", "_row", "_fate", "id", "part", "node", "fp", "first", "root", "component_id", "kept", "gone", "n_removed", "n_words", "runs", "segments", "h", "s", "m", "seg", "words", "text_hash", "holder", "block", "word", "cls", "idx", "fold", "classes", "score", "held_out", "quality", "lines", "looks")
+
+
+@pytest.mark.parametrize("op", ["near", "substring", "crf", "hmm"])
+def test_clashing_columns(spark, op):
+    """Every name that an operator uses inside, as a column of the documents, changes nothing and stays."""
+    rows = AWKWARD + planted(3, 20)
+    plain = documents(spark, rows)
+    docs = plain
+    for c in CLASH:
+        docs = docs.withColumn(c, F.lit("own"))
+
+    def made(d):
+        if op == "near":
+            return simhash.keep_first(d, simhash.near_groups(d))
+        if op == "substring":
+            return substring.apply_removal(d, *substring.dedup(d))
+        if op == "crf":
+            model = crf.fit(d, spark.createDataFrame([(4, 1), (6, 1), (9, 0), (None, 1)], "doc_id long, quality int"), F.lit(True))
+            return crf.with_score(d, model, to="q").select(*d.columns)
+        return hmm.score(d, F.col("doc_id") % 7 == 2, passes=1).select("doc_id", F.round("score", 6).alias("text"))
+
+    got = made(docs)
+    show = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.select("doc_id", "text").collect())
+    assert show(got) == show(made(plain))
+    if op != "hmm":
+        assert got.columns == docs.columns and not got.where(" or ".join(f"{c} <> 'own'" for c in CLASH)).count()
+
+
 # --- substring dedup ---
 
 

@@ -196,6 +196,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One document of each group: that with the smallest doc_id. Groups without any id stay whole."""
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("part").alias("_part")).distinct()
-    return docs.join(first, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (text_key() == F.col("_part")), "left_semi")
+    """One document of each group: that with the smallest doc_id. Groups without any id stay whole. Other columns pass
+    through, whatever their names."""
+    key = lambda doc_id, part: F.struct(F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("id"), part.alias("part")).alias("_key")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id"), F.col("part"))).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key(F.col("doc_id"), text_key()))
+    return rows.join(first, "_key", "left_semi").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
