@@ -73,6 +73,15 @@ def test_bpe_pairs_decide_like_merging():
         assert own.merge_long(w) == own.merge(w)
 
 
+def test_bpe_merges_side_by_side_like_alone():
+    own = bpe.loaded(queries.tokenizer_path())
+    rng = np.random.default_rng(4)
+    some = [b"", b"a", b"aaaa", b"a" * 64, b"a" * 65, b"ab" * 32, "é€𝄞".encode(), *[bytes(rng.choice([97, 98, 101, 116, 195, 169, 32], n)) for n in rng.integers(1, 90, 3000).tolist()]]
+    for w, ids in zip(some, own.merge_all(some), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == own.merge_long(w)
+    assert own.merge_all([]) == []
+
+
 def test_bpe_rows(spark, library):
     path = queries.tokenizer_path()
     docs = documents(spark, AWKWARD).withColumn("ids", F.lit("clash"))

@@ -3,7 +3,7 @@
 Each distinct word is first cut greedily into the longest tokens. A token sequence is what BPE
 gives if every token is what BPE makes of its own bytes and every adjacent pair is left alone when
 both are encoded together; both tests run over all pairs of a batch at once. Only words that fail
-are merged exactly, rule by rule.
+are merged exactly, rule by rule, all of a batch in lockstep.
 
 Defined results: a null text counts as empty and has no ids. Ids unknown to the vocabulary decode to
 nothing; bytes that are not UTF-8 decode to U+FFFD, as a lossy decoder does. Rows, repeated or not,
@@ -36,9 +36,9 @@ PAIR_BITS = 20
 #: Stands between words; no byte of a token.
 SEPARATOR = "\u0100"
 FAR = np.int64(1) << 40
-NO_RULE = 1 << 40
-#: Longer words are merged through a heap.
-LONG = 64
+#: Words are merged side by side, in tables of these widths, BESIDE of them at most; longer ones through a heap.
+WIDTHS = (8, 16, 32, 64)
+BESIDE = 1 << 15
 
 
 def printable_bytes() -> dict[str, int]:
@@ -48,6 +48,11 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def slots(code: np.ndarray, bits: int) -> np.ndarray:
+    """A slot for each code in a table of 2 ** bits: the leading bits of a multiplicative hash."""
+    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Vocabulary:
     """What decoding needs: the bytes of each id."""
 
@@ -95,11 +100,9 @@ class Bpe(Vocabulary):
             if self.rank[made] < 0:
                 self.left[made], self.right[made], self.rank[made] = a, b, r
         self.byte_ids = [vocab[bytes([c])] for c in range(256)]
-        self.base = np.int64(size)
-        codes = np.array([a * size + b for a, b in self.rank_of], np.int64)
-        order = np.argsort(codes)
-        self.codes = np.concatenate([codes[order], [FAR]])
-        self.ranks = np.concatenate([np.array(list(self.rank_of.values()), np.int64)[order], [FAR]])
+        self.first, self.makes = np.array(self.byte_ids, np.int64), np.array([*self.made_by, 0], np.int64)
+        self.none, self.base = np.int64(size), np.int64(size + 1)  # `none` stands where there is no token
+        self.hold()
         self.matcher = ahocorasick.Automaton()
         for b, t in vocab.items():
             self.matcher.add_word(b.decode("latin-1"), t)
@@ -114,6 +117,36 @@ class Bpe(Vocabulary):
         self.cache: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.older: dict[str, bytes] = {}
 
+    def hold(self) -> None:
+        """Lays the rules out by their pairs: each in the first free slot from the one that its code points to."""
+        pairs = np.array(list(self.rank_of), np.int64).reshape(-1, 2)
+        codes, ranks = pairs[:, 0] * self.base + pairs[:, 1], np.array(list(self.rank_of.values()), np.int64)
+        self.rule_bits = max(4, 2 + len(codes).bit_length())
+        self.codes, self.ranks = np.full(1 << self.rule_bits, -1, np.int64), np.full(1 << self.rule_bits, FAR)
+        slot = slots(codes, self.rule_bits)
+        while len(codes):
+            free = np.flatnonzero(self.codes[slot] < 0)
+            mine = free[np.unique(slot[free], return_index=True)[1]]
+            self.codes[slot[mine]], self.ranks[slot[mine]] = codes[mine], ranks[mine]
+            left = np.ones(len(codes), bool)
+            left[mine] = False
+            codes, ranks, slot = codes[left], ranks[left], (slot[left] + 1) & ((1 << self.rule_bits) - 1)
+
+    def rule(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the rule that merges each pair (a, b), FAR where there is none."""
+        code = a * self.base + b
+        slot = slots(code, self.rule_bits)
+        held = self.codes[slot]
+        rank = np.where(held == code, self.ranks[slot], FAR)
+        on = np.flatnonzero((held != code) & (held >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & ((1 << self.rule_bits) - 1)
+            held = self.codes[slot[on]]
+            same = held == code[on]
+            rank[on[same]] = self.ranks[slot[on[same]]]
+            on = on[~same & (held >= 0)]
+        return rank
+
     def apart(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """Whether no merge crosses the border of each pair (a, b), before the rule `until` where given.
 
@@ -126,9 +159,7 @@ class Bpe(Vocabulary):
         before_a = np.full(len(a), FAR) if until is None else until.copy()
         before_b = before_a - 1 if until is not None else before_a.copy()
         while len(at):
-            code = a * self.base + b
-            found = np.searchsorted(self.codes, code)
-            rank = np.where(self.codes[found] == code, self.ranks[found], FAR)
+            rank = self.rule(a, b)
             bad = (rank < before_a) & (rank <= before_b) & (rank < FAR)
             good[at[bad]] = False
             ra, rb = self.rank[a], self.rank[b]
@@ -141,22 +172,61 @@ class Bpe(Vocabulary):
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: lowest rule first, leftmost of equals."""
-        if len(word) > LONG:
-            return self.merge_long(word)
-        ids, rank_of, none = [self.byte_ids[c] for c in word], self.rank_of.get, NO_RULE
-        ranks = [rank_of(p, none) for p in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            ids[i : i + 2] = [self.made_by[best]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank_of((ids[i], ids[i + 1]), none)
-        return ids
+        return np.frombuffer(self.merge_all([word])[0], np.int32).tolist()
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The same for many words; ids as 32-bit numbers."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        found = [b""] * len(words)
+        for least, width in zip((0, *WIDTHS), WIDTHS):
+            at = np.flatnonzero((sizes > least) & (sizes <= width))
+            for begin in range(0, len(at), BESIDE):
+                part = at[begin : begin + BESIDE]
+                for i, ids in zip(part.tolist(), self.merge_beside([words[i] for i in part.tolist()], sizes[part], width)):
+                    found[i] = ids
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            found[i] = np.array(self.merge_long(words[i]), np.int32).tobytes()
+        return found
+
+    def merge_beside(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        """A column a word, a row a byte, and one more row for the places beside a word's ends. In each step every
+        word takes its own lowest rule, so the steps are as many as the most merges of a word. A pair's key is its
+        rank and then its row; it stands where the pair begins."""
+        n, far = len(words), np.int64(FAR * WIDTHS[-1])
+        row = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        col = np.repeat(np.arange(n), sizes)
+        ids = np.full((width + 1, n), self.none)
+        ids[row, col] = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        after, before = np.full((width + 1, n), width), np.full((width + 1, n), width)
+        row, col = row[row > 0], col[row > 0]  # of the second byte of each pair
+        after[row - 1, col], before[row, col] = row, row - 1
+        keys = np.full((width + 1, n), far)
+        keyed = lambda a, b, at: np.where((rank := self.rule(a, b)) < FAR, rank * WIDTHS[-1] + at, far)
+        keys[row - 1, col] = keyed(ids[row - 1, col], ids[row, col], row - 1)
+        place = np.arange(n)  # the word of each column of keys
+        while len(place):
+            best = keys.min(axis=0)
+            here = np.flatnonzero(best < far)
+            if 2 * len(here) < len(place):
+                keys, place, best, here = keys[:, here], place[here], best[here], np.arange(len(here))
+            if not len(here):
+                break
+            rank, i = np.divmod(best[here], WIDTHS[-1])
+            col = place[here]
+            j = after[i, col]
+            h, k = before[i, col], after[j, col]
+            made = self.makes[rank]
+            ids[i, col], ids[j, col] = made, self.none
+            after[i, col], before[k, col] = k, i
+            keys[j, here] = far
+            keys[i, here] = keyed(made, ids[k, col], i)
+            keys[h, here] = keyed(ids[h, col], made, h)
+        left = ids.T != self.none
+        ends, flat = 4 * np.cumsum(left.sum(axis=1)), ids.T[left].astype(np.int32).tobytes()
+        return [flat[b:e] for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def merge_long(self, word: bytes) -> list[int]:
-        """The same through a heap over a linked list, for words of any length."""
+        """Exact merging through a heap over a linked list, for words of any length."""
         ids = [self.byte_ids[c] for c in word]
         n, rank_of, made_by = len(ids), self.rank_of, self.made_by
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -178,7 +248,7 @@ class Bpe(Vocabulary):
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """apart() through a table of pairs tested before, a pair to a slot; a later pair takes its slot over."""
         code = a * self.base + b
-        slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        slot = slots(code, PAIR_BITS)
         new = self.tested[slot] >> 1 != code
         good = (self.tested[slot] & 1).astype(bool)
         if new.any():
@@ -199,9 +269,12 @@ class Bpe(Vocabulary):
         inside = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
         bad[of[inside[~self.fits(flat[inside], flat[inside + 1])]]] = True
         guess, begin, cache = flat.astype(np.int32).tobytes(), 0, self.cache
-        for w, end, wrong, r in zip(words, (4 * ends).tolist(), bad.tolist(), raw, strict=True):
-            cache[w] = np.array(self.merge(r), np.int32).tobytes() if wrong else guess[begin:end]
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            cache[w] = guess[begin:end]
             begin = end + 4
+        failed = np.flatnonzero(bad).tolist()
+        for i, ids in zip(failed, self.merge_all([raw[i] for i in failed])):
+            cache[words[i]] = ids
 
     def pieces(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.added):
