@@ -36,9 +36,9 @@ PAIR_BITS = 20
 #: Stands between words; no byte of a token.
 SEPARATOR = "\u0100"
 FAR = np.int64(1) << 40
-#: Words are merged side by side, in tables of these widths, BESIDE of them at most; longer ones through a heap.
+#: Words are merged side by side, in tables of these widths and so many cells at most; longer ones through a heap.
 WIDTHS = (8, 16, 32, 64)
-BESIDE = 1 << 15
+CELLS = 1 << 17
 
 
 def printable_bytes() -> dict[str, int]:
@@ -180,8 +180,8 @@ class Bpe(Vocabulary):
         found = [b""] * len(words)
         for least, width in zip((0, *WIDTHS), WIDTHS):
             at = np.flatnonzero((sizes > least) & (sizes <= width))
-            for begin in range(0, len(at), BESIDE):
-                part = at[begin : begin + BESIDE]
+            for begin in range(0, len(at), CELLS // width):
+                part = at[begin : begin + CELLS // width]
                 for i, ids in zip(part.tolist(), self.merge_beside([words[i] for i in part.tolist()], sizes[part], width)):
                     found[i] = ids
         for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
