@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crf, hmm, media, mixing, simhash, substring, topk, warc
-from .shared import read, remainder, table
+from . import audit, bpe, chat, crf, hmm, media, merkle, mixing, simhash, substring, token_files, topk, warc
+from .shared import new_folder, read, remainder, table
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_media": op2_media, "op3_crf": op3_crf, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op6_warc": op6_warc, "op7_topk": op7_topk, "op8_substring": op8_substring, "op9_hmm": op9_hmm, "op10_mixing": op10_mixing}
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return audit.text_audit(docs, read(spark, sf_dir, "labels"))
+
+
+#: Fixed value: the id that ends each document.
+END = 1
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    token_files.write(docs, path, tokenizer_path("word_bpe_49k.json"), END)
+    return token_files.with_crc32(token_files.read(spark, path, ["doc_id", "start", "n_tokens", "ids"]))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what becomes of the root where a document claims one character more than it had."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read(spark, sf_dir, "documents").select(*fields)
+    claimed = merkle.leaf(*[F.try_add(F.col(f), F.lit(1)) if f == "n_chars" else F.col(f) for f in fields])
+    made = merkle.manifest(docs, fields, "lang", "doc_id", {"claimed": F.when(remainder(F.col("doc_id"), 7) == 0, claimed)})
+    folded = made.withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", sha256(F.array_join("proof.digest", "")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_media": op2_media, "op3_crf": op3_crf, "op4_simhash": op4_simhash, "op5_preferences": op5_preferences, "op6_warc": op6_warc, "op7_topk": op7_topk, "op8_substring": op8_substring, "op9_hmm": op9_hmm, "op10_mixing": op10_mixing, "op11_audit": op11_audit, "op12_token_files": op12_token_files, "op13_merkle": op13_merkle}
 SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 #: Windows of 50 words by whole words; kept words in their order.
@@ -154,4 +180,55 @@ o as (select *, {sql_seeded(mixing.SEED + 2, "k, ':', shard")} % cast(per - more
 select doc_id, size, source_size, target, source, shard,
   cast(passes * size + greatest(0, least(size, lo + more * block - (fin - size))) - greatest(0, least(size, lo - (fin - size))) as bigint) as taken from o
 """
-ORACLE: dict[str, str] = {"op5_preferences": SQL_PREFERENCES, "op7_topk": SQL_TOPK, "op8_substring": SQL_SUBSTRING, "op10_mixing": SQL_MIXING}
+#: The orders come from joining the letters with themselves; each document is looked at once a step.
+SQL_AUDIT = f"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {SQL_WORDS} as w from documents),
+f as (select part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) over (partition by t), false)] as x, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from w left join (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id) using (doc_id)),
+l as (select unnest(range(1, 6)) as i),
+o as (select [a.i, b.i, c.i, d.i, e.i] as o from l a join l b on b.i <> a.i join l c on c.i not in (a.i, b.i) join l d on d.i not in (a.i, b.i, c.i) join l e on e.i not in (a.i, b.i, c.i, d.i)),
+s as (select array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') as filter_order, step, o[:step - 1] as ahead, o[step] as own from o, unnest(range(1, 6)) as t(step)),
+r as (select part, filter_order, cast(step as integer) as step, own,
+    count(*) filter (where not x[own] and not early) as kept, count(*) filter (where x[own] and not early) as removed, count(*) filter (where x[own] and early) as redundant,
+    count(*) filter (where x[own] and len(list_filter(x, lambda y: y)) = 1) as unique_fails,
+    count(*) filter (where x[own] and not early and good) as good_lost, count(*) filter (where x[own] and not early and toxic) as toxic_lost
+  from (select *, len(list_filter(ahead, lambda i: x[i])) > 0 as early from f, s) group by part, filter_order, step, own)
+select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
+"""
+#: Levels of a tree that the SQL builds: enough for 2 ** SQL_LEVELS rows of one group.
+SQL_LEVELS = 20
+
+
+def sql_tree(name: str, nodes: str, rows: str) -> str:
+    """Parts of a with-clause: `name` holds rows (g, pos, c and others) with p, the siblings met on the way up in the trees
+    over nodes (g, pos, d), x, what c is folded to, and the root."""
+    parts = [f"{name}0 as (select g, pos, d, count(*) over (partition by g) as n from {nodes})", f"{name}_0 as (select * exclude (pos, c), pos as place, '' as p, c as x from {rows})"]
+    for i in range(SQL_LEVELS):
+        parts.append(f"{name}{i + 1} as materialized (select g, pos // 2 as pos, case when any_value(n) = 1 then any_value(d) else sha256(string_agg(d, '' order by pos)) end as d, any_value(n + 1) // 2 as n from {name}{i} group by g, pos // 2)")
+        parts.append(f"""{name}_{i + 1} as materialized (select f.* exclude (place, p, x), place // 2 as place, p || coalesce(s.d, '') as p,
+          case when m.n = 1 then x when s.d is null then sha256(x) when place % 2 = 1 then sha256(s.d || x) else sha256(x || s.d) end as x
+          from {name}_{i} f join {name}{i} m on m.g = f.g and m.pos = f.place left join {name}{i} s on s.g = f.g and s.pos = xor(f.place, 1))""")
+    parts.append(f"{name} as (select f.*, t.d as root from {name}_{SQL_LEVELS} f join {name}{SQL_LEVELS} t on t.g = f.g)")
+    return ",\n".join(parts)
+
+
+def _sql_leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode(cast({f} as varchar))) || ':' || {f}, '-')" for f in fields) + "))"
+
+
+#: CRC-32 of a number's digits, bit by bit (3988292384: the reversed polynomial).
+_SQL_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::ubigint, flatten(list_transform(range(length(s)), lambda i: [(256 + ord(s[i + 1]))::ubigint, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: case when (xor(a, b & 255) & 1) = 1 then xor(xor(a, b & 255) >> 1, 3988292384::ubigint) else xor(a, b & 255) >> 1 end))"""
+SQL_MERKLE = f"""
+with crc as (select doc_id, {_SQL_CRC} as r from (select distinct doc_id, cast(doc_id as varchar) as s from documents where doc_id is not null)),
+h as (select d.doc_id, coalesce('+' || lang, '') as g, {_sql_leaf("n_chars")} as d, case when coalesce(r, 0) % 7 = 0 then {_sql_leaf("n_chars + 1")} end as changed from documents d left join crc using (doc_id)),
+leaves as (select doc_id, g, d, d as leaf, coalesce(changed, d) as c, row_number() over (partition by g order by doc_id nulls first, d) - 1 as pos from h),
+{sql_tree("low", "leaves", "leaves")},
+subs as (select '' as g, g as lang, any_value(root) as d, row_number() over (order by encode(g)) - 1 as pos from low group by lang),
+docs as (select '' as g, doc_id, leaf, root as subroot, low.p as own, low.x as c, subs.pos from low join subs on subs.lang = low.g),
+{sql_tree("top", "subs", "docs")}
+select doc_id, leaf, subroot, root, sha256(own || p) as proof_sha256, x as folded_root, x = root as verified from top
+"""
+ORACLE: dict[str, str] = {"op11_audit": SQL_AUDIT, "op13_merkle": SQL_MERKLE, "op5_preferences": SQL_PREFERENCES, "op7_topk": SQL_TOPK, "op8_substring": SQL_SUBSTRING, "op10_mixing": SQL_MIXING}

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; bytes.split() cuts at the same bytes.
@@ -43,11 +43,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder at which nothing is yet."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame, compression: str = "snappy", by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and lost executors cost nothing.
     by: a column of few values, each of which gets files of its own."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path, compression=compression, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
@@ -84,6 +89,17 @@ def in_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 2
     pa.default_memory_pool().release_unused()
 
 
+def before(rows: DataFrame, part: str, value: str, to: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `to`: the sum of `value` over rows of smaller `part` (a whole number, once for each `by`). Windows look at a
+    thousand parts, and then at one row for each thousand."""
+    keys = [*by, "_block"]
+    rows = rows.withColumn("_block", F.shiftright(part, 10))
+    ahead = lambda keys, order: Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*keys).agg(F.sum(value).alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead([*by], "_block")), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum(value).over(ahead(keys, part)), F.lit(0))
+    return rows.join(blocks, keys).withColumn(to, F.col("_ahead") + inside).drop("_block", "_ahead")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
