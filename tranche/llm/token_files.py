@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,7 +30,9 @@ from .shared import before, in_slices
 #: Bytes of a row group, about, and rows of a page.
 GROUP_BYTES, PAGE_ROWS = 32 << 20, 1000
 #: Distinct chunks of text that a worker keeps, and the longest of them.
-CACHE, LONGEST = 200_000, 64
+CACHE, LONGEST = 500_000, 64
+#: Pieces that go to the library's model in one string.
+LINE = 1000
 #: What the shortcut for a chunk leaves to the whole tokenizer: characters that may combine, and special tokens.
 OTHER = regex.compile(r"[^\x00-˿]|<\|")
 #: Fixed value: the pre-tokenizer's pattern in the tokenizer file; line feeds stand between chunks here.
@@ -42,63 +43,72 @@ class WordEncoder:
     """The tokenizers library, asked once for each chunk between white space that a task has not met.
 
     White space parts words for the pre-tokenizer, and neither normalising nor lower-casing looks beyond it, so chunks are
-    encoded alike wherever they stand. Chunks of plain letters are cut here and each piece goes to the library's model; others
-    go through its whole pipeline.
+    encoded alike wherever they stand. Chunks of plain letters are cut here, a batch at once, and their pieces go to the
+    library's model, where a token of a word's end closes each piece; other chunks go through its whole pipeline.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.model = self.whole.model
-        self.letters = {b: c for c, b in printable_bytes().items()}
+        self.model = Tokenizer(self.whole.model)  # takes pieces with a blank between them
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for c, b in printable_bytes().items() if b != 32}
+        suffix = self.whole.model.end_of_word_suffix
+        vocab = self.whole.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
-    def piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            text = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(self.letters)
-            ids = array("i", [t.id for t in self.model.tokenize(text)]).tobytes()
-            if len(p) <= LONGEST:
-                self.pieces[p] = ids
-        return ids
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of chunks that can be cut here, as 32-bit numbers."""
+        cut = PIECES.findall("\n".join([*texts, ""]).lower())
+        number = {p: i for i, p in enumerate(dict.fromkeys(cut))}
+        which = np.fromiter(map(number.__getitem__, cut), np.int64, len(cut))
+        feed = number.pop("\n")  # stands for no ids
+        pieces = list(number)
+        lines = [" ".join(pieces[i : i + LINE]).encode().decode("latin-1").translate(self.letters) for i in range(0, len(pieces), LINE)]
+        ids = np.array([i for e in self.model.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int64)
+        ends = np.insert(np.flatnonzero(self.closes[ids]) + 1, feed, 0)
+        begins = np.concatenate([[0], np.delete(ends, feed)])
+        begins = np.insert(begins[:-1], feed, 0)
+        sizes = ends - begins
+        size, begin = sizes[which], begins[which]
+        total = np.cumsum(size)
+        flat = ids[np.repeat(begin - total + size, size) + np.arange(total[-1])].astype(np.int32).tobytes()
+        stops = (4 * total[which == feed]).tolist()
+        return [flat[b:e] for b, e in zip([0, *stops], stops)]
 
     def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        found: dict[bytes, bytes] = {}
-        plain, texts = [], []
+        plain, texts, found = [], [], {}
         for c in new:
             text = c.decode()
             if text.isascii() and "<|" not in text or not OTHER.search(text):
                 plain.append(c)
                 texts.append(text)
             else:
-                found[c] = array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        ids: list[bytes] = []
-        at = iter(plain)
-        for p in PIECES.findall("\n".join([*texts, ""]).lower()):
-            if p == "\n":
-                found[next(at)] = b"".join(ids)
-                ids = []
-            else:
-                ids.append(self.piece(p))
+                found[c] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+        if plain:
+            found.update(zip(plain, self.plain(texts), strict=True))
         return found
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts."""
-        if len(self.chunks) > CACHE or len(self.pieces) > CACHE:
+        if len(self.chunks) > CACHE:
             self.forget()
         cut = [t.split() for t in texts]
         chunks = self.chunks
         found = self.learn(list(set(chain.from_iterable(cut)).difference(chunks)))
-        chunks.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
         long = {c: ids for c, ids in found.items() if len(c) > LONGEST}
+        for c in long:
+            del found[c]
+        chunks.update(found)
         get = chunks.__getitem__ if not long else lambda c: chunks[c] if c in chunks else long[c]
         return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
 
