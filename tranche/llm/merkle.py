@@ -114,9 +114,9 @@ def paths(leaves: list[str], height: int) -> Iterator[list[tuple[bool | None, st
             stack.step(leaves)
 
 
-def levels(count: int) -> int:
+def levels(count: int, height: int) -> int:
     """Levels above so many nodes in their block: all of a block, or as many as one block's whole tree has."""
-    return HEIGHT if count > 1 << HEIGHT else max(0, count - 1).bit_length()
+    return min(height, max(0, count - 1).bit_length())
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -131,30 +131,30 @@ def placed(rows: DataFrame) -> DataFrame:
     return cut.join(ahead, ["g", "part"]).withColumn("pos", F.col("at") - F.col("begin") + F.col("ahead")).drop("at", "part", "begin", "ahead")
 
 
-def in_blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.shiftright("pos", HEIGHT))
+def in_blocks(nodes: DataFrame, height: int) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("pos", height))
 
 
-def climb(leaves: DataFrame) -> list[DataFrame]:
+def climb(leaves: DataFrame, height: int) -> list[DataFrame]:
     """leaves: g, pos, n, digest. These, their blocks' nodes, those nodes' blocks' nodes, and so on until each g has one."""
 
     def above(key, block):
         g, n, at = (x.as_py() for x in key)
         order = np.argsort(block.column("pos").to_numpy())
-        digest = node(block.column("digest").take(pa.array(order)).to_pylist(), levels(n))
-        return pa.table({"g": pa.array([g], pa.string()), "pos": [at], "n": [-(-n // (1 << HEIGHT))], "digest": [digest]})
+        digest = node(block.column("digest").take(pa.array(order)).to_pylist(), levels(n, height))
+        return pa.table({"g": pa.array([g], pa.string()), "pos": [at], "n": [-(-n // (1 << height))], "digest": [digest]})
 
     made = [leaves]
     while True:
-        made.append(table(in_blocks(made[-1].select("g", "pos", "n", "digest")).groupBy("g", "n", "block").applyInArrow(above, "g string, pos long, n long, digest string")))
+        made.append(table(in_blocks(made[-1].select("g", "pos", "n", "digest"), height).groupBy("g", "n", "block").applyInArrow(above, "g string, pos long, n long, digest string")))
         if (made[-1].agg(F.max("n")).first()[0] or 0) <= 1:
             return made
 
 
-def with_proofs(nodes: DataFrame, upper: DataFrame) -> DataFrame:
+def with_proofs(nodes: DataFrame, upper: DataFrame, height: int) -> DataFrame:
     """nodes: g, pos, n, digest and others. Adds `proof`: the node's steps in its block and then those of upper (g, pos, proof),
     which has a row for each block."""
-    rows = in_blocks(nodes)
+    rows = in_blocks(nodes, height)
     schema = StructType([*nodes.schema.fields, StructField("proof", ArrayType(STEP))])
     kind = pa.list_(pa.struct([("left", pa.bool_()), ("digest", pa.string())]))
     names = nodes.columns
@@ -162,26 +162,26 @@ def with_proofs(nodes: DataFrame, upper: DataFrame) -> DataFrame:
     def proven(key, block, shared):
         order = pa.array(np.argsort(block.column("pos").to_numpy()))
         block = block.select(names).take(order).combine_chunks()
-        height = levels(block.column("n")[0].as_py())
+        own = levels(block.column("n")[0].as_py(), height)
         rest = [(s["left"], s["digest"]) for s in shared.column("proof")[0].as_py()]
-        steps = [s for path in paths(block.column("digest").to_pylist(), height) for s in (*path, *rest)]
+        steps = [s for path in paths(block.column("digest").to_pylist(), own) for s in (*path, *rest)]
         left, digest = zip(*steps) if steps else ((), ())
         values = pa.StructArray.from_arrays([pa.array(left, pa.bool_()), pa.array(digest, pa.string())], ["left", "digest"])
-        size = height + len(rest)
+        size = own + len(rest)
         return block.append_column("proof", pa.ListArray.from_arrays(np.arange(0, size * block.num_rows + 1, size, np.int32) if size else np.zeros(block.num_rows + 1, np.int32), values).cast(kind))
 
     return rows.groupBy("g", "block").cogroup(upper.select("g", F.col("pos").alias("block"), "proof").groupBy("g", "block")).applyInArrow(proven, schema)
 
 
-def proven(made: list[DataFrame], top: DataFrame) -> DataFrame:
+def proven(made: list[DataFrame], top: DataFrame, height: int) -> DataFrame:
     """made: what climb() gives. Its leaves with their proofs, which go on as top (g, proof) has it."""
     upper = made[-1].select("g", "pos").join(top, "g")
     for nodes in reversed(made[1:-1]):
-        upper = table(with_proofs(nodes, upper).select("g", "pos", "proof"))
-    return with_proofs(made[0], upper)
+        upper = table(with_proofs(nodes, upper, height).select("g", "pos", "proof"))
+    return with_proofs(made[0], upper, height)
 
 
-def manifest(rows: DataFrame, fields: list[str], group: str, order: str, keep: dict[str, Column] | None = None) -> DataFrame:
+def manifest(rows: DataFrame, fields: list[str], group: str, order: str, keep: dict[str, Column] | None = None, height: int = HEIGHT) -> DataFrame:
     """order, group, the columns of `keep`, leaf, subroot, root and proof of every row.
 
     fields: what a leaf is the hash of. The rows are read once; digests and kept columns are what is shuffled after that.
@@ -189,11 +189,11 @@ def manifest(rows: DataFrame, fields: list[str], group: str, order: str, keep: d
     kept = F.struct(F.col(f"`{order}`").alias("order"), F.col(f"`{group}`").alias("group"), *[F.struct(c.alias("v")).alias(f"keep{i}") for i, c in enumerate((keep or {}).values())])
     g = F.coalesce(F.concat(F.lit("+"), F.col(f"`{group}`").cast("string")), F.lit(""))  # null stands before all others
     leaves = rows.select(g.alias("g"), F.col(f"`{order}`").alias("k"), leaf(*[F.col(f"`{f}`") for f in fields]).alias("digest"), kept.alias("row"))
-    trees = climb(placed(leaves).drop("k"))
+    trees = climb(placed(leaves).drop("k"), height)
     subroots = trees[-1].select("g", "digest")
-    over = climb(table(placed(subroots.select(F.lit("").alias("g"), F.col("g").alias("k"), "digest")).withColumnRenamed("k", "key")))
+    over = climb(table(placed(subroots.select(F.lit("").alias("g"), F.col("g").alias("k"), "digest")).withColumnRenamed("k", "key")), height)
     root = over[-1].select(F.col("digest").alias("root"), F.lit("").alias("_g"))
-    top = table(proven(over, over[-1].select("g", F.array().cast(ArrayType(STEP)).alias("proof"))).select(F.col("key").alias("g"), F.col("digest").alias("subroot"), "proof"))
+    top = table(proven(over, over[-1].select("g", F.array().cast(ArrayType(STEP)).alias("proof")), height).select(F.col("key").alias("g"), F.col("digest").alias("subroot"), "proof"))
     roots = top.select("g", "subroot", F.lit("").alias("_g")).join(root, "_g").drop("_g")
-    out = proven(trees, top.select("g", "proof")).join(roots, "g")
+    out = proven(trees, top.select("g", "proof"), height).join(roots, "g")
     return out.select(F.col("row.order").alias(order), F.col("row.group").alias(group), *[F.col(f"row.keep{i}").getField("v").alias(k) for i, k in enumerate(keep or {})], F.col("digest").alias("leaf"), "subroot", "root", "proof")

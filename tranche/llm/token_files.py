@@ -14,10 +14,10 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,7 +64,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Ids of chunks that can be cut here, as 32-bit numbers."""
@@ -85,32 +85,31 @@ class WordEncoder:
         stops = (4 * total[which == feed]).tolist()
         return [flat[b:e] for b, e in zip([0, *stops], stops)]
 
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        plain, texts, found = [], [], {}
-        for c in new:
-            text = c.decode()
-            if text.isascii() and "<|" not in text or not OTHER.search(text):
-                plain.append(c)
-                texts.append(text)
-            else:
-                found[c] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-        if plain:
-            found.update(zip(plain, self.plain(texts), strict=True))
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        plain = [c for c in new if c.isascii() and "<|" not in c or not OTHER.search(c)]
+        found = dict(zip(plain, self.plain(plain), strict=True)) if plain else {}
+        if len(plain) < len(new):
+            for c in set(new).difference(plain):
+                found[c] = np.array(self.whole.encode(c, add_special_tokens=False).ids, np.int32).tobytes()
         return found
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of UTF-8 texts."""
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and the last one's end. Distinct chunks are looked up once."""
         if len(self.chunks) > CACHE:
             self.forget()
-        cut = [t.split() for t in texts]
-        chunks = self.chunks
-        found = self.learn(list(set(chain.from_iterable(cut)).difference(chunks)))
-        long = {c: ids for c, ids in found.items() if len(c) > LONGEST}
-        for c in long:
-            del found[c]
-        chunks.update(found)
-        get = chunks.__getitem__ if not long else lambda c: chunks[c] if c in chunks else long[c]
-        return [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        known, chunks = words.dictionary.to_pylist(), self.chunks
+        found = self.learn([c for c in known if c not in chunks])
+        chunks.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
+        each = [found[c] if c in found else chunks[c] for c in known]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        ids, which = np.frombuffer(b"".join(each), np.int32), words.indices.to_numpy()
+        size, begin = size[which], (np.cumsum(size) - size)[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        lengths = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+        return flat, ends[np.concatenate([[0], np.cumsum(lengths)])]
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -125,7 +124,7 @@ def loaded(path: str) -> WordEncoder:
 def encoded(docs: DataFrame, tokenizer: str, end: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, part, offset, n_tokens, ids, meta, in order: what write() puts into files."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, doc_id)]
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    raw = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(raw).alias("tie"), raw.alias("text"), F.struct(*rest, F.lit(None).cast("string").alias("_")).alias("meta") if not rest else F.struct(*rest).alias("meta"))
     key = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key).drop("tie")
@@ -135,16 +134,11 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, text: str = "text", doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, offset = loaded(tokenizer), TaskContext.get().partitionId(), 0
         for b in in_slices(batches, 1):
-            got = encoder.encode(b.column(1).to_pylist())
-            sizes = np.fromiter(map(len, got), np.int64, len(got)) + 1
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.full(ends[-1], end, np.int32)
-            kept = np.ones(ends[-1], bool)
-            kept[ends[1:] - 1] = False
-            flat[kept] = np.concatenate(got)
+            flat, ends = encoder.encode(b.column(1))
+            flat, ends = np.insert(flat, ends[1:], end), ends + np.arange(len(ends))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            parts = pa.array(np.full(len(got), part, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), parts, pa.array(offset + ends[:-1]), pa.array(sizes), ids, b.column(2)], schema.names)
+            parts = pa.array(np.full(b.num_rows, part, np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), parts, pa.array(offset + ends[:-1]), pa.array(np.diff(ends)), ids, b.column(2)], schema.names)
             offset += int(ends[-1])
         encoder.forget()  # the worker may wait long for its next task
 
