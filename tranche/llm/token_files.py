@@ -31,6 +31,8 @@ from .shared import before, in_slices
 GROUP_BYTES, PAGE_ROWS = 32 << 20, 1000
 #: Distinct chunks of text that a worker keeps, and the longest of them.
 CACHE, LONGEST = 500_000, 64
+#: Bytes of text that are encoded at once, about.
+SLICE = 4 << 20
 #: Pieces that go to the library's model in one string.
 LINE = 1000
 #: What the shortcut for a chunk leaves to the whole tokenizer: characters that may combine, and special tokens.
@@ -101,13 +103,17 @@ class WordEncoder:
         words = cut.flatten().dictionary_encode()
         known, chunks = words.dictionary.to_pylist(), self.chunks
         found = self.learn([c for c in known if c not in chunks])
-        chunks.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
-        each = [found[c] if c in found else chunks[c] for c in known]
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        chunks.update(found)
+        each = list(map(chunks.__getitem__, known))
+        for c in found:
+            if len(c) > LONGEST:
+                del chunks[c]
+        size = np.fromiter(map(len, each), np.int32, len(each)) // 4
         ids, which = np.frombuffer(b"".join(each), np.int32), words.indices.to_numpy()
-        size, begin = size[which], (np.cumsum(size) - size)[which]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        begin = np.cumsum(size, dtype=np.int32) - size
+        size, begin = size[which], begin[which]
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        flat = ids[np.repeat(begin - ends[:-1].astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)]
         lengths = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
         return flat, ends[np.concatenate([[0], np.cumsum(lengths)])]
 
@@ -133,7 +139,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, text: str = "text", doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, offset = loaded(tokenizer), TaskContext.get().partitionId(), 0
-        for b in in_slices(batches, 1):
+        for b in in_slices(batches, 1, SLICE):
             flat, ends = encoder.encode(b.column(1))
             flat, ends = np.insert(flat, ends[1:], end), ends + np.arange(len(ends))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
