@@ -192,8 +192,8 @@ def manifest(rows: DataFrame, fields: list[str], group: str, order: str, keep: d
     trees = climb(placed(leaves).drop("k"), height)
     subroots = trees[-1].select("g", "digest")
     over = climb(table(placed(subroots.select(F.lit("").alias("g"), F.col("g").alias("k"), "digest")).withColumnRenamed("k", "key")), height)
-    root = over[-1].select(F.col("digest").alias("root"), F.lit("").alias("_g"))
-    top = table(proven(over, over[-1].select("g", F.array().cast(ArrayType(STEP)).alias("proof")), height).select(F.col("key").alias("g"), F.col("digest").alias("subroot"), "proof"))
-    roots = top.select("g", "subroot", F.lit("").alias("_g")).join(root, "_g").drop("_g")
-    out = proven(trees, top.select("g", "proof"), height).join(roots, "g")
+    ends = over[-1].select("g", F.array().cast(ArrayType(STEP)).alias("proof"))
+    top = proven(over, ends, height).join(over[-1].select("g", F.col("digest").alias("root")), "g")
+    top = table(top.select(F.col("key").alias("g"), F.col("digest").alias("subroot"), "root", "proof"))
+    out = proven(trees, top.select("g", "proof"), height).join(top.select("g", "subroot", "root"), "g")
     return out.select(F.col("row.order").alias(order), F.col("row.group").alias(group), *[F.col(f"row.keep{i}").getField("v").alias(k) for i, k in enumerate(keep or {})], F.col("digest").alias("leaf"), "subroot", "root", "proof")
