@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tranche.llm import audit, merkle, queries, token_files
+from tranche.llm import audit, bpe, chat, media, merkle, mixing, queries, token_files, topk, warc, warc_files
 from tranche.llm.shared import before, new_folder
 
 from ..conftest import DATA
@@ -273,3 +273,54 @@ def test_manifest_of_nothing_and_of_one(spark):
     assert merkle.manifest(spark.createDataFrame([], schema), fields, "lang", "doc_id").count() == 0
     (one,) = merkle.manifest(spark.createDataFrame([(1, None, None, None, None)], schema), fields, "lang", "doc_id").collect()
     assert one["leaf"] == one["subroot"] == one["root"] == sha256(b"1:1----").hexdigest() and one["proof"] == []
+
+
+# --- columns of any name, files of any shape ---
+
+
+INSIDE = ["_c", "_r", "c", "r", "row", "_mark", "mark", "g", "k", "at", "part", "pos", "n", "key", "tie", "ids", "meta", "block", "size", "shard", "rank", "query", "score", "digest", "media", "item", "items", "words", "source_size", "_block", "_n"]
+
+
+def test_columns_named_as_those_inside_are_kept(spark):
+    extra = {c: F.lit(f"own {c}") for c in INSIDE}
+    own = lambda rows, names: all(r[c] == f"own {c}" for r in rows for c in names)
+    turns = "array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame([(1, [("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "x")])], f"conv_id long, chosen {turns}, rejected {turns}")
+    plain, more = chat.format_preferences(pairs), chat.format_preferences(pairs.withColumns(extra))
+    assert own(more.collect(), INSIDE) and more.select(plain.columns).collect() == plain.collect()
+    docs = documents(spark, [(i, words(20, i)) for i in range(30)])
+    coded = bpe.encode(docs.withColumns({c: v for c, v in extra.items() if c != "ids"}), queries.tokenizer_path())
+    assert own(coded.collect(), [c for c in INSIDE if c != "ids"])
+    free = [c for c in INSIDE if c not in mixing.mix(docs).columns]
+    assert {(r.doc_id, r.taken) for r in mixing.mix(docs.withColumns({c: extra[c] for c in free})).collect()} == {(r.doc_id, r.taken) for r in mixing.mix(docs).collect()}
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(120)], "vec_id long, embedding array<float>")
+    top = lambda df: sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect()))
+    assert top(vectors.withColumns(extra)) == top(vectors)
+    pages = spark.createDataFrame([(1, "http://x", "<p>a</p>")], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses(pages.withColumns(extra)).withColumns(extra)).count() == 2
+    htmls = pages.withColumns({c: v for c, v in extra.items() if c != "items"})
+    assert own(media.with_items(htmls).collect(), [c for c in INSIDE if c != "items"])
+
+
+@pytest.mark.parametrize("split", [0, 700])
+def test_warc_members_of_several_records(spark, tmp_path, split):
+    import gzip
+
+    warc_files.register(spark)
+    load = lambda p, mode="failfast": spark.read.format("warc").option("split", split).option("mode", mode).load(str(p))
+    records = [warc.response(i, f"http://x/{i}", f"<p>page {i}</p>" * (i + 1)) for i in range(50)]
+    for name, data in (("one", gzip.compress(b"".join(records))), ("two", gzip.compress(b"".join(records[:20])) + gzip.compress(b"".join(records[20:])))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(data)
+        rows = load(tmp_path / name)
+        assert sorted(bytes(r.record) for r in rows.collect()) == sorted(records)
+        assert warc.derivatives(rows.select(F.lit(1).cast("long").alias("page_id"), "record")).count() == 100
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:30])[:-9])
+    (tmp_path / "cut" / "b.warc.gz").write_bytes(gzip.compress(b"".join(records[30:40])[:-9]) + gzip.compress(records[40]))
+    (tmp_path / "cut" / "c.warc").write_bytes(b"".join(records[41:])[:-9])
+    with pytest.raises(Exception, match="no whole"):
+        load(tmp_path / "cut").collect()
+    rows = load(tmp_path / "cut", "permissive").collect()
+    assert sorted(bytes(r.record) for r in rows if r.record) == sorted(records[:29] + records[30:39] + records[40:49])
+    assert sorted((r.file, r.error is not None) for r in rows if not r.record) == [("a.warc.gz", True), ("b.warc.gz", True), ("c.warc", True)]

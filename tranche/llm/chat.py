@@ -48,18 +48,22 @@ def trained_spans(turns: Column, role: str = TRAINED) -> Column:
     return F.aggregate(turns, start, step, lambda done: done["spans"])
 
 
+RESULTS = ("n_common", "prompt", "chosen_completion", "chosen_spans", "rejected_completion", "rejected_spans")
+
+
 def format_preferences(pairs: DataFrame) -> DataFrame:
     """pairs: chosen and rejected, arrays of (role, text). Adds n_common, prompt, and for each side completion and spans.
 
-    Other columns pass through, but for any named as a result, which is replaced.
+    Other columns, of any name, pass through, but for any named as a result, which is replaced.
     """
     none = F.array().cast("array<struct<role:string,text:string>>")
-    sides = pairs.withColumn("_c", F.coalesce("chosen", none)).withColumn("_r", F.coalesce("rejected", none))
-    short = F.least(F.size("_c"), F.size("_r"))
-    same = F.zip_with(F.slice("_c", 1, short), F.slice("_r", 1, short), lambda a, b: a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]))
+    rest_of = [c for c in pairs.columns if c not in RESULTS]
+    sides = pairs.select(F.struct(*[F.col(f"`{c}`") for c in rest_of]).alias("row"), F.coalesce("chosen", none).alias("c"), F.coalesce("rejected", none).alias("r"))
+    short = F.least(F.size("c"), F.size("r"))
+    same = F.zip_with(F.slice("c", 1, short), F.slice("r", 1, short), lambda a, b: a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]))
     first = F.array_position(same, False)
     rest = lambda c: F.slice(F.col(c), F.col("n_common") + 1, F.size(c))
-    out = sides.withColumn("n_common", F.when(first > 0, first - 1).otherwise(short).cast("int")).withColumn("prompt", render(F.slice("_c", 1, F.col("n_common"))))
-    for name, c in (("chosen", "_c"), ("rejected", "_r")):
+    out = sides.withColumn("n_common", F.when(first > 0, first - 1).otherwise(short).cast("int")).withColumn("prompt", render(F.slice("c", 1, F.col("n_common"))))
+    for name, c in (("chosen", "c"), ("rejected", "r")):
         out = out.withColumn(f"{name}_completion", render(rest(c))).withColumn(f"{name}_spans", trained_spans(rest(c)))
-    return out.drop("_c", "_r")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in rest_of], *RESULTS)

@@ -29,8 +29,8 @@ from .shared import before, in_slices
 
 #: Bytes of a row group, about, and rows of a page.
 GROUP_BYTES, PAGE_ROWS = 32 << 20, 1000
-#: Distinct chunks of text that a worker keeps, and the longest of them.
-CACHE, LONGEST = 500_000, 64
+#: Distinct chunks of text that a worker keeps for its next tasks, and the longest of them.
+CACHE, LONGEST = 600_000, 64
 #: Bytes of text that are encoded at once, about.
 SLICE = 4 << 20
 #: Pieces that go to the library's model in one string.
@@ -63,10 +63,8 @@ class WordEncoder:
         vocab = self.whole.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.forget()
-
-    def forget(self) -> None:
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # those not met since the last half of CACHE
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Ids of chunks that can be cut here, as 32-bit numbers."""
@@ -97,12 +95,14 @@ class WordEncoder:
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin and the last one's end. Distinct chunks are looked up once."""
-        if len(self.chunks) > CACHE:
-            self.forget()
+        if len(self.chunks) > CACHE // 2:
+            self.chunks, self.older = {}, self.chunks
         cut = pc.ascii_split_whitespace(texts)
         words = cut.flatten().dictionary_encode()
-        known, chunks = words.dictionary.to_pylist(), self.chunks
-        found = self.learn([c for c in known if c not in chunks])
+        known, chunks, older = words.dictionary.to_pylist(), self.chunks, self.older
+        new = [c for c in known if c not in chunks]
+        chunks.update((c, older[c]) for c in new if c in older)
+        found = self.learn([c for c in new if c not in older])
         chunks.update(found)
         each = list(map(chunks.__getitem__, known))
         for c in found:
@@ -146,7 +146,6 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, text: str = "text", doc_i
             parts = pa.array(np.full(b.num_rows, part, np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), parts, pa.array(offset + ends[:-1]), pa.array(np.diff(ends)), ids, b.column(2)], schema.names)
             offset += int(ends[-1])
-        encoder.forget()  # the worker may wait long for its next task
 
     return ordered.mapInArrow(run, schema)
 

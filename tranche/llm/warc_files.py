@@ -1,13 +1,14 @@
 """WARC files in and out, as a Spark data source.
 
-`spark.read.format("warc").load(folder)` gives a row per record: file, at (its place in the file) and record (bytes).
-Files ending in .gz hold a gzip member per record, as is usual. A file is read by one task, record by record, so what a
-task holds is a record. Option `split` cuts .gz files into parts of so many bytes, a part beginning with the first member
+`spark.read.format("warc").load(folder)` gives a row per record: file, at (its place in the file, or that of its gzip member),
+record (bytes) and error (null). Files ending in .gz usually hold a gzip member per record; a member of several is cut into them
+by their lengths. A file is read by one task, a record or member at a time, so that is what a task holds. Option `split` cuts .gz files into parts of so many bytes, a part beginning with the first member
 of a record that starts in it: right as long as no record holds, uncompressed, gzip members of records itself.
 `df.write.format("warc").save(folder)` writes a .warc.gz file per task, a member per record; files appear when the job ends.
 
-Defined results: an empty folder has no records; null records aren't written; what follows a broken record in a plain
-file, and a gzip member that isn't whole, can't be read and raises.
+Defined results: an empty folder has no records; null records aren't written. What follows a broken record in a plain file, a
+gzip member that isn't whole, and one that doesn't end with a record, raise; with option `mode` set to `permissive` each of them
+gives a row without a record that has the reason in `error`, and reading goes on with the next gzip member that can be found.
 """
 
 from __future__ import annotations
@@ -71,9 +72,40 @@ class View:
         return (b"".join(out), at - len(inflate.unused_data) - self.pos) if inflate.eof else None
 
 
-def gzip_records(file, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """Records of the members that start from begin to end. Past the file's start, the first is the first place that
-    inflates to a record."""
+class Broken(ValueError):
+    """What can't be read as a record."""
+
+
+def record_size(data: bytes, at: int) -> int | None:
+    """Bytes of the record that begins at a place; None if its header isn't whole. Broken if none begins there."""
+    head = data.find(b"\r\n\r\n", at)
+    if head < 0:
+        return None
+    lines = data[at:head].split(b"\r\n")
+    size = next((int(v) for k, _, v in (x.partition(b":") for x in lines) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
+    if size is None or not lines[0].startswith(b"WARC/"):
+        raise Broken("no record")
+    return size + head - at + 8
+
+
+def cut(member: bytes) -> Iterator[bytes]:
+    """The records of a gzip member. One alone is given as it is, whatever its header says of its length."""
+    at = 0
+    while at < len(member):
+        size = record_size(member, at)
+        rest = len(member) - at
+        if at == 0 and (size is None or size >= rest):
+            yield member
+            return
+        if size is None or size > rest:
+            raise Broken("no whole record at the end of a gzip member")
+        yield member[at : at + size]
+        at += size
+
+
+def gzip_records(file, begin: int, end: int, lenient: bool = False) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """Records of the members that start from begin to end, with errors if lenient. Past the file's start, the first member is
+    the first place that inflates to a record."""
     view, aligned = View(file, begin), begin == 0
     while view.at < end:
         if len(view.data) - view.pos < len(MEMBER):
@@ -93,37 +125,43 @@ def gzip_records(file, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
         except zlib.error:
             real = False
         if real:
-            yield view.at, found[0]
+            try:
+                for record in cut(found[0]):
+                    yield view.at, record, None
+            except Broken as e:
+                if not lenient:
+                    raise Broken(f"{e} at {view.at}") from e
+                yield view.at, None, str(e)
             view.pos, aligned = view.pos + found[1], True
         elif aligned:
-            raise ValueError(f"no whole gzip member of a record at {view.at}")
+            if not lenient:
+                raise Broken(f"no whole gzip member of a record at {view.at}")
+            yield view.at, None, "no whole gzip member of a record"
+            view.pos, aligned = view.pos + 1, False
         else:
             view.pos += 1
 
 
-def plain_records(file) -> Iterator[tuple[int, bytes]]:
+def plain_records(file, lenient: bool = False) -> Iterator[tuple[int, bytes | None, str | None]]:
     view = View(file, 0)
-    while True:
-        while (head := view.data.find(b"\r\n\r\n", view.pos)) < 0:
-            if not view.more():
-                if view.data[view.pos :].strip():
-                    raise ValueError(f"no whole record at {view.at}")
-                return
-        lines = view.data[view.pos : head].split(b"\r\n")
-        size = next((int(v) for k, _, v in (x.partition(b":") for x in lines) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
-        if size is None or not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no record at {view.at}")
-        size += head - view.pos + 8
-        while len(view.data) - view.pos < size:
-            if not view.more():
-                raise ValueError(f"no whole record at {view.at}")
-        yield view.at, view.data[view.pos : view.pos + size]
-        view.pos += size
+    try:
+        while True:
+            while (size := record_size(view.data, view.pos)) is None or len(view.data) - view.pos < size:
+                if not view.more():
+                    if view.data[view.pos :].strip():
+                        raise Broken("no whole record")
+                    return
+            yield view.at, view.data[view.pos : view.pos + size], None
+            view.pos += size
+    except Broken as e:
+        if not lenient:
+            raise Broken(f"{e} at {view.at}") from e
+        yield view.at, None, str(e)
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int, lenient: bool):
+        self.path, self.split, self.lenient = path, split, lenient
 
     def partitions(self) -> list[Part]:
         fs, root = folder_of(self.path)
@@ -138,8 +176,8 @@ class Reader(DataSourceReader):
         if part.path:
             fs, _ = folder_of(self.path)
             with fs.open_input_file(part.path) as file:
-                for at, record in gzip_records(file, part.begin, part.end) if part.path.endswith(".gz") else plain_records(file):
-                    yield part.path.rsplit("/", 1)[-1], at, record
+                for at, record, error in gzip_records(file, part.begin, part.end, self.lenient) if part.path.endswith(".gz") else plain_records(file, self.lenient):
+                    yield part.path.rsplit("/", 1)[-1], at, record, error
 
 
 class Writer(DataSourceWriter):
@@ -164,15 +202,15 @@ class Writer(DataSourceWriter):
             fs.delete_dir(f"{root}/_writing-{self.job}")
 
     def commit(self, messages) -> None:
+        """New files get their names first, then the old ones go: a failure between leaves both, and loses none."""
         fs, root = folder_of(self.path)
         fs.create_dir(root)
-        if self.overwrite:
-            for f in fs.get_file_info(FileSelector(root)):
-                if f.type == FileType.File and f.path.endswith((".warc", ".warc.gz")):
-                    fs.delete_file(f.path)
+        old = [f.path for f in fs.get_file_info(FileSelector(root)) if f.type == FileType.File and f.path.endswith((".warc", ".warc.gz"))] if self.overwrite else []
         for m in messages:
             if m is not None and m.records:
                 fs.move(f"{root}/_writing-{self.job}/{m.name}", f"{root}/{m.name}")
+        for f in old:
+            fs.delete_file(f)
         self._discard(fs, root)
 
     def abort(self, messages) -> None:
@@ -185,10 +223,10 @@ class WarcSource(DataSource):
         return "warc"
 
     def schema(self) -> str:
-        return "file string, at long, record binary"
+        return "file string, at long, record binary, error string"
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"], int(self.options.get("split", 0)))
+        return Reader(self.options["path"], int(self.options.get("split", 0)), self.options.get("mode", "").lower() == "permissive")
 
     def writer(self, schema, overwrite: bool) -> Writer:
         return Writer(self.options["path"], overwrite)
