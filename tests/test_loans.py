@@ -147,9 +147,9 @@ def test_ingest_end_to_end(spark, tmp_path):
     built = ingest.build(tt.acquisition_lines(spark, DATA), tt.performance_lines(spark, DATA))
     s = built.stats.first()
     assert s.n_rows + s.n_censored_excluded + s.n_missing_required == s.n_joined
-    store.save_dataset(built.matrix, built.stats, str(tmp_path / "d"), 36)
-    matrix, stats = store.load_dataset(spark, str(tmp_path / "d"))
-    assert matrix.count() == s.n_rows and stats.first().horizon_months == 36
+    store.save_dataset(built, str(tmp_path / "d"), 36)
+    saved = store.load_dataset(spark, str(tmp_path / "d"))
+    assert saved.matrix.count() == s.n_rows and saved.stats.first() == s and saved.horizon_months == 36
 
 
 def test_groups(spark):

@@ -21,11 +21,12 @@ class Dataset:
 
 def build(
     acquisition_lines: DataFrame, performance_lines: DataFrame, horizon: int = labels.HORIZON, target: str = "d90", strict: bool = False,
-    own: list[features.Feature] | None = None, benchmark: Mapping[int, float] = features.BENCHMARK,
+    own: list[features.Feature] | None = None, benchmark: Mapping[int, float] = features.BENCHMARK, keep: tuple[str, ...] = ("state",),
 ) -> Dataset:
-    """own: features in place of the usual ones. benchmark: yearly rates that the usual rate_spread is taken from."""
+    """own: features in place of the usual ones. benchmark: yearly rates that the usual rate_spread is taken from. keep:
+    acquisition fields that the matrix carries along for grouping."""
     chosen = own or features.spec(benchmark)
     acquisitions = parsed(acquisition_lines, ACQUISITION, strict)
     months = parsed(performance_lines, PERFORMANCE, strict)
-    every = features.joined(acquisitions, labels.label_loans(months, horizon), chosen, target)
-    return Dataset(features.matrix(features.feature_rows(every), chosen), features.accounting(every), features.missing_by_field(every))
+    every = features.joined(acquisitions, labels.label_loans(months, horizon), chosen, target, keep)
+    return Dataset(features.matrix(features.feature_rows(every), chosen, keep), features.accounting(every), features.missing_by_field(every))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tranche.functions.scalars import logistic, seeded
 from tranche.operators.splits import at_random
+from tranche.sources.versions import workspace
 
 
 def _col(name: str) -> Column:
@@ -72,6 +73,17 @@ def fit_logistic(df: DataFrame, features: list[str], c: float = 1.0, iterations:
     return Logistic(features, means, stds, [float(x) for x in fit.coefficients], float(fit.intercept))
 
 
+def gradient(model: Logistic, df: DataFrame, c: float = 1.0) -> DataFrame:
+    """parameter, gradient: of the loss that fit_logistic() minimises, divided by c and the rows; all zero where it is least.
+    One aggregate over the rows, whatever fitted the model."""
+    _needs(df, model.features)
+    wrong = F.col("pd") - F.col("y")
+    scaled = [(_col(f) - m) / s for f, m, s in zip(model.features, model.means, model.stds, strict=True)]
+    row = model.score(df).agg(F.count(F.lit(1)), F.avg(wrong), *[F.avg(wrong * x) for x in scaled]).first()
+    parts = [("(intercept)", row[1]), *((f, g + w / (c * row[0])) for f, g, w in zip(model.features, row[2:], model.coefs, strict=True))]
+    return df.sparkSession.createDataFrame(parts, "parameter string, gradient double")
+
+
 @dataclass
 class Boosted:
     """A boosted model that scores like Logistic does."""
@@ -106,29 +118,58 @@ def patient(losses: list[float], patience: int) -> int:
     return best + 1
 
 
+#: Rounds after which the margins are written, which ends their lineage.
+CUT = 10
+
+
+def _ensemble(spark: SparkSession, trees: list, rate: float, features: int):
+    """A Spark ML model of regression trees; the first counts whole, the others at the rate."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kind = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    held, weights = gateway.new_array(kind, len(trees)), gateway.new_array(jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        held[i], weights[i] = tree._java_obj, rate if i else 1.0
+    uid = jvm.org.apache.spark.ml.util.Identifiable.randomUID("GBTClassifier")
+    return GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(uid, held, weights, features, 2))
+
+
 def fit_boosted(df: DataFrame, features: list[str], rounds: int = 500, rate: float = 0.05, depth: int = 4, least: int = 20, held: float = 0.15, patience: int = 20, seed: int = 7) -> Boosted:
-    """Boosted trees; the number of rounds, `rounds` at most, is the best on a held-out share of rows, found with patience,
-    then fitted again. The search doubles its rounds until patience ends it: the first trees of a longer fit are those of a
-    shorter one, so what is kept is as if all rounds had been fitted."""
-    from pyspark.ml.classification import GBTClassifier
+    """Boosted trees; the number of rounds, `rounds` at most, is the best on a held-out share of rows, found with patience.
+
+    Each round is fitted once: a regression tree to the slope of the log loss at the rows' margins, which are a column that the
+    tree then moves, for held-out rows too. The trees are those that Spark ML's boosting fits, and the first ones are kept. Margins
+    are written every CUT rounds, so a lost executor costs a few rounds' margins.
+    """
+    from pyspark.ml.regression import DecisionTreeRegressor
 
     _needs(df, features)
     _checked(df)
-    data = vectors(at_random(df, held, seed).withColumnRenamed("is_test", "held"), [_col(f).cast("double") for f in features]).cache()
+    data = vectors(at_random(df, held, seed).withColumnRenamed("is_test", "held"), [_col(f).cast("double") for f in features])
+    rows = data.select("features", (2 * F.col("label") - 1).alias("side"), "held", F.lit(0.0).alias("margin")).persist()
+    learner = DecisionTreeRegressor(labelCol="slope", maxDepth=depth, minInstancesPerNode=least, seed=seed)
+    side, margin = F.col("side"), F.col("margin")
+    loss = F.avg(F.when(F.col("held"), 2 * F.log1p(F.exp(-2 * side * margin))))
+    trees, losses = [], []
     try:
-        learner = GBTClassifier(stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=seed)
-        tried = min(rounds, 2 * (patience + 1))
-        while True:
-            model = learner.copy({learner.maxIter: tried}).fit(data.where("not held"))
-            keep = patient(model.evaluateEachIteration(data.where("held")), patience)
-            if tried == rounds or keep + patience <= tried:
-                break
-            tried = min(rounds, 2 * tried)
-        if keep < tried:
-            model = learner.copy({learner.maxIter: keep}).fit(data.where("not held"))
+        while len(trees) < rounds and len(losses) - (patient(losses, rounds) if losses else 0) < patience:
+            slope = 4 * side / (1 + F.exp(2 * side * margin)) if trees else side
+            tree = learner.fit(rows.where("not held").select("features", slope.alias("slope")))
+            moved = tree.transform(rows).select("features", "side", "held", (margin + (rate if trees else 1.0) * F.col("prediction")).alias("margin"))
+            trees.append(tree)
+            if len(trees) % CUT == 0:
+                path = workspace(df.sparkSession)
+                moved.write.parquet(path)
+                moved = df.sparkSession.read.schema(moved.schema).parquet(path)
+            moved.persist()
+            losses.append(moved.agg(loss).first()[0])  # fills what is kept
+            rows.unpersist()
+            rows = moved
     finally:
-        data.unpersist()
-    return Boosted(features, model, keep)
+        rows.unpersist()
+    keep = patient(losses, patience)
+    return Boosted(features, _ensemble(df.sparkSession, trees[:keep], rate, len(features)), keep)
 
 
 #: Rows among which values are dealt anew, about.

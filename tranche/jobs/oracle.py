@@ -157,7 +157,14 @@ SELECTS = {
     "contributions": f"select loan_id, feature, {rd('contribution')} from contrib",
     "reason_codes": f"select loan_id, cast(rank as integer) as rank, feature, {rd('contribution')}, {rd('value')} from ranked where rank <= 4",
     "explained_loans": f"select loan_id, {rd('raw', 'pd')}, {rd('z', 'log_odds')}, coalesce(n, 0) as n_reasons, first as first_reason from sc left join (select loan_id, least(4, count(*)) as n, arg_min(feature, rank) as first from ranked group by loan_id) using (loan_id)",
-    "group_attach": "select coalesce(a.state, 'UNKNOWN') as grp, count(*) as n from mat m left join (select case when loan_id like '%3' then concat('X', loan_id) else loan_id end as loan_id, state from acq) a using (loan_id) group by 1",
+    "group_attach": """select coalesce(a.state, 'UNKNOWN') as grp, count(*) as n from mat m left join (
+      select case when loan_id like '%3' then concat('X', loan_id) else loan_id end as loan_id, case when loan_id like '%5' then concat('A ', state) when loan_id not like '%7' then state end as state from acq) a using (loan_id) group by 1""",
+    "labels_over_deltas": "select * replace (cast(orig_date as varchar) as orig_date) from lab",
+    "saved_and_scored": f"select loan_id, {rd('raw', 'pd')} from sc",
+    "gzip_acquisitions": f"select {', '.join('cast(orig_date as varchar) as orig_date' if c == 'orig_date' else c for c in ACQ_SHOWN)} from acq",
+    "rejected_lines": """select cast(year(orig_date) as varchar) as year, line, loan_id, case when loan_id like '%007' then 'expected 25 fields, found 24' else 'num_borrowers: no int: n/a' end as reason
+      from (select *, row_number() over (partition by year(orig_date) order by loan_id) as line from acq) where loan_id like '%007' or loan_id like '%013'""",
+    "logistic_certificate": f"select unnest({['(intercept)', *COLUMNS]}) as parameter, cast(0 as double) as gradient from onerow where n > 0",
     "group_parity": f"select grp, n, {rd('mean_predicted')}, {rd('realised')}, {rd('gap')} from par",
     "group_pooling": "select case when n < 30 then 'OTHER' else g end as grp, cast(sum(n) as bigint) as n from (select concat(state, '-', cast(vintage as varchar)) as g, count(*) as n from mat group by 1) group by 1",
     "proxy_power": f"select feature, {rd('power')} from power",

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tranche.operators.drift import feature_psi, long_counts, psi
+from tranche.operators.drift import feature_psi
 from tranche.operators.metrics import SCORE_DIGITS, full_evaluation, united
 from tranche.operators.splits import at_random, by_vintage
 
@@ -36,7 +36,7 @@ def validate(matrix: DataFrame, features: list[str], last_train: int = 2006, tra
     full = united({"in_sample": full_evaluation(scored.where("not is_test")), "oot": full_evaluation(scored.where("is_test")), "naive": full_evaluation(other.score(naive.where("is_test")))})
     rounded = scored.select("is_test", F.round("pd", SCORE_DIGITS).alias("pd"))
     overall = F.col("part") == "overall"
-    return Report(full.where(overall).drop("part", "bin"), full.where(~overall), psi(long_counts(rounded, ["pd"], ["is_test"])), feature_psi(late, features))
+    return Report(full.where(overall).drop("part", "bin"), full.where(~overall), feature_psi(rounded, ["pd"]).drop("position"), feature_psi(late, features))
 
 
 def headline(metrics: DataFrame) -> DataFrame:

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from tranche.functions.scalars import delinquency_months
 from tranche.operators import drift, fairness, features, labels, metrics, ranks, reasons, splits
 from tranche.sources import testtables as tt
-from tranche.sources.loan_files import load_stats, parsed, rejected
+from tranche.sources import gzip_lines
+from tranche.sources.loan_files import load_stats, parsed, read_lines, rejected
 from tranche.sources.schemas import ACQUISITION, PERFORMANCE
+from tranche.sources.store import load_dataset, save_dataset
+from tranche.sources.versions import workspace
 
-from . import ingest, models, out_of_time
+from . import ingest, label_deltas, models, out_of_time
 
 COLUMNS = features.columns()
 LAST_TRAIN = 1998
@@ -167,7 +170,7 @@ def quantile_cuts(spark, d):
 
 def psi_score(spark, d):
     s = FIXED.score(split(spark, d)).select("is_test", F.round("pd", metrics.SCORE_DIGITS).alias("pd"))
-    return drift.psi(drift.long_counts(s, ["pd"], ["is_test"])).select("feature", r("psi"))
+    return drift.feature_psi(s, ["pd"]).select("feature", r("psi"))
 
 
 def psi_features(spark, d):
@@ -193,12 +196,52 @@ def explained_loans(spark, d):
 
 
 def group_attach(spark, d):
-    """Loans ending in 3 have another id where their group is looked up, so they get none."""
-    known = tt.acquisitions(spark, d).withColumn("loan_id", F.when(F.col("loan_id").endswith("3"), F.concat(F.lit("X"), F.col("loan_id"))).otherwise(F.col("loan_id")))
-    attached = features.attach_groups(matrix(spark, d).select("loan_id"), known)
+    """Loans ending in 3 have another id where their group is looked up, so they get none. Those ending in 5 stand there twice,
+    those ending in 7 too: the later row has another group, or none."""
+    known = tt.acquisitions(spark, d).withColumn("loan_id", F.when(F.col("loan_id").endswith("3"), F.concat(F.lit("X"), F.col("loan_id"))).otherwise(F.col("loan_id"))).withColumn("row", F.lit(1))
+    again = known.where(F.col("loan_id").endswith("5") | F.col("loan_id").endswith("7")).withColumn("row", F.lit(2))
+    again = again.withColumn("state", F.when(F.col("loan_id").endswith("5"), F.concat(F.lit("A "), F.col("state"))))
+    attached = features.attach_groups(matrix(spark, d).select("loan_id"), known.unionByName(again), order="row")
     return attached.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
 
+def labels_over_deltas(spark, d):
+    """The labels of all months, which come as four deltas by year and one more that repeats a part of them."""
+    months, path = tt.performance(spark, d), workspace(spark)
+    year = F.year("period")
+    for name, part in (("1995-1996", year <= 1996), ("1999-", year >= 1999), ("1997", year == 1997), ("1998", year == 1998), ("again", F.col("loan_age") % 5 == 0)):
+        label_deltas.apply_delta(spark, path, months.where(part), name, buckets=8)
+    return label_deltas.current_labels(spark, path).withColumn("orig_date", F.col("orig_date").cast("string"))
+
+
+def saved_and_scored(spark, d):
+    """Scores by a model and over a matrix that were saved as one version and read again."""
+    path, every = workspace(spark), joined(spark, d)
+    built = ingest.Dataset(features.matrix(features.feature_rows(every)), features.accounting(every), features.missing_by_field(every))
+    save_dataset(built, path, labels.HORIZON, {"fixed": FIXED})
+    saved = load_dataset(spark, path)
+    return saved.models["fixed"].score(saved.matrix).select("loan_id", r("pd"))
+
+
+def gzip_acquisitions(spark, d):
+    """Acquisitions out of gzip files of many members, which several tasks read each."""
+    path = workspace(spark)
+    gzip_lines.write_gzip_lines(tt.acquisition_lines(spark, d), path, member=500)
+    return parsed(gzip_lines.read_gzip_lines(spark, path, split=1 << 16), ACQUISITION).select(*ACQ_SHOWN).withColumn("orig_date", F.col("orig_date").cast("string"))
+
+
+def rejected_lines(spark, d):
+    """Rejected rows of files, with file and line: a file for each year of origination, in order of loans."""
+    path = workspace(spark)
+    year = F.year("orig_date").alias("year")
+    given = tt.acquisition_lines(spark, d, planted=True).withColumn("loan", F.split("value", r"\|", -1)[0])
+    years = tt.acquisitions(spark, d).select(F.col("loan_id").alias("loan"), year)
+    dealt = given.join(years, "loan").repartition("year").sortWithinPartitions("year", "loan")
+    dealt.select("year", "value").write.partitionBy("year").text(path)
+    bad = rejected(read_lines(spark, path), ACQUISITION)
+    return bad.select(F.regexp_extract("file", r"year=(\d+)", 1).alias("year"), "line", F.split("value", r"\|", -1)[0].alias("loan_id"), "reason")
+
+
 def group_parity(spark, d):
     return fairness.parity(grouped(spark, d)).select("grp", "n", r("mean_predicted"), r("realised"), r("gap"))
 
@@ -236,6 +279,14 @@ def logistic_fit(spark, d):
     return spark.createDataFrame(list(zip(model.features, model.means, model.stds, model.coefs, strict=True)), "feature string, mean double, std double, coef double")
 
 
+def logistic_certificate(spark, d):
+    """The gradient of the penalised loss at the fitted parameters, which is zero where it is least."""
+    def found(m: DataFrame) -> DataFrame:
+        return models.gradient(models.fit_logistic(m, COLUMNS), m)
+
+    return ranks.settled(matrix(spark, d), found).select("parameter", r("gradient"))
+
+
 def gbt_importance(spark, d):
     model = models.fit_boosted(matrix(spark, d), COLUMNS)
     return spark.createDataFrame(model.importances(), "feature string, importance double")
@@ -290,5 +341,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_parity": group_parity, "group_pooling": group_pooling, "proxy_power": proxy_power, "proxy_flags": proxy_flags, "fairness_audit": fairness_audit,
     "worst_group": worst_group, "logistic_fit": logistic_fit, "gbt_importance": gbt_importance, "model_comparison": model_comparison,
     "permutation_importance": permutation_importance, "top_importances": top_importances, "custom_benchmark": custom_benchmark,
-    "out_of_time_report": out_of_time_report, "headline_table": headline_table,
+    "labels_over_deltas": labels_over_deltas, "saved_and_scored": saved_and_scored, "gzip_acquisitions": gzip_acquisitions, "rejected_lines": rejected_lines,
+    "logistic_certificate": logistic_certificate, "out_of_time_report": out_of_time_report, "headline_table": headline_table,
 }

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import cut_table, settled
+from .radix import cuts
+from .ranks import settled
 
 FLOOR = 1e-4  # least share of a bin
 BINS = 10
 
 
-def long_counts(rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
-    """feature, by..., value, n: distinct values are counted before anything is sorted or shuffled by value."""
+def long_rows(rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """by..., feature, value, n (1): a row for each feature of each row."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("value")) for f in features]))
-    return rows.select(*by, pairs.alias("_p")).select(*by, "_p.*").groupBy("feature", *by, "value").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(*by, pairs.alias("_p")).select(*by, "_p.*", F.lit(1).alias("n"))
+
+
+def long_counts(rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """feature, by..., value, n: the same with equal values counted, where these are few."""
+    return long_rows(rows, features, by).groupBy("feature", *by, "value").agg(F.sum("n").alias("n"))
 
 
 def bin_of(value: Column, cuts: Column) -> Column:
-    """Number of edges below the value."""
+    """Number of edges below the value; 0 for null."""
     return F.size(F.filter(cuts, lambda e: e < value))
 
 
@@ -27,9 +33,21 @@ def term(e: Column, a: Column) -> Column:
     return (a - e) * F.ln(a / e)
 
 
-def _expected_cuts(counts: DataFrame, ks: list[int]) -> DataFrame:
-    """feature, k, cuts over all counts given, whatever groups they are counted by."""
-    return cut_table(counts.groupBy("feature", "value").agg(F.sum("n").alias("n")), ks, ["feature"])
+def _cut_table(rows: DataFrame, ks: list[int]) -> DataFrame:
+    """feature, k, cuts: k - 1 values at most, so few rows of bounded size."""
+    found = cuts(rows, "feature", "value", ks, "n")
+    return rows.sparkSession.createDataFrame([(f, k, c) for f, by_k in found.items() for k, c in by_k.items()], "feature string, k int, cuts array<double>")
+
+
+def _psi(rows: DataFrame, k: int) -> DataFrame:
+    """rows: feature, is_test, value, n, kept by the caller. They are read once for the bins, and before that once for each look
+    at the bits of the edges; what is shuffled are counts by leading bits and by bin."""
+    edges = _cut_table(rows.where("not is_test"), [k])
+    binned = rows.join(F.broadcast(edges), "feature", "left").withColumn("bin", F.coalesce(bin_of(F.col("value"), F.col("cuts")), F.lit(0)))
+    n = lambda test: F.sum(F.when(F.col("is_test") == test, F.col("n")).otherwise(0))
+    bins = binned.groupBy("feature", "bin").agg(n(False).alias("e"), n(True).alias("a"))
+    totals = bins.groupBy("feature").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
+    return bins.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.sum(term(F.col("e") / F.col("_e"), F.col("a") / F.col("_a"))).alias("psi"))
 
 
 def psi(counts: DataFrame, k: int = BINS) -> DataFrame:
@@ -37,47 +55,39 @@ def psi(counts: DataFrame, k: int = BINS) -> DataFrame:
 
     A bin empty on both sides adds nothing, so bins that have rows suffice.
     """
-
-    def found(counts: DataFrame) -> DataFrame:
-        cuts = _expected_cuts(counts.where("not is_test"), [k])
-        binned = counts.join(F.broadcast(cuts), "feature").withColumn("bin", bin_of(F.col("value"), F.col("cuts")))
-        n = lambda test: F.sum(F.when(F.col("is_test") == test, F.col("n")).otherwise(0))
-        bins = binned.groupBy("feature", "bin").agg(n(False).alias("e"), n(True).alias("a"))
-        totals = bins.groupBy("feature").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
-        return bins.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.sum(term(F.col("e") / F.col("_e"), F.col("a") / F.col("_a"))).alias("psi"))
-
-    return settled(counts, found)
+    return settled(counts, lambda kept: _psi(kept, k))
 
 
 def feature_psi(split: DataFrame, features: list[str], k: int = BINS) -> DataFrame:
     """split: matrix columns and is_test. position keeps the order of the features."""
     order = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
-    return psi(long_counts(split, features, ["is_test"]), k).withColumn("position", order[F.col("feature")])
+    wide = split.select("is_test", *[F.col(f"`{f}`") for f in features])
+    return settled(wide, lambda kept: _psi(long_rows(kept, features, ["is_test"]), k)).withColumn("position", order[F.col("feature")])
 
 
 def top_drifted(drift: DataFrame, n: int = 5) -> DataFrame:
     return drift.orderBy(F.desc("psi"), "position").limit(n)
 
 
-def cells(counts: DataFrame, cuts: DataFrame) -> DataFrame:
-    """counts: feature, grp, value, n; cuts: feature, k, cuts. feature, grp, cell, edge, n: one pass sorts each value among
+def cells(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows: feature, grp, value, n; edges: feature, k, cuts. feature, grp, cell, edge, n: one pass sorts each value among
     the edges of all k at once; edge: the greatest below it. Cells are as many as there are edges, and one."""
-    edges = cuts.groupBy("feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("_edges"))
-    placed = counts.join(F.broadcast(edges), "feature").withColumn("cell", bin_of(F.col("value"), F.col("_edges")))
-    return placed.groupBy("feature", "grp", "cell").agg(F.first(F.get("_edges", F.col("cell") - 1)).alias("edge"), F.sum("n").alias("n"))
+    every = edges.groupBy("feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("_edges"))
+    counted = rows.join(F.broadcast(every), "feature").groupBy("feature", "grp", bin_of(F.col("value"), F.col("_edges")).alias("cell")).agg(F.sum("n").alias("n"))
+    return counted.join(F.broadcast(every), "feature").withColumn("edge", F.get("_edges", F.col("cell") - 1)).drop("_edges")
 
 
-def group_psi(counts: DataFrame, ks: DataFrame) -> DataFrame:
-    """counts: feature, grp, value, n, kept by the caller. ks: grp, k (2 to BINS). feature, grp, psi of each group against all rows.
+def group_psi(rows: DataFrame, ks: DataFrame) -> DataFrame:
+    """rows: feature, grp, value, n, kept by the caller. ks: grp, k (2 to BINS). feature, grp, psi of each group against all rows.
 
-    Every value is read once; what follows works on at most 46 cells for each feature and group.
+    After the looks for edges every value is read once; what follows works on at most 46 cells for each feature and group.
     """
-    cuts = _expected_cuts(counts, list(range(2, BINS + 1)))
-    celled = cells(counts, cuts)
+    edges = _cut_table(rows, list(range(2, BINS + 1)))
+    celled = cells(rows, edges)
     binned = lambda df, *by: df.withColumn("bin", F.size(F.filter("cuts", lambda e: e <= F.col("edge")))).groupBy("feature", *by, "bin").agg(F.sum("n").alias("n"))
     everyone = celled.groupBy("feature", "cell").agg(F.first("edge").alias("edge"), F.sum("n").alias("n"))
-    expected = binned(everyone.join(F.broadcast(cuts), "feature"), "k")
-    actual = binned(celled.join(ks, "grp").join(F.broadcast(cuts), ["feature", "k"]), "grp")
+    expected = binned(everyone.join(F.broadcast(edges), "feature"), "k")
+    actual = binned(celled.join(ks, "grp").join(F.broadcast(edges), ["feature", "k"]), "grp")
     e_all = expected.groupBy("feature", "k").agg(F.sum("n").alias("_e"))
     a_all = actual.groupBy("feature", "grp").agg(F.sum("n").alias("_a"))
     both = ks.join(expected, "k").join(e_all, ["feature", "k"]).join(a_all, ["feature", "grp"]).withColumnRenamed("n", "e")

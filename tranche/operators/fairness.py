@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .drift import BINS, group_psi, long_counts
+from .drift import BINS, group_psi, long_rows
 from .ranks import settled
 
 POOL, LEAST, FLAG, LOOKED_AT = "OTHER", 30, 0.25, 5
@@ -32,12 +32,12 @@ def proxy_power(rows: DataFrame, features: list[str], least: int = LEAST) -> Dat
 
     Small groups get fewer bins, so that noise doesn't read as drift.
     """
-    def found(counts: DataFrame) -> DataFrame:
-        sizes = counts.where((F.col("feature") == features[0]) & (F.col("grp") != POOL)).groupBy("grp").agg(F.sum("n").alias("_n")).where(F.col("_n") >= least)
+    def found(wide: DataFrame) -> DataFrame:
+        sizes = wide.where(F.col("grp") != POOL).groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
         ks = sizes.select("grp", F.least(F.lit(BINS), F.greatest(F.lit(2), F.floor(F.col("_n") / 20))).cast("int").alias("k"))
-        return group_psi(counts, ks).groupBy("feature").agg(F.max("psi").alias("_power"))
+        return group_psi(long_rows(wide, features, ["grp"]), ks).groupBy("feature").agg(F.max("psi").alias("_power"))
 
-    power = settled(long_counts(rows, features, ["grp"]), found)
+    power = settled(rows.select("grp", *[F.col(f"`{f}`") for f in features]), found)
     names = rows.sparkSession.createDataFrame(list(enumerate(features)), "position int, feature string")
     return names.join(power, "feature", "left").select("feature", "position", F.greatest(F.lit(0.0), F.coalesce("_power", F.lit(0.0))).alias("power"))
 

@@ -126,7 +126,14 @@ def matrix(rows: DataFrame, features: list[Feature] | None = None, keep: tuple[s
     return rows.select("loan_id", "vintage", F.col("y").cast("int").alias("y"), *numbers, *hot, *[k for k in keep if k in rows.columns])
 
 
-def attach_groups(rows: DataFrame, acquisitions: DataFrame, field: str = "state") -> DataFrame:
-    """Adds `grp`, the loan's value of a field; UNKNOWN if null or absent. Of repeated loans the greatest value counts."""
-    known = acquisitions.groupBy("loan_id").agg(F.max(F.col(field).cast("string")).alias("grp"))
-    return rows.join(known, "loan_id", "left").withColumn("grp", F.coalesce("grp", F.lit("UNKNOWN")))
+def attach_groups(rows: DataFrame, acquisitions: DataFrame, field: str = "state", order: str | None = None) -> DataFrame:
+    """Adds `grp` (replaces one there is), the loan's value of a field; UNKNOWN if null or absent.
+
+    Of repeated loans the last in `order` counts, null or not; without it, what parsed() says of their places. Where there is
+    neither, rows have no order, and the greatest value counts. Each loan is one group of rows; these fold before the shuffle.
+    """
+    order = order or ("place" if "place" in acquisitions.columns else None)
+    value = F.col(field).cast("string")
+    last = F.max(F.struct(F.col(order).alias("at"), value.alias("grp")))["grp"] if order else F.max(value)
+    known = acquisitions.groupBy("loan_id").agg(last.alias("grp"))
+    return rows.drop("grp").join(known, "loan_id", "left").withColumn("grp", F.coalesce("grp", F.lit("UNKNOWN")))

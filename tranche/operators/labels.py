@@ -21,42 +21,56 @@ def faults(performance: DataFrame) -> DataFrame:
     return performance.withColumn("reason", reason).where("reason is not null")
 
 
-def label_loans(performance: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """loan_id, vintage, orig_date, observed_months, d90, d180, defaulted, default_month, prepaid, prepay_month.
+#: The columns of a loan's state beside loan_id: minima and maxima, so states of parts of a history merge into that of all.
+STATE = "first struct<loan_age int, period date>, last_age int, d90 int, d180 int, event int, prepay int, broken boolean"
 
-    performance: loan_id, period, loan_age, dlq_status, zb_code; any order, repeats don't matter. The job fails on rows
-    that faults() names and on a loan whose earliest month has no period.
-    """
+
+def loan_states(performance: DataFrame, *keys: str | Column) -> DataFrame:
+    """loan_id (and other keys) and STATE of monthly rows: first, the earliest month seen; last_age; the first ages at which
+    the loan was D90, D180, ended badly and was prepaid; broken, whether there are rows that faults() names."""
     dlq, age = delinquency_months(F.col("dlq_status")), F.col("loan_age")
-    broken = F.col("loan_id").isNull() | age.isNull() | bad_delinquency(F.col("dlq_status"))
-    months = performance.select("loan_id", "period", "loan_age", "dlq_status", "zb_code")
-    seen = months.groupBy("loan_id").agg(
-        F.min("loan_age").alias("_age"),
-        F.min(F.struct("loan_age", "period"))["period"].alias("_period"),
-        F.greatest(F.lit(0), F.max("loan_age")).alias("observed_months"),
-        F.min(F.when(dlq >= D90, age)).alias("_d90"),
-        F.min(F.when(dlq >= D180, age)).alias("_d180"),
-        F.min(F.when(F.col("zb_code").isin(*DEFAULT_CODES), age)).alias("_event"),
-        F.min(F.when(F.col("zb_code").isin(*PREPAY_CODES), age)).alias("prepay_month"),
-        F.max(broken).alias("_broken"),
+    return performance.groupBy("loan_id", *keys).agg(
+        F.min(F.struct("loan_age", "period")).alias("first"), F.max("loan_age").alias("last_age"),
+        F.min(F.when(dlq >= D90, age)).alias("d90"), F.min(F.when(dlq >= D180, age)).alias("d180"),
+        F.min(F.when(F.col("zb_code").isin(*DEFAULT_CODES), age)).alias("event"), F.min(F.when(F.col("zb_code").isin(*PREPAY_CODES), age)).alias("prepay"),
+        F.max(F.col("loan_id").isNull() | age.isNull() | bad_delinquency(F.col("dlq_status"))).alias("broken"),
     )
+
+
+def merged(one: str, other: str) -> list[Column]:
+    """STATE of two rows' states (structs, either may be null), as columns."""
+    a, b = (lambda c: F.col(f"{one}.{c}")), (lambda c: F.col(f"{other}.{c}"))
+    return [f(a(c), b(c)).alias(c) for c, f in (("first", F.least), ("last_age", F.greatest), ("d90", F.least), ("d180", F.least), ("event", F.least), ("prepay", F.least), ("broken", F.greatest))]
+
+
+def labels_of(states: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """The labels that label_loans() describes, of loans' states."""
     why = F.concat(F.lit("can't label loan "), F.coalesce("loan_id", F.lit("(none)")))
-    checked = F.when(F.col("_broken") | F.col("_period").isNull(), F.raise_error(why)).otherwise(F.col("loan_id"))
-    d180 = F.least("_d180", "_event")
+    checked = F.when(F.col("broken") | F.col("first.period").isNull(), F.raise_error(why)).otherwise(F.col("loan_id"))
+    seen = F.greatest(F.lit(0), F.col("last_age"))
 
     def within(month: Column) -> Column:
-        known = (F.col("observed_months") >= horizon) | (F.col("prepay_month") <= horizon)
+        known = (seen >= horizon) | (F.col("prepay") <= horizon)
         return F.when(month <= horizon, True).when(known, False)
 
-    orig = months_back(F.col("_period"), F.col("_age"))
-    rows = seen.withColumn("default_month", F.least("_d90", "_event"))
-    return rows.select(
-        checked.alias("loan_id"), F.year(orig).alias("vintage"), orig.alias("orig_date"), "observed_months",
-        within(F.col("default_month")).alias("d90"), within(d180).alias("d180"),
-        F.col("_event").isNotNull().alias("defaulted"), "default_month", F.col("prepay_month").isNotNull().alias("prepaid"), "prepay_month",
+    orig = months_back(F.col("first.period"), F.col("first.loan_age"))
+    bad = F.least("d90", "event")
+    return states.select(
+        checked.alias("loan_id"), F.year(orig).alias("vintage"), orig.alias("orig_date"), seen.alias("observed_months"),
+        within(bad).alias("d90"), within(F.least("d180", "event")).alias("d180"),
+        F.col("event").isNotNull().alias("defaulted"), bad.alias("default_month"), F.col("prepay").isNotNull().alias("prepaid"), F.col("prepay").alias("prepay_month"),
     )
 
 
+def label_loans(performance: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """loan_id, vintage, orig_date, observed_months, d90, d180, defaulted, default_month, prepaid, prepay_month.
+
+    performance: loan_id, period, loan_age, dlq_status, zb_code; any order, repeats don't matter. The job fails on rows
+    that faults() names and on a loan whose earliest month has no period.
+    """
+    return labels_of(loan_states(performance), horizon)
+
+
 def cohorts(labels: DataFrame) -> DataFrame:
     """One row per vintage: loans, events, censored loans, and the D90 rate of loans whose outcome is known."""
     n, known = F.count(F.lit(1)), F.count("d90")

@@ -1,22 +1,26 @@
 """Discrimination, accuracy and calibration of scored rows (y 0 or 1, pd, loan_id).
 
-Scores are rounded to SCORE_DIGITS first, so ties don't depend on the last bits of exp().
+Scores are rounded to SCORE_DIGITS first, so ties don't depend on the last bits of exp(). A row without y or pd (null or NaN)
+fails the job: it has no place among the others.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import global_rank, running_before, settled, slice_of
+from .radix import at_ranks
+from .ranks import running_before, settled
 
 SCORE_DIGITS = 9
 
 
 def _rounded(scored: DataFrame) -> DataFrame:
-    return scored.select("loan_id", F.col("y").cast("long").alias("y"), F.round("pd", SCORE_DIGITS).alias("pd"))
+    whole = lambda c: F.when(F.col(c).isNull() | F.isnan(c), F.raise_error(F.concat(F.lit(f"no {c}: "), F.coalesce("loan_id", F.lit("(none)"))))).otherwise(F.col(c))
+    return scored.select("loan_id", whole("y").cast("long").alias("y"), F.round(whole("pd"), SCORE_DIGITS).alias("pd"))
 
 
 def auc(scored: DataFrame) -> DataFrame:
@@ -42,11 +46,78 @@ def _brier(rows: DataFrame) -> DataFrame:
     return rows.withColumn("climatology", base).withColumn("skill", 1 - F.col("brier") / F.nullif(base, F.lit(0.0)))
 
 
-def _sliced(rows: DataFrame, k: int, rising: bool) -> DataFrame:
-    rows = rows.withColumn("_v", F.col("pd") if rising else -F.col("pd"))
-    n = rows.groupBy().agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(0))
-    ranked = global_rank(rows, "_v", ["y", "loan_id"] if rising else ["loan_id"])
-    return ranked.withColumn("_one", F.lit(0)).join(F.broadcast(n), "_one").withColumn("slice", slice_of(F.col("rank"), F.col("_n"), k))
+@dataclass
+class Slice:
+    """What a slice of rows adds up to."""
+
+    n: int = 0
+    y: int = 0
+    pd: float = 0.0
+    values: list[float] = field(default_factory=list)
+
+    def add(self, n: int, y: int, pd: float, *values: float) -> None:
+        self.n, self.y, self.pd = self.n + n, self.y + y, self.pd + pd
+        self.values += values
+
+
+def _slices(rows: DataFrame, k: int, rising: bool) -> list[Slice]:
+    """Rows in order of pd (rising: equal ones by y; falling: by loan_id) in k slices, the first n mod k a row longer (as ntile).
+
+    The scores at the slices' ends are found by counting. Rows between two of them are added up as they are; of the rows that
+    have such a score only counts matter, split by arithmetic, unless the order by loan_id decides which y goes where: those
+    rows alone are ranked.
+    """
+    x = F.col("pd") if rising else -F.col("pd")
+    keyed = rows.select(F.lit(0).alias("g"), "loan_id", "y", "pd", x.alias("x"))
+
+    def ends(n: int) -> list[int]:
+        k_ = min(k, n)
+        return [(i + 1) * (n // k_) + min(i + 1, n % k_) for i in range(k_)]
+
+    at = at_ranks(keyed, "g", "x", lambda n: ends(n)[:-1])
+    if not at:
+        return []
+    n, found = at[0]
+    borders = sorted(set(found.values()))
+    edges = F.array(*[F.lit(v) for v in borders]).cast("array<double>")
+    cell = 2 * F.size(F.filter(edges, lambda e: e < F.col("x"))) + F.array_contains(edges, F.col("x")).cast("int")
+    stats = keyed.groupBy(cell.alias("cell"), "y").agg(F.count(F.lit(1)).alias("n"), F.sum("pd").alias("pd"), F.min("pd").alias("lo"), F.max("pd").alias("hi"))
+    cells: dict[int, list] = {}
+    for r in sorted(stats.collect(), key=lambda r: (r["cell"], r["y"])):  # two rows a cell
+        cells.setdefault(r["cell"], []).append(r)
+    stops, out, done = ends(n), [Slice()], 0
+    begins = {}
+    for c in sorted(cells):
+        begins[c], done = done, done + sum(r["n"] for r in cells[c])
+    parts = {c: [t - begins[c] for t in stops if begins[c] < t < begins[c] + sum(r["n"] for r in cells[c])] for c in cells}
+    mixed = {borders[c // 2]: parts[c] for c in cells if not rising and c % 2 and len(cells[c]) > 1 and parts[c]}
+    events = _events_ahead(keyed, mixed) if mixed else {}
+    done = 0
+    for c in sorted(cells):
+        pieces = [(r["n"], r["y"] * r["n"], r["pd"], r["lo"], r["hi"]) for r in cells[c]]
+        if c % 2 and borders[c // 2] in mixed:  # cut at the slices' ends, with the events that loan_id puts there
+            v, cuts = cells[c][0]["lo"], [0, *parts[c], sum(p[0] for p in pieces)]
+            ahead = [0, *events[borders[c // 2]], sum(p[1] for p in pieces)]
+            pieces = [(b - a, e - d, v * (b - a), v, v) for a, b, d, e in zip(cuts, cuts[1:], ahead, ahead[1:])]
+        for size, y, pd, lo, hi in pieces:
+            while size:
+                if done == stops[len(out) - 1]:
+                    out.append(Slice())
+                take = min(size, stops[len(out) - 1] - done)
+                part = (take, y, pd) if take == size else (take, y * take // size, lo * take)  # what is cut has one score, and one y
+                out[-1].add(*part, lo, hi)
+                size, y, pd, done = size - take, y - part[1], pd - part[2], done + take
+    return out
+
+
+def _events_ahead(keyed: DataFrame, borders: dict[float, list[int]]) -> dict[float, list[int]]:
+    """Of the rows that have a border's score, in order of loan_id: the events among the first t, for each t given."""
+    kind = keyed.sparkSession.createDataFrame([(v, t) for v, t in borders.items()], "x double, t array<long>")
+    tied = keyed.join(F.broadcast(kind), "x").withColumn("_n", F.lit(1))
+    ranked = running_before(tied, "loan_id", ["_n"], ["x"])
+    parts = ranked.groupBy("x", F.size(F.filter("t", lambda t: t <= F.col("_n_before"))).alias("part")).agg(F.sum("y").alias("y")).collect()
+    by = {(r["x"], r["part"]): r["y"] for r in parts}
+    return {v: [sum(by.get((v, j), 0) for j in range(i + 1)) for i in range(len(t))] for v, t in borders.items()}
 
 
 def reliability(scored: DataFrame, k: int = 10, strategy: str = "quantile") -> DataFrame:
@@ -58,10 +129,14 @@ def reliability(scored: DataFrame, k: int = 10, strategy: str = "quantile") -> D
     return _reliability(_rounded(scored), k, uniform=True).orderBy("bin")
 
 
+CURVE = "bin int, n long, mean_predicted double, realised double, p_lo double, p_hi double"
+
+
 def _reliability(rows: DataFrame, k: int, uniform: bool = False) -> DataFrame:
-    stats = [F.count(F.lit(1)).alias("n"), F.avg("pd").alias("mean_predicted"), F.avg("y").alias("realised")]
     if not uniform:
-        return _sliced(rows, k, True).groupBy(F.col("slice").alias("bin")).agg(*stats, F.min("pd").alias("p_lo"), F.max("pd").alias("p_hi"))
+        found = [(i, s.n, s.pd / s.n, s.y / s.n, min(s.values), max(s.values)) for i, s in enumerate(_slices(rows, k, True))]
+        return rows.sparkSession.createDataFrame(found, CURVE)
+    stats = [F.count(F.lit(1)).alias("n"), F.avg("pd").alias("mean_predicted"), F.avg("y").alias("realised")]
     edges = F.array(*[F.lit(b / k) for b in range(1, k)])
     inside = (F.col("pd") >= 0) & (F.col("pd") <= 1)
     rows = rows.withColumn("bin", F.when(inside, F.size(F.filter(edges, lambda e: e <= F.col("pd")))).otherwise(-1))
@@ -75,10 +150,10 @@ def deciles(scored: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _deciles(rows: DataFrame, k: int) -> DataFrame:
-    rows = _sliced(rows, k, False).groupBy((F.col("slice") + 1).alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.avg("pd").alias("mean_predicted"), F.sum("y").alias("_y"))
-    overall = rows.agg((F.sum("_y") / F.sum("n")).alias("_all")).withColumn("_one", F.lit(0))
-    out = rows.withColumn("realised", F.col("_y") / F.col("n")).withColumn("_one", F.lit(0)).join(F.broadcast(overall), "_one")
-    return out.select("decile", "n", "mean_predicted", "realised", (F.col("realised") / F.nullif(F.col("_all"), F.lit(0.0))).alias("lift"))
+    found = _slices(rows, k, False)
+    overall = sum(s.y for s in found) / max(1, sum(s.n for s in found))
+    table = [(i, s.n, s.pd / s.n, s.y / s.n, s.y / s.n / overall if overall else None) for i, s in enumerate(found, 1)]
+    return rows.sparkSession.createDataFrame(table, "decile int, n long, mean_predicted double, realised double, lift double")
 
 
 METRICS = ("n", "realised", "mean_predicted", "ratio", "auc", "brier", "climatology", "skill")

@@ -1,4 +1,4 @@
-"""Global ranks, running totals and exact quantiles without one task that sorts everything.
+"""Global ranks and running totals without one task that sorts everything.
 
 Rows are cut into buckets at key points: rows of (group, value, tie-break columns), so a value that many rows
 share is cut as well. The points are fetched once, from a hashed share of the keys, and the number of buckets follows
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .radix import cuts
+
 #: Rows of a bucket, about; buckets at most; keys looked at per bucket.
 PER_BUCKET, MOST, SEEN = 200_000, 4096, 16
 
@@ -48,10 +50,10 @@ def bucketed(df: DataFrame, key: list[str], per_bucket: int = PER_BUCKET) -> Dat
     blocks = [points[i : i + width] for i in range(0, len(points), width)]
     kind = StructType([df.schema[k] for k in key])
     shape = StructType([StructField("_one", IntegerType()), StructField("_heads", ArrayType(kind)), StructField("_blocks", ArrayType(ArrayType(kind)))])
-    cuts = df.sparkSession.createDataFrame([(0, [b[0] for b in blocks], blocks)], shape)
+    edges = df.sparkSession.createDataFrame([(0, [b[0] for b in blocks], blocks)], shape)
     here = F.struct(*key)
     below = lambda points: F.size(F.filter(points, lambda p: p < here))
-    met = df.withColumn("_one", F.lit(0)).join(F.broadcast(cuts), "_one").withColumn("_block", below("_heads"))
+    met = df.withColumn("_one", F.lit(0)).join(F.broadcast(edges), "_one").withColumn("_block", below("_heads"))
     inside = F.when(F.col("_block") == 0, 0).otherwise((F.col("_block") - 1) * width + below(F.get("_blocks", F.col("_block") - 1)))
     return met.withColumn("_bucket", inside).drop("_one", "_heads", "_blocks", "_block")
 
@@ -87,26 +89,11 @@ def slice_of(rank: Column, n: Column, k: int) -> Column:
     return F.when(rank < long, F.floor(rank / (base + 1))).otherwise(extra + F.floor((rank - long) / base)).cast("int")
 
 
-def is_cut(before: Column, n: Column, total: Column, k: Column) -> Column:
-    """Whether a distinct value, with `before` rows below it and n of its own, holds one of the k - 1 discrete quantiles."""
-    k = F.greatest(F.lit(1), F.least(k, total))
-    reached = lambda x: F.least(k - 1, F.floor(x * k / total))
-    return reached(before + n) > reached(before)
-
-
-def cut_table(counts: DataFrame, ks: list[int], group: list[str]) -> DataFrame:
-    """counts: group, value, n, kept by the caller. group, k, cuts: ascending values at ranks ceil(b n / k), b from 1 to k - 1,
-    for each k; a row for every group and k, fetched: k values at most."""
-    rows = running_before(counts, "value", ["n"], group)
-    totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"))
-    hit = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: is_cut(F.col("n_before"), F.col("n"), F.col("_total"), k))
-    found = rows.join(F.broadcast(totals), group).select(*group, "value", F.explode(hit).alias("k")).groupBy(*group, "k").agg(F.array_sort(F.collect_list("value")).alias("cuts"))
-    every = totals.select(*group, F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
-    out = every.join(found, [*group, "k"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
-    return counts.sparkSession.createDataFrame(out.collect(), out.schema)
-
-
 def quantile_cuts(df: DataFrame, value: str, k: int = 10) -> DataFrame:
     """cut: the distinct values at ranks ceil(b n / k), b from 1 to k - 1."""
-    counts = df.groupBy(F.lit(0).alias("_all"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return settled(counts, lambda c: cut_table(c, [k], ["_all"]).select(F.explode("cuts").alias("cut")))
+    kept = df.select(F.lit(0).alias("g"), F.col(value).cast("double").alias("value")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = cuts(kept, "g", "value", [k])
+    finally:
+        kept.unpersist()
+    return df.sparkSession.createDataFrame([(x,) for each in found.values() for x in each[k]], "cut double")

@@ -6,7 +6,7 @@ with a non-empty token that its kind can't hold, is rejected with a reason. Empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tranche.functions.scalars import typed
@@ -19,9 +19,23 @@ class RejectedRows(ValueError):
     """A strict read met rows that don't fit the layout."""
 
 
+#: The columns that say where a line stands; rows of a file are in order of (piece, n).
+PLACE = ("file", "piece", "n")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file and value of every line; .gz files are read as they are."""
-    return spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), "value")
+    """file, piece (where its part of the file begins), n (rising in a piece) and value of every line; .gz files are read as
+    they are, one task each: see gzip_lines for files of many members."""
+    meta = lambda c: F.col(f"_metadata.{c}")
+    return spark.read.text(paths).select(meta("file_path").alias("file"), meta("file_block_start").alias("piece"), F.monotonically_increasing_id().alias("n"), "value")
+
+
+def numbered(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds `line`, the number of a row's line in its file, from 1. rows: some of the lines; these are counted once, by piece."""
+    pieces = lines.groupBy("file", "piece").agg(F.count(F.lit(1)).alias("_lines"), F.min("n").alias("_first"))
+    ahead = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_ahead", F.coalesce(F.sum("_lines").over(ahead), F.lit(0))).drop("_lines")
+    return rows.join(pieces, ["file", "piece"]).withColumn("line", F.col("_ahead") + F.col("n") - F.col("_first") + 1).drop("_ahead", "_first")
 
 
 def examined(lines: DataFrame, layout: list[tuple[str, str]]) -> DataFrame:
@@ -41,17 +55,22 @@ def examined(lines: DataFrame, layout: list[tuple[str, str]]) -> DataFrame:
     return rows.select(*lines.columns, reason.alias("reason"), *[F.col(f"_{name}").alias(name) for name, _ in layout])
 
 
-def parsed(lines: DataFrame, layout: list[tuple[str, str]], strict: bool = False) -> DataFrame:
-    """Good rows, typed. strict: raises RejectedRows if there are others."""
+def parsed(lines: DataFrame, layout: list[tuple[str, str]], strict: bool = False, place: bool = False) -> DataFrame:
+    """Good rows, typed. strict: raises RejectedRows if there are others. place: adds a struct of where each line stands, by
+    which later lines can be told from earlier ones."""
     rows = examined(lines, layout)
     if strict and (bad := rejected(lines, layout).limit(SHOWN).collect()):
         raise RejectedRows("\n".join(" | ".join(str(x) for x in r) for r in bad))
-    return rows.where("reason is null").select(*[name for name, _ in layout])
+    where = [F.struct(*PLACE).alias("place")] if place else []
+    return rows.where("reason is null").select(*[name for name, _ in layout], *where)
 
 
 def rejected(lines: DataFrame, layout: list[tuple[str, str]]) -> DataFrame:
-    """Rejected rows as they were read, with the reason."""
-    return examined(lines, layout).where("reason is not null").select(*lines.columns, "reason")
+    """Rejected rows as they were read, with the reason; with their line's number if the lines say where they stand."""
+    bad = examined(lines, layout).where("reason is not null").select(*lines.columns, "reason")
+    if not set(PLACE) <= set(lines.columns):
+        return bad
+    return numbered(bad, lines).select("file", "line", "value", "reason")
 
 
 def load_stats(lines: DataFrame, layout: list[tuple[str, str]]) -> DataFrame:

@@ -3,22 +3,52 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tranche.jobs.ingest import Dataset
 from tranche.jobs.models import Boosted, Logistic
 
+from .versions import Version, current, publish
 
-def save_dataset(matrix: DataFrame, stats: DataFrame, path: str, horizon_months: int) -> None:
-    """Matrix partitioned by vintage, accounting and horizon beside it. Rebalancing gives a large vintage several tasks and
-    files of the advisory size, and small ones few."""
-    matrix.hint("rebalance", "vintage").write.mode("overwrite").partitionBy("vintage").parquet(f"{path}/matrix")
-    stats.withColumn("horizon_months", F.lit(horizon_months)).write.mode("overwrite").parquet(f"{path}/stats")
 
+@dataclass
+class Saved:
+    """A whole version of a dataset."""
 
-def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/matrix"), spark.read.parquet(f"{path}/stats")
+    matrix: DataFrame
+    stats: DataFrame
+    missing: DataFrame
+    horizon_months: int
+    models: dict[str, Logistic | Boosted]
+
+
+def save_dataset(data: Dataset, path: str, horizon_months: int, models: dict[str, Logistic | Boosted] | None = None) -> Version:
+    """Matrix partitioned by vintage, with the fields for grouping that it carries; accounting, missing fields and models beside
+    it; horizon and kinds of models in the manifest. All become visible at once, as a new version. Rebalancing gives a large
+    vintage several tasks and files of the advisory size, and small ones few."""
+    models = models or {}
+    spark = data.matrix.sparkSession
+
+    def write(folder: str) -> None:
+        data.matrix.hint("rebalance", "vintage").write.partitionBy("vintage").parquet(f"{folder}/matrix")
+        data.stats.write.parquet(f"{folder}/stats")
+        data.missing.write.parquet(f"{folder}/missing")
+        for name, model in models.items():
+            (save_logistic if isinstance(model, Logistic) else save_boosted)(spark, model, f"{folder}/models/{name}")
+
+    kinds = {name: "logistic" if isinstance(m, Logistic) else "boosted" for name, m in models.items()}
+    return publish(spark, path, write, {"horizon_months": horizon_months, "models": kinds})
+
+
+def load_dataset(spark: SparkSession, path: str) -> Saved:
+    version = current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no whole dataset in {path}")
+    read = lambda part: spark.read.parquet(f"{version.folder}/{part}")
+    models = {name: (load_logistic if kind == "logistic" else load_boosted)(spark, f"{version.folder}/models/{name}") for name, kind in version.about["models"].items()}
+    return Saved(read("matrix"), read("stats"), read("missing"), version.about["horizon_months"], models)
 
 
 def save_logistic(spark: SparkSession, model: Logistic, path: str) -> None:
