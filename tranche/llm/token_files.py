@@ -99,7 +99,7 @@ class WordEncoder:
             self.chunks, self.older = {}, self.chunks
         cut = pc.ascii_split_whitespace(texts)
         words = cut.flatten().dictionary_encode()
-        known, chunks, older = words.dictionary.to_pylist(), self.chunks, self.older
+        known, chunks, older = words.dictionary.to_numpy(zero_copy_only=False).tolist(), self.chunks, self.older
         new = [c for c in known if c not in chunks]
         chunks.update((c, older[c]) for c in new if c in older)
         found = self.learn([c for c in new if c not in older])
