@@ -108,7 +108,7 @@ def test_stream_state_ends_with_the_horizon(spark, tmp_path):
     total = months.select("loan_id").distinct().count()
     # 12 months of horizon, 3 of lateness, a quarter a file; intervals count months as 31 days
     assert len(held) > 30 and max(held) <= 5 * 30 < total / 3 and held[-1] <= 5 * 30
-    final = spark.table("final").drop("due")
+    final = spark.table("final")
     assert final.count() == final.select("loan_id").distinct().count() > 0.6 * total
     want = labels.label_loans(months.where("loan_age <= 12"), 12)
     assert not final.select("loan_id", "vintage", "d90", "d180", "prepaid").exceptAll(want.select("loan_id", "vintage", "d90", "d180", "prepaid")).count()

@@ -43,7 +43,7 @@ def apply_delta(spark: SparkSession, path: str, months: DataFrame, name: str, bu
     new = loan_states(dealt)
     if before:
         packed = lambda df, c: df.select("loan_id", F.struct(*COLUMNS).alias(c))
-        # null-safe, so that rows without a loan_id meet those of the state
+        # rows without a loan_id meet nothing; they are faulty, and asking for labels fails on them
         new = packed(states(spark, before), "old").join(packed(new, "new"), "loan_id", "full_outer").select("loan_id", *merged("old", "new"))
 
     def write(folder: str) -> None:

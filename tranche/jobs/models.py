@@ -56,15 +56,19 @@ def vectors(df: DataFrame, columns: list[Column]) -> DataFrame:
     return df.select(array_to_vector(F.array(*columns)).alias("features"), F.col("y").cast("double").alias("label"), *[c for c in ("loan_id", "held") if c in df.columns])
 
 
+def moments(df: DataFrame, features: list[str]) -> tuple[list[float], list[float]]:
+    """Means and standard deviations of the features, 1 for one that doesn't vary."""
+    row = df.agg(*[f(_col(x)).alias(f"{k}{i}") for i, x in enumerate(features) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return [row[f"m{i}"] for i in range(len(features))], [row[f"s{i}"] or 1.0 for i in range(len(features))]
+
+
 def fit_logistic(df: DataFrame, features: list[str], c: float = 1.0, iterations: int = 1000) -> Logistic:
     """Minimises c * sum of log loss + |w|^2 / 2 over standardised features, intercept free."""
     from pyspark.ml.classification import LogisticRegression
 
     _needs(df, features)
     n = _checked(df)
-    row = df.agg(*[f(_col(x)).alias(f"{k}{i}") for i, x in enumerate(features) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    means = [row[f"m{i}"] for i in range(len(features))]
-    stds = [row[f"s{i}"] or 1.0 for i in range(len(features))]
+    means, stds = moments(df, features)
     data = vectors(df, [(_col(f) - m) / s for f, m, s in zip(features, means, stds, strict=True)]).cache()
     try:
         fit = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0, standardization=False, maxIter=iterations, tol=1e-9).fit(data)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from tranche.operators import features
+from tranche.operators.reasons import phrase
 from tranche.sources import testtables as tt
 from tranche.sources.schemas import DEFAULT_CODES
 
@@ -88,6 +89,15 @@ PARTS = {
     "relia": "select cast(b - 1 as integer) as bin, count(*) as n, avg(pd) as mean_predicted, avg(y) as realised, min(pd) as p_lo, max(pd) as p_hi from (select *, ntile(10) over (order by pd, y, loan_id) as b from sc) group by b",
     "decis": "select cast(b as integer) as bin, count(*) as n, avg(pd) as mean_predicted, avg(y) as realised, avg(y) / (select avg(y) from sc) as lift from (select *, ntile(10) over (order by pd desc, loan_id) as b from sc) group by b",
     "alls": "select feature, value, row_number() over (partition by feature order by value) as i, count(*) over (partition by feature) as n from plong",
+    "marked": f"select loan_id, row_number() over (order by {seeded(SEED, 'loan_id')}, loan_id) <= greatest(1, floor(count(*) over () * {TEST_SHARE})) as is_test from mat",
+    "shown": f"""select 'in_sample' as protocol, y, pd from sc where vintage <= {LAST_TRAIN} union all select 'oot', y, pd from sc where vintage > {LAST_TRAIN}
+      union all select 'naive', y, pd from sc join marked using (loan_id) where is_test
+      union all select 'first', y, pd from sc union all select 'second', y, round(1 / (1 + exp(-(-1.0 + (fico - 700.0) / 69.0 * -0.7 + (oltv - 68.0) / 17.0 * 0.2))), 9) from mat""",
+    "shownrank": "select *, rank() over (partition by protocol order by pd) + (count(*) over (partition by protocol, pd) - 1) / 2.0 as rk from shown",
+    "figures": """select protocol, cast(count(*) as double) as n, avg(y) as realised, avg(pd) as mean_predicted, avg(y) / avg(pd) as ratio,
+        (sum(case when y = 1 then rk end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) as auc, avg((pd - y) * (pd - y)) as brier,
+        avg(y) * (1 - avg(y)) as climatology, 1 - avg((pd - y) * (pd - y)) / (avg(y) * (1 - avg(y))) as skill from shownrank group by protocol""",
+    "longfig": "select protocol, unnest(['n', 'realised', 'mean_predicted', 'ratio', 'auc', 'brier', 'climatology', 'skill']) as metric, unnest([n, realised, mean_predicted, ratio, auc, brier, climatology, skill]) as value from figures",
     "kcuts": "select feature, k, list(distinct value) as c from alls, range(2, 11) as t(k), range(1, 10) as u(b) where b < k and i = (b * n + k - 1) // k group by feature, k",
     "kall": "select feature, k, len(list_filter(coalesce(c, []), lambda e: e < value)) as bin, count(*) as e from plong cross join range(2, 11) as t(k) left join kcuts using (feature, k) group by all",
     "kgrp": "select feature, grp, k, len(list_filter(coalesce(c, []), lambda e: e < value)) as bin, count(*) as a from plong join gsize using (grp) left join kcuts using (feature, k) group by all",
@@ -164,6 +174,20 @@ SELECTS = {
     "gzip_acquisitions": f"select {', '.join('cast(orig_date as varchar) as orig_date' if c == 'orig_date' else c for c in ACQ_SHOWN)} from acq",
     "rejected_lines": """select cast(year(orig_date) as varchar) as year, line, loan_id, case when loan_id like '%007' then 'expected 25 fields, found 24' else 'num_borrowers: no int: n/a' end as reason
       from (select *, row_number() over (partition by year(orig_date) order by loan_id) as line from acq) where loan_id like '%007' or loan_id like '%013'""",
+    "labels_horizon_12": "select * replace (cast(orig_date as varchar) as orig_date) from lab",
+    "label_faults": """select case when loan_id like '%63' then 'no loan_id' when loan_id like '%42' then 'no loan_age' else 'unknown dlq_status' end as reason, count(*) as n
+      from perf where loan_id like '%63' or loan_id like '%42' or loan_id like '%21' group by 1""",
+    "d180_matrix": """select l.vintage, cast(l.d180 as integer) as y, count(*) as n from feat f join lab l on l.loan_id = f.lab_id
+      where acq_id is not null and l.d180 is not null and fico is not null and oltv is not null and dti is not null and orig_rate is not null and log_upb is not null group by 1, 2""",
+    "standardised": "select loan_id, " + ", ".join(rd(f"({q(f)} - avg({q(f)}) over ()) / stddev_pop({q(f)}) over ()", f) for f in ("fico", "log_upb", "purpose=C")) + " from mat",
+    "one_loan": f"select loan_id, {rd('raw', 'pd')}, {rd('z', 'log_odds')}, (select least(4, count(*)) from ranked r where r.loan_id = sc.loan_id) as n_reasons from sc where loan_id = (select max(loan_id) from sc)",
+    "reason_phrases": "select [" + ", ".join(repr(phrase(f)) if "'" not in phrase(f) else "'" + phrase(f).replace("'", "''") + "'" for f in COLUMNS) + "][position + 1] as phrase, count(*) as n from ranked where rank <= 4 group by 1",
+    "saved_report": f"select metric, {rd('value')} from longfig where protocol = 'first'",
+    "gzip_by_extension": "select loan_id, cast(period as varchar) as period, loan_age, dlq_status, zb_code from perf",
+    "oot_fixed_model": f"select protocol, metric, {rd('value')} from longfig where protocol in ('in_sample', 'oot', 'naive')",
+    "headline_fixed_model": f"""select cast(list_position(['n', 'realised', 'mean_predicted', 'ratio', 'auc', 'brier', 'skill'], a.metric) - 1 as integer) as position, a.metric, {rd('a.value', 'naive')}, {rd('b.value', 'oot')}
+      from longfig a join longfig b on a.metric = b.metric and a.protocol = 'naive' and b.protocol = 'oot' where a.metric <> 'climatology'""",
+    "comparison_fixed_models": f"select a.metric, {rd('a.value', 'first')}, {rd('b.value', 'second')}, {rd('b.value - a.value', 'delta')} from longfig a join longfig b on a.metric = b.metric and a.protocol = 'first' and b.protocol = 'second'",
     "logistic_certificate": f"select unnest({['(intercept)', *COLUMNS]}) as parameter, cast(0 as double) as gradient from onerow where n > 0",
     "group_parity": f"select grp, n, {rd('mean_predicted')}, {rd('realised')}, {rd('gap')} from par",
     "group_pooling": "select case when n < 30 then 'OTHER' else g end as grp, cast(sum(n) as bigint) as n from (select concat(state, '-', cast(vintage as varchar)) as g, count(*) as n from mat group by 1) group by 1",
@@ -175,4 +199,6 @@ SELECTS = {
 
 
 def oracle() -> dict[str, str]:
-    return {name: with_parts(sql, PLANTED if name == "proxy_flags" else PLONG) for name, sql in SELECTS.items()}
+    made = {name: with_parts(sql, PLANTED if name == "proxy_flags" else PLONG) for name, sql in SELECTS.items()}
+    made["labels_horizon_12"] = re.sub(r"\b36\b", "12", made["labels_horizon_12"])  # the horizon, and nothing else there
+    return made

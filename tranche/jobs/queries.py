@@ -17,7 +17,7 @@ from tranche.sources import testtables as tt
 from tranche.sources import gzip_lines
 from tranche.sources.loan_files import load_stats, parsed, read_lines, rejected
 from tranche.sources.schemas import ACQUISITION, PERFORMANCE
-from tranche.sources.store import load_dataset, save_dataset
+from tranche.sources.store import load_dataset, save_dataset, save_report
 from tranche.sources.versions import workspace
 
 from . import ingest, label_deltas, models, out_of_time
@@ -328,6 +328,83 @@ def headline_table(spark, d):
     return ranks.settled(matrix(spark, d), lambda m: out_of_time.headline(out_of_time.validate(m, COLUMNS, LAST_TRAIN).metrics))
 
 
+def labels_horizon_12(spark, d):
+    return labels.label_loans(tt.performance(spark, d), 12).withColumn("orig_date", F.col("orig_date").cast("string"))
+
+
+def label_faults(spark, d):
+    """Months of some loans lose their loan_id or loan_age, or get a status that doesn't exist."""
+    ends = F.col("loan_id").endswith
+    broken = tt.performance(spark, d).select(
+        F.when(~ends("63"), F.col("loan_id")).alias("loan_id"), "period", F.when(~ends("42"), F.col("loan_age")).alias("loan_age"),
+        F.when(ends("21"), "?").otherwise(F.col("dlq_status")).alias("dlq_status"), "zb_code",
+    )
+    return labels.faults(broken).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def d180_matrix(spark, d):
+    every = features.joined(tt.acquisitions(spark, d), loans(spark, d), target="d180")
+    return features.matrix(features.feature_rows(every)).groupBy("vintage", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def standardised(spark, d):
+    """The features as the logistic regression sees them."""
+    names = ["fico", "log_upb", "purpose=C"]
+
+    def found(m: DataFrame) -> DataFrame:
+        means, stds = models.moments(m, names)
+        return m.select("loan_id", *[r((F.col(f"`{f}`") - mean) / std).alias(f) for f, mean, std in zip(names, means, stds, strict=True)])
+
+    return found(matrix(spark, d))
+
+
+def one_loan(spark, d):
+    """Why the loan of greatest id is as risky as it is."""
+    m = matrix(spark, d)
+    loan = m.agg(F.max("loan_id")).first()[0]
+    return reasons.explain_one(FIXED, m, loan).select("loan_id", r("pd"), r("log_odds"), F.size("reasons").cast("long").alias("n_reasons"))
+
+
+def reason_phrases(spark, d):
+    found = reasons.reason_rows(reasons.explained(FIXED, matrix(spark, d)))
+    return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+def saved_report(spark, d):
+    path = workspace(spark)
+    save_report(metrics.evaluation(scored(spark, d)), path)
+    return spark.read.schema("metric string, value double").json(path).select("metric", r("value"))
+
+
+def gzip_by_extension(spark, d):
+    path = workspace(spark)
+    tt.performance_lines(spark, d).write.text(path, compression="gzip")
+    return parsed(read_lines(spark, path), PERFORMANCE).select("loan_id", F.col("period").cast("string").alias("period"), "loan_age", "dlq_status", "zb_code")
+
+
+#: A second model that looks at two features alone.
+PLAIN = models.Logistic(["fico", "oltv"], [700.0, 68.0], [69.0, 17.0], [-0.7, 0.2], -1.0)
+
+
+def oot_fixed_model(spark, d):
+    """The out-of-time report of a trainer of one's own, which always gives the fixed model."""
+    return ranks.settled(matrix(spark, d), lambda m: out_of_time.validate(m, COLUMNS, LAST_TRAIN, trainer=lambda rows, names: FIXED).metrics).select("protocol", "metric", r("value"))
+
+
+def headline_fixed_model(spark, d):
+    def found(m: DataFrame) -> DataFrame:
+        return out_of_time.headline(out_of_time.validate(m, COLUMNS, LAST_TRAIN, trainer=lambda rows, names: FIXED).metrics)
+
+    return ranks.settled(matrix(spark, d), found).select("position", "metric", r("naive"), r("oot"))
+
+
+def comparison_fixed_models(spark, d):
+    def compared(m: DataFrame) -> DataFrame:
+        return models.compare(metrics.evaluation(FIXED.score(m)), metrics.evaluation(PLAIN.score(m)))
+
+    return ranks.settled(matrix(spark, d), compared).select("metric", r("first"), r("second"), r("delta"))
+
+
 ACQ_SHOWN = ["loan_id", "channel", "orig_rate", "orig_upb", "orig_date", "oltv", "ocltv", "num_borrowers", "dti", "fico", "first_time_buyer", "purpose", "property_type", "occupancy", "state", "mi_pct", "co_fico"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -342,5 +419,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "worst_group": worst_group, "logistic_fit": logistic_fit, "gbt_importance": gbt_importance, "model_comparison": model_comparison,
     "permutation_importance": permutation_importance, "top_importances": top_importances, "custom_benchmark": custom_benchmark,
     "labels_over_deltas": labels_over_deltas, "saved_and_scored": saved_and_scored, "gzip_acquisitions": gzip_acquisitions, "rejected_lines": rejected_lines,
+    "labels_horizon_12": labels_horizon_12, "label_faults": label_faults, "d180_matrix": d180_matrix, "standardised": standardised, "one_loan": one_loan,
+    "reason_phrases": reason_phrases, "saved_report": saved_report, "gzip_by_extension": gzip_by_extension, "oot_fixed_model": oot_fixed_model,
+    "headline_fixed_model": headline_fixed_model, "comparison_fixed_models": comparison_fixed_models,
     "logistic_certificate": logistic_certificate, "out_of_time_report": out_of_time_report, "headline_table": headline_table,
 }

@@ -53,12 +53,12 @@ def value_of(key: int) -> float:
 def at_ranks(rows: DataFrame, group: str, value: str, ranks: Callable[[int], list[int]], n: str | None = None) -> dict[object, tuple[int, dict[int, float]]]:
     """For each group its number of rows and the values at ranks (from 1) in ascending order; ranks: those wanted of so many rows.
 
-    Rows may stand for several (n). Null values take no part. Groups and their ranks are few, and are what the driver holds;
+    Rows may stand for several (n). Null values and rows of no group take no part. Groups and their ranks are few, and are what the driver holds;
     rows are read once a pass, so keep what is costly.
     """
     spark = rows.sparkSession
     weight = F.col(n) if n else F.lit(1)
-    keyed = order_key(rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), weight.cast("long").alias("n")), "v", "k").drop("v")
+    keyed = order_key(rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), weight.cast("long").alias("n")), "v", "k").drop("v")
     figures = [F.sum("n").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")]
     kind = dict(keyed.dtypes)["g"]
 

@@ -15,7 +15,7 @@ from tranche.operators.labels import HORIZON, labels_of, loan_states
 
 
 def labelled(months: DataFrame, horizon: int = HORIZON, late: int = 3) -> DataFrame:
-    """months: a streaming DataFrame. Labels by loan, and `due`.
+    """months: a streaming DataFrame. Labels by loan.
 
     Event time moves on with the youngest loans: a loan originated in month m says that all rows of months before
     m - `late` have come. Rows whose period and age don't agree with the loan's others (another due month), or that lack
@@ -25,7 +25,7 @@ def labelled(months: DataFrame, horizon: int = HORIZON, late: int = 3) -> DataFr
     due = F.trunc(F.add_months("period", F.lit(horizon) - F.col("loan_age")), "MM")
     dated = months.withColumn("due", F.coalesce(due, F.raise_error(F.concat(F.lit("no period or loan_age: "), F.coalesce("loan_id", F.lit("(none)"))))).cast("timestamp"))
     states = loan_states(dated.withWatermark("due", f"{horizon + late} months"), "due")
-    return labels_of(states.withColumn("first", F.col("first")), horizon)
+    return labels_of(states, horizon)
 
 
 def live_labels(months: DataFrame, horizon: int = HORIZON, late: int = 3) -> DataStreamWriter:
