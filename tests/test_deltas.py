@@ -118,7 +118,7 @@ def test_live_labels_end_as_the_label_job_has_them(spark, tmp_path):
     months = generated(spark, years=2)
     by_quarter(months, tmp_path / "in")
     stream = spark.readStream.schema(months.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = live_labels.live_labels(stream, 12).format("memory").queryName("live2").start()
+    query = live_labels.live_labels(stream, 12, late=3).format("memory").queryName("live2").start()
     query.processAllAvailable()
     query.stop()
     last = {r["loan_id"]: (r["d90"], r["d180"], r["prepaid"]) for r in spark.table("live2").collect()}

@@ -1,4 +1,4 @@
-"""Labels over a stream of monthly rows, with state that ends.
+"""Labels over a stream of monthly rows, with state that ends where rows come about in order.
 
 All rows of a loan fall due in one month: that in which the loan reaches the horizon. The month is part of the key and the
 stream's event time, so Spark drops a loan's state once the horizon has gone by for it, whether it was paid off before, stopped
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tranche.operators.labels import HORIZON, labels_of, loan_states
+from tranche.operators.labels import HORIZON, label_loans, labels_of, loan_states
 
 
 def labelled(months: DataFrame, horizon: int = HORIZON, late: int = 3) -> DataFrame:
@@ -28,9 +28,14 @@ def labelled(months: DataFrame, horizon: int = HORIZON, late: int = 3) -> DataFr
     return labels_of(states, horizon)
 
 
-def live_labels(months: DataFrame, horizon: int = HORIZON, late: int = 3) -> DataStreamWriter:
-    """Each trigger gives the labels of the loans that changed; start() the result."""
-    return labelled(months, horizon, late).writeStream.outputMode("update")
+def live_labels(months: DataFrame, horizon: int = HORIZON, late: int | None = None) -> DataStreamWriter:
+    """Each trigger gives the labels of the loans that changed; start() the result.
+
+    late: how many months rows may come after younger loans' first ones; state then ends as labelled() says. Without it rows
+    may come in any order, years apart, and no state can end.
+    """
+    rows = label_loans(months, horizon) if late is None else labelled(months, horizon, late)
+    return rows.writeStream.outputMode("update")
 
 
 def final_labels(months: DataFrame, horizon: int = HORIZON, late: int = 3) -> DataStreamWriter:
