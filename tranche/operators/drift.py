@@ -23,9 +23,9 @@ def long_counts(rows: DataFrame, features: list[str], by: list[str]) -> DataFram
     return long_rows(rows, features, by).groupBy("feature", *by, "value").agg(F.sum("n").alias("n"))
 
 
-def bin_of(value: Column, cuts: Column) -> Column:
-    """Number of edges below the value; 0 for null."""
-    return F.size(F.filter(cuts, lambda e: e < value))
+def bin_of(value: Column, cuts: Column, most: int) -> Column:
+    """Number of edges below the value, of `most` at most; 0 for null. Written out, so that it compiles with its stage."""
+    return sum((F.coalesce((F.get(cuts, F.lit(i)) < value).cast("int"), F.lit(0)) for i in range(most)), F.lit(0))
 
 
 def term(e: Column, a: Column) -> Column:
@@ -43,7 +43,7 @@ def _psi(rows: DataFrame, k: int) -> DataFrame:
     """rows: feature, is_test, value, n, kept by the caller. They are read once for the bins, and before that once for each look
     at the bits of the edges; what is shuffled are counts by leading bits and by bin."""
     edges = _cut_table(rows.where("not is_test"), [k])
-    binned = rows.join(F.broadcast(edges), "feature", "left").withColumn("bin", F.coalesce(bin_of(F.col("value"), F.col("cuts")), F.lit(0)))
+    binned = rows.join(F.broadcast(edges), "feature", "left").withColumn("bin", F.coalesce(bin_of(F.col("value"), F.col("cuts"), k - 1), F.lit(0)))
     n = lambda test: F.sum(F.when(F.col("is_test") == test, F.col("n")).otherwise(0))
     bins = binned.groupBy("feature", "bin").agg(n(False).alias("e"), n(True).alias("a"))
     totals = bins.groupBy("feature").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
@@ -73,7 +73,7 @@ def cells(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows: feature, grp, value, n; edges: feature, k, cuts. feature, grp, cell, edge, n: one pass sorts each value among
     the edges of all k at once; edge: the greatest below it. Cells are as many as there are edges, and one."""
     every = edges.groupBy("feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("_edges"))
-    counted = rows.join(F.broadcast(every), "feature").groupBy("feature", "grp", bin_of(F.col("value"), F.col("_edges")).alias("cell")).agg(F.sum("n").alias("n"))
+    counted = rows.join(F.broadcast(every), "feature").groupBy("feature", "grp", bin_of(F.col("value"), F.col("_edges"), BINS * (BINS - 1) // 2).alias("cell")).agg(F.sum("n").alias("n"))
     return counted.join(F.broadcast(every), "feature").withColumn("edge", F.get("_edges", F.col("cell") - 1)).drop("_edges")
 
 
