@@ -180,6 +180,63 @@ def test_crf_finds_bad_lines_in_good_documents(spark):
     assert bad >= 20 and found / bad >= 0.9 and kept / lines >= 0.95 and mixed / bad >= 0.85
 
 
+def test_crf_lets_neighbours_settle_plain_lines(spark):
+    """The same short line in the middle of good and of bad documents that didn't teach: its neighbours say what it is."""
+    small = DATA.replace("0.001", "0.01")
+    docs, labels = read(spark, small, "documents"), read(spark, small, "labels")
+    model = crf.fit(docs, labels, remainder(F.col("doc_id"), 3) != 1)
+    held = docs.join(labels, "doc_id").where(remainder(F.col("doc_id"), 3) == 1).orderBy("doc_id").collect()
+    own = crf.looks([b"a"])[2].shape[1]
+    alone = crf.Crf(np.where(np.arange(len(model.weight)) <= own, model.weight, 0), np.zeros((2, 2)), model.prior, model.curve)
+
+    def settled(m):
+        right: dict[int, list] = {0: [], 1: []}
+        for r in held:
+            lines = [x for x in r.text.split("\n") if x.strip()]
+            at = len(lines) // 2
+            for plain in ("The same.", "Of it", "In the", "And so on.", "Thing 12") if len(lines) >= 3 else ():
+                p = m.lines(["\n".join([*lines[:at], plain, *lines[at:]]).encode()])[2][at]
+                right[r.quality].append((p >= 0.5) == (r.quality == 1))
+        assert min(map(len, right.values())) >= 50
+        return min(np.mean(v) for v in right.values())
+
+    assert settled(model) >= 0.8 and settled(alone) < 0.7
+
+
+def test_crf_fit_ends_flat_at_the_likelihoods_top():
+    """Height and gradient against plain sums over all labellings; the fit's end beats steps to all sides."""
+    rng = np.random.default_rng(3)
+    xs = [rng.normal(size=(n, 2)).astype(np.float32) for n in (4, 1, 3, 5, 2)]
+    ys, counts = [rng.integers(0, 2, len(x)) for x in xs], np.array([1, 1, 1 / 3, 1 / 3, 2])
+    both = crf.Sequences(xs, ys, counts)
+
+    def brute(w):
+        total = 0.0
+        for d in range(len(xs)):
+            z, true = both.x[both.doc == d] @ w[:-4], both.y[both.doc == d]
+            weigh = lambda y: z @ y + sum(w[-4 + 2 * a + b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+            total += counts[d] * (weigh(true) - math.log(sum(math.exp(weigh(np.array([bits >> i & 1 for i in range(len(z))]))) for bits in range(2 ** len(z)))))
+        return total / both.counts.sum() - 0.005 * (w @ w)
+
+    w = rng.normal(size=both.x.shape[1] + 4)
+    height, g = both.likelihood(w, 0.01)
+    sides = 1e-5 * np.eye(len(w))
+    assert math.isclose(height, brute(w)) and np.allclose(g, [(brute(w + e) - brute(w - e)) / 2e-5 for e in sides], atol=1e-6)
+    top = both.fit(0.01)
+    assert np.abs(both.likelihood(top, 0.01)[1]).max() <= crf.FLAT
+    assert all(brute(top + 1e3 * s * e) < brute(top) for e in sides for s in (-1, 1))
+
+
+def test_crf_teaches_with_the_middle_of_long_documents(spark):
+    """Long documents are cut, not left out: with one label each, two such are all that there is to learn from."""
+    long = [(1, "\n".join(f"The word of day {i} was good." for i in range(300))), (2, "\n".join("$$$ ### BUY!!! $$$ ###" for _ in range(300)))]
+    model = crf.fit(documents(spark, long), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), F.lit(True), train_lines=8)
+    good, bad = model.score([t.encode() for _, t in long])
+    assert model.prior == 0.5 and good > 0.5 > bad
+    one = crf.fit(documents(spark, long), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), F.lit(True))
+    assert one.score([long[0][1].encode()])[0] > 0.9
+
+
 # --- near-dedup ---
 
 

@@ -5,12 +5,18 @@ label, and labels of neighbouring lines weigh on each other. Forward-backward gi
 probability of being good. Weighted by length these add up to the share of a document that is good, and its
 score is the chance that a document of that share is labelled good (a rising curve, fitted to the sample).
 
-Only documents are labelled, so lines get weak labels first: all lines of a good document are good; of a bad one
-those are bad that a model of single lines finds bad, and at least the worst. That model is fitted again to
-these labels until they stay. Lines whose labels change from one to the next are thus seen in teaching.
+Only documents are labelled, so lines get weak labels. At first every line has its document's label. A model taught so sees no
+label change, so it is also shown sequences that change: for each bad document, one of its lines between the lines of a
+good one, all drawn by a seed; SPLICES such draws that together count as one. Then those lines of bad documents are bad that the chain itself, with all their neighbours,
+finds likelier bad, and at least the worst of each, and the chain is fitted to these labels. That is done once: done again
+and again, more and more lines of bad documents turn good, and plain lines between bad ones with them.
+
+One weight decay holds for all weights: a line's own look, its neighbours' looks and label pairs. It is that of DECAYS
+under which such sequences, made of documents of left-out folds, are likeliest. Fits end by their gradient.
 
 The model is fitted on the driver to a bounded sample of labelled documents: at most TRAIN_DOCS, the least by a hash
-of their id, of at most TRAIN_LINES lines each. Looks are computed by the executors, for the sample as for all.
+of their id, and of each the middle TRAIN_LINES lines at most. With spliced sequences these are 920 000 lines of
+69 numbers, 510 MB, at the very most (were all but one document bad). Looks are computed by the executors, for the sample as for all; whole texts are scored.
 
 Defined results: blank lines don't count; a text without lines, or null, scores the share of good
 documents in the sample; without any labels that share is 1 and every document scores it; rows of
@@ -28,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many labelled documents, of at most so many lines each, teach the model.
-TRAIN_DOCS, TRAIN_LINES = 4000, 500
-#: Rounds of weak labelling, at most.
-RELABEL = 20
-ROUNDS, RATE, DECAY, SEED = 200, 0.15, 3e-4, 11
-#: Weight decay of neighbours' looks and label pairs, so that a line's own look weighs first.
-DECAY_BESIDE = 3e-2
+TRAIN_DOCS, TRAIN_LINES = 4000, 32
+#: Weight decays to choose from, by so many folds of the sample.
+DECAYS, FOLDS = (1e-2, 1e-3, 1e-4, 1e-5), 3
+#: A fit ends where no part of its gradient (of the mean log-likelihood of a line) is larger.
+FLAT = 1e-6
+#: Draws of a changing sequence for each bad document.
+SPLICES = 6
+SEED = 11
 #: Bytes of text that are looked at together.
 STEP_BYTES = 1 << 20
 
@@ -120,10 +128,11 @@ class Crf:
     def __init__(self, weight: np.ndarray, move: np.ndarray, prior: float, curve: tuple[float, float] = (4.0, -2.0)):
         self.weight, self.move, self.prior, self.curve = weight, move, prior, curve
 
-    def marginals(self, doc: np.ndarray, x: np.ndarray, gradient: bool = False):
+    def marginals(self, doc: np.ndarray, x: np.ndarray, counts: np.ndarray | None = None):
         """Probability that each line is good, by scaled forward-backward over all documents at once.
 
-        With gradient also the expected label pairs. Lines of a document lie together.
+        Given how often each line counts, also the expected label pairs and the log of the sum over all labellings. Lines of a
+        document lie together and count alike.
         """
         z = x @ self.weight
         begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -131,25 +140,31 @@ class Crf:
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
-        node = np.stack([1 / (1 + np.exp(np.clip(z, -30, 30))), 1 / (1 + np.exp(-np.clip(z, -30, 30)))], 1)
-        edge = np.exp(self.move - self.move.max())
+        z = np.clip(z, -30, 30)
+        node = np.stack([1 / (1 + np.exp(z)), 1 / (1 + np.exp(-z))], 1)
+        top = self.move.max()
+        edge = np.exp(self.move - top)
+        weigh = np.ones(len(doc)) if counts is None else counts
+        log_sum = weigh @ np.logaddexp(0, z) + top * (weigh.sum() - weigh[begin].sum())
         alpha, beta = np.empty_like(node), np.ones_like(node)
         for t, n in enumerate(live):
             at = begin[:n] + t
             a = node[at] * (alpha[at - 1] @ edge if t else 1.0)
-            alpha[at] = a / a.sum(1, keepdims=True)
+            scale = a.sum(1, keepdims=True)
+            log_sum += np.log(scale[:, 0]) @ weigh[at]
+            alpha[at] = a / scale
         pairs = np.zeros((2, 2))
         for t in range(len(live) - 1, 0, -1):
             at = begin[: live[t]] + t
             m = node[at] * beta[at]
             b = m @ edge.T
-            if gradient:
+            if counts is not None:
                 joint = alpha[at - 1][:, :, None] * edge[None] * m[:, None, :]
-                pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                pairs += np.tensordot(weigh[at] / joint.sum((1, 2)), joint, 1)
             beta[at - 1] = b / b.sum(1, keepdims=True)
         p = alpha * beta
         p = p[:, 1] / p.sum(1)
-        return (p, pairs) if gradient else p
+        return p if counts is None else (p, pairs, log_sum)
 
     def lines(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per line with words: number of its text, its bytes, and its probability of being good."""
@@ -185,48 +200,125 @@ def newton(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 25)
     return w
 
 
-def weak_labels(doc: np.ndarray, x: np.ndarray, good: np.ndarray, rounds: int = RELABEL) -> np.ndarray:
-    """Label of each line. good: label of its document. Lines of good documents are good. Of a bad document those are
-    bad that are likelier so by their own looks, and the worst one in any case."""
-    one = np.concatenate([np.ones((len(x), 1)), x], 1).astype(float)
-    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(doc)]))
-    y = good.copy()
-    for _ in range(rounds):
-        z = one @ newton(one, y)
-        worst = z == np.minimum.reduceat(z, begin)[of]
-        now = np.where(good > 0, 1, ((z > 0) & ~worst).astype(np.int64))
-        if (now == y).all():
-            break
-        y = now
-    return y
+def climb(value, w: np.ndarray, flat: float = FLAT, kept: int = 12) -> np.ndarray:
+    """Where the concave function is highest. value: of weights to the height and its gradient. Limited-memory
+    quasi-Newton steps, halved until they rise, until the gradient is flat or no step rises any more."""
+    height, g = value(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    while np.abs(g).max() > flat:
+        d, parts = g.copy(), []
+        for s, y in reversed(steps):
+            parts.append(s @ d / (s @ y))
+            d -= parts[-1] * y
+        if steps:
+            s, y = steps[-1]
+            d *= s @ y / (y @ y)
+        for (s, y), a in zip(steps, reversed(parts), strict=True):
+            d += (a - y @ d / (s @ y)) * s
+        size = 1.0
+        while True:
+            new_height, new_g = value(w + size * d)
+            if new_height >= height + 1e-4 * size * (g @ d):
+                break
+            size /= 2
+            if size < 1e-9:
+                return w
+        step, bend = size * d, g - new_g
+        if step @ bend > 1e-14:
+            steps = [*steps[1 - kept :], (step, bend)]
+        w, height, g = w + step, new_height, new_g
+    return w
 
 
-def train(doc: np.ndarray, size: np.ndarray, x: np.ndarray, good: np.ndarray, prior: float, rounds: int = ROUNDS) -> Crf:
-    """good: label of each line's document. Ascends the mean log-likelihood of the weak labels per line, with weight decay,
-    by adaptive steps; then fits the curve of documents over their shares of good lines."""
-    full = with_neighbours(doc, x)
-    crf = Crf(np.zeros(full.shape[1]), np.zeros((2, 2)), prior)
-    if not len(doc):
+class Sequences:
+    """Looks and labels of lines, a sequence after the other: what a chain is fitted to. counts: how often each counts."""
+
+    def __init__(self, xs: list[np.ndarray], ys: list[np.ndarray], counts: np.ndarray | None = None):
+        self.doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+        self.x, self.y = with_neighbours(self.doc, np.concatenate(xs)), np.concatenate(ys)
+        same = self.doc[1:] == self.doc[:-1]
+        self.pairs = np.zeros((2, 2))
+        self.counts = (np.ones(len(xs)) if counts is None else counts)[self.doc]
+        np.add.at(self.pairs, (self.y[:-1][same], self.y[1:][same]), self.counts[1:][same])
+        self.true = self.x.T @ (self.y * self.counts)
+
+    def likelihood(self, w: np.ndarray, decay: float = 0.0) -> tuple[float, np.ndarray]:
+        """Mean log-likelihood of a line's label, less decay, and its gradient. w: weights, then label pairs."""
+        crf, n = Crf(w[:-4], w[-4:].reshape(2, 2), 0.5), self.counts.sum()
+        p, pairs, log_sum = crf.marginals(self.doc, self.x, self.counts)
+        value = (self.true @ crf.weight + (self.pairs * crf.move).sum() - log_sum) / n - decay / 2 * (w @ w)
+        return value, np.r_[(self.true - self.x.T @ (p * self.counts)) / n, ((self.pairs - pairs) / n).ravel()] - decay * w
+
+    def fit(self, decay: float, start: np.ndarray | None = None, flat: float = FLAT) -> np.ndarray:
+        return climb(lambda w: self.likelihood(w, decay), np.zeros(self.x.shape[1] + 4) if start is None else start, flat)
+
+
+Lines = list[np.ndarray]
+
+
+def spliced(xs: Lines, ys: Lines, good: np.ndarray) -> tuple[Lines, Lines]:
+    """Looks and labels of sequences whose labels change: for each bad document one of its lines, between
+    those of a good one, SPLICES times."""
+    rng = np.random.default_rng(SEED)
+    hosts = np.flatnonzero(good)
+    out: tuple[Lines, Lines] = [], []
+    for i in np.repeat(np.flatnonzero(good == 0), SPLICES) if len(hosts) else ():
+        host = hosts[rng.integers(len(hosts))]
+        at, line = rng.integers(len(xs[host]) + 1), rng.integers(len(xs[i]))
+        for v, to in zip((xs, ys), out, strict=True):
+            to.append(np.concatenate([v[host][:at], v[i][line : line + 1], v[host][at:]]))
+    return out
+
+
+def shown(xs: Lines, ys: Lines, good: np.ndarray) -> Sequences:
+    """What teaches: the documents, and such sequences beside them."""
+    more = spliced(xs, ys, good)
+    return Sequences(xs + more[0], ys + more[1], np.r_[np.ones(len(xs)), np.full(len(more[0]), 1 / SPLICES)])
+
+
+def chosen_decay(xs: Lines, ys: Lines, good: np.ndarray) -> float:
+    """That of DECAYS under which spliced sequences of left-out folds are likeliest; both labels are dealt round the folds."""
+    fold = np.zeros(len(good), np.int64)
+    for label in (0, 1):
+        at = np.flatnonzero(good == label)
+        fold[np.random.default_rng(SEED).permutation(at)] = np.arange(len(at)) % FOLDS
+    of = lambda rows: ([xs[i] for i in rows], [ys[i] for i in rows], good[rows])
+    total = np.zeros(len(DECAYS))
+    for k in range(FOLDS):
+        left = spliced(*of(np.flatnonzero(fold == k)))
+        inside = np.flatnonzero(fold != k)
+        if not left[0] or not len(inside):
+            continue
+        seen, tested, w = shown(*of(inside)), Sequences(*left), None
+        for i, decay in enumerate(DECAYS):
+            w = seen.fit(decay, w, FLAT * 100)
+            total[i] += tested.likelihood(w)[0]
+    return DECAYS[int(np.argmax(total))]
+
+
+def train(xs: list[np.ndarray], sizes: list[np.ndarray], good: np.ndarray, prior: float) -> Crf:
+    """xs, sizes: looks and bytes of each document's lines; good: its label. Fits the chain to weak labels of lines that it
+    gives itself, then the curve of documents over their shares of good lines."""
+    some = [i for i, x in enumerate(xs) if len(x)]
+    xs, size, good = [xs[i] for i in some], np.concatenate([sizes[i] for i in some] or [np.zeros(0)]), good[some]
+    width = looks([b"a"])[2].shape[1]
+    crf = Crf(np.zeros(3 * width + 3), np.zeros((2, 2)), prior)
+    if not xs:
         return crf
-    y = weak_labels(doc, x, good)
-    same = doc[1:] == doc[:-1]
-    true_pairs = np.zeros((2, 2))
-    np.add.at(true_pairs, (y[:-1][same], y[1:][same]), 1)
-    true = full.T @ y
-    n = len(doc)
-    decay = np.where(np.arange(full.shape[1]) <= x.shape[1], DECAY, DECAY_BESIDE)
-    m, v = np.zeros(full.shape[1] + 4), np.zeros(full.shape[1] + 4)
-    for r in range(1, rounds + 1):
-        p, pairs = crf.marginals(doc, full, gradient=True)
-        g = np.r_[(true - full.T @ p) / n - decay * crf.weight, ((true_pairs - pairs) / n - DECAY_BESIDE * crf.move).ravel()]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = RATE * (1 - r / (rounds + 1)) * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
-        crf.weight += step[:-4]
-        crf.move += step[-4:].reshape(2, 2)
-    some, share = shares(doc, size, crf.marginals(doc, full), int(doc[-1]) + 1)
-    labels = good[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])]
-    height, slope = newton(np.stack([np.ones(len(share)), share], 1), labels, 1e-4, 100)
+    doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    full = with_neighbours(doc, np.concatenate(xs))
+    y = good[doc]
+    cut = lambda v: np.split(v, begin[1:])
+    decay, w = chosen_decay(xs, cut(y), good), None
+    for last in (False, True):
+        w = shown(xs, cut(y), good).fit(decay, w, FLAT if last else FLAT * 10)
+        crf.weight, crf.move = w[:-4], w[-4:].reshape(2, 2)
+        p = crf.marginals(doc, full)
+        worst = p == np.minimum.reduceat(p, begin)[doc]
+        y = np.where(good[doc] > 0, 1, ((p > 0.5) & ~worst).astype(np.int64))
+    _, share = shares(doc, size, p, len(xs))
+    height, slope = newton(np.stack([np.ones(len(share)), share], 1), good, 1e-4, 100)
     crf.curve = (max(0.0, float(slope)), float(height))
     return crf
 
@@ -243,16 +335,21 @@ def in_steps(texts: pa.Array) -> Iterator[list[bytes]]:
         yield held
 
 
-def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, quality, text to doc_id, quality, lines and looks (each line's bytes and look, as 32-bit numbers)."""
-    for b in batches:
-        at = 0
-        for texts in in_steps(b.column(2)):
-            doc, size, x = looks(texts)
-            rows = np.concatenate([size.astype(np.float32)[:, None], x], 1)
-            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(np.diff(ends)), pa.array([rows[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())], ["doc_id", "quality", "lines", "looks"])
-            at += len(texts)
+def _looked(train_lines: int):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, quality, text to doc_id, quality and looks (bytes and look of each of the middle lines, as 32-bit numbers)."""
+        for b in batches:
+            at = 0
+            for texts in in_steps(b.column(2)):
+                doc, size, x = looks(texts)
+                rows = np.concatenate([size.astype(np.float32)[:, None], x], 1)
+                ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+                begin = ends[:-1] + np.maximum(0, np.diff(ends) - train_lines) // 2
+                held = [rows[i : min(i + train_lines, j)].tobytes() for i, j in zip(begin, ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(held, pa.binary())], ["doc_id", "quality", "looks"])
+                at += len(texts)
+
+    return look
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_teach: Column, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Crf:
@@ -260,17 +357,15 @@ def fit(docs: DataFrame, labels: DataFrame, may_teach: Column, doc_id: str = "do
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & may_teach).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(train_docs)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-    looked = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_looked, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, quality int, lines long, looks binary")
-    least = looked.where(F.col("lines") <= train_lines).groupBy("doc_id").agg(F.min(F.struct("looks", "quality")).alias("x"))
+    looked = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_looked(train_lines), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, quality int, looks binary")
+    least = looked.groupBy("doc_id").agg(F.min(F.struct("looks", "quality")).alias("x"))
     rows = least.select("x.*").toArrow()  # train_docs rows of train_lines lines at most
     y = (rows.column("quality").to_numpy() > 0).astype(np.int64)
     width = looks([b"a"])[2].shape[1] + 1
     xs = [np.frombuffer(r, np.float32).reshape(-1, width) for r in rows.column("looks").to_pylist()]
     order = sorted(range(len(xs)), key=lambda i: (y[i], xs[i].tobytes()))  # tasks end in any order; sums must not
     xs, y = [xs[i] for i in order], y[order]
-    doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-    x = np.concatenate(xs) if xs else np.zeros((0, width), np.float32)
-    return train(doc, x[:, 0].astype(float), x[:, 1:], y[doc], float(y.mean()) if len(y) else 1.0)
+    return train([x[:, 1:] for x in xs], [x[:, 0].astype(float) for x in xs], y, float(y.mean()) if len(y) else 1.0)
 
 
 def with_lines(docs: DataFrame, crf: Crf, text: str = "text", to: str = "lines") -> DataFrame:
