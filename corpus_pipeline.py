@@ -22,7 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: those of 5-word similarity 0.8 and more."""
+    """The first document of each group of near copies: those of 5-word similarity 0.8 and more, found by SimHash and,
+    where fingerprints differ too much, by MinHash."""
     return simhash.keep_first(docs, jaccard.near_groups(docs))
 
 

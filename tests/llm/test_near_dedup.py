@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tranche.llm import jaccard
+from tranche.llm import jaccard, simhash
 
 from .test_text_ops import AWKWARD, documents, words
 
@@ -69,3 +69,23 @@ def test_awkward_rows(spark):
     assert by == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9}
     assert sorted(r.component_id for r in got if r.doc_id is None) == [1, 6, 8, 8]
     assert jaccard.near_groups(documents(spark, [])).count() == 0
+
+
+def differing(a, b):
+    found = [jaccard.shingles(t.encode()) for t in (a, b)]
+    x, y = (simhash.majority(simhash.ones(s), len(s)) for s in found)
+    return ((x ^ y) & (1 << 64) - 1).bit_count()
+
+
+def test_simhash_finds_what_is_within_its_radius(spark, monkeypatch):
+    """Without MinHash: pairs of like fingerprints are one group if they are similar enough, all others stay apart."""
+    buckets = jaccard.bucketed
+    monkeypatch.setattr(jaccard, "bucketed", lambda nodes: buckets(nodes).where("false"))
+    pairs = [(b, edited(b, 1 + k % 4, k)) for k in range(60) for b in [words(150 + 5 * k, 3000 + k, 5000)]]
+    pairs += [(b, edited(b, 1, k)) for k in range(4000) for b in [words(35, 9000 + k, 5000)] if differing(b, edited(b, 1, k)) <= simhash.DIFFER]
+    rows = list(enumerate(t for p in pairs for t in p))
+    got = {r.doc_id: r.component_id for r in jaccard.near_groups(documents(spark, rows).repartition(3)).collect()}
+    like = [differing(a, b) <= simhash.DIFFER for a, b in pairs]
+    near = [9 * len(x & y) >= 4 * (len(x) + len(y)) for x, y in ((sets_of(a), sets_of(b)) for a, b in pairs)]
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] == 2 * k + (not (like[k] and near[k])) for k in range(len(pairs)))
+    assert {(True, True), (True, False), (False, True)} <= set(zip(like, near, strict=True))

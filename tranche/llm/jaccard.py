@@ -1,10 +1,14 @@
-"""Near copies by the Jaccard similarity of their sets of 5-word shingles: at least 4 / 5, counted exactly.
-
-1. Texts with equal sets of shingles fold into one node. A node has BANDS signatures of ROWS least hashes each; nodes
-   with an equal signature are candidates. A pair at 0.8 shares no signature with probability (1 - 0.8^6)^36 < 2e-5.
-2. Each node is compared with the smallest node of each of its buckets, and what links forms components. That settles
-   buckets whose members all hang together; no bucket is unfolded into pairs.
-3. The other buckets are compared whole, pair by pair, except where both are known to hang together and where
+"""Near copies by SimHash and, beyond its radius, MinHash. What links is always the Jaccard similarity of the sets of
+5-word shingles: at least 4 / 5, counted exactly.
+
+1. Texts with equal sets of shingles fold into one node, which has the SimHash fingerprint of its set.
+2. Fingerprints link as in simhash: by signatures with a bit left out, verified, a spanning forest a bucket. A link's
+   nodes, and those of one fingerprint, are compared, and what is similar enough forms components.
+3. At 0.8 fingerprints differ in some 10 bits, far beyond that radius. So a node also has BANDS signatures of ROWS least
+   hashes each, and nodes with an equal one are candidates too. A pair at 0.8 shares none with probability
+   (1 - 0.8^6)^36 < 2e-5. Each node is compared with the smallest node of each of its buckets, unless step 2 has both hang
+   together. That settles buckets whose members all hang together; no bucket is unfolded into pairs.
+4. The other buckets are compared whole, pair by pair, except where both are known to hang together and where
    an earlier signature in common has them compared elsewhere. Large buckets are cut into chunks, and each two chunks
    meet in a task of their own.
 
@@ -23,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .shared import in_slices, table, text_key
 from .simhash import NO_ID
@@ -58,12 +63,13 @@ def signatures(found: np.ndarray) -> list[int]:
 
 
 def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, part, text to doc_id, part, node, n (different shingles) and bands."""
+    """doc_id, part, text to doc_id, part, node, n (different shingles), fp (their fingerprint) and bands."""
     for b in in_slices(batches, 2):
         sets = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(2)]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        fp = pa.array([simhash.majority(simhash.ones(s), len(s)) for s in sets], pa.int64())
         bands = pa.array([np.array(signatures(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), bands], ["doc_id", "part", "node", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), fp, bands], ["doc_id", "part", "node", "n", "fp", "bands"])
 
 
 def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,22 +116,47 @@ def compare(t: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def close(nodes: DataFrame) -> DataFrame:
+    """nodes: node, fp. Pairs u, v to compare: the smallest nodes of fingerprints that link, and those of each one's others."""
+    centres = table(nodes.groupBy("fp").agg(F.min("node").alias("centre")))
+    end = lambda to: centres.select(F.col("fp").alias(f"fp_{to}"), F.col("centre").alias(to))
+    linked = simhash.links(centres.select("fp")).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v")).distinct()
+    equal = nodes.join(centres, "fp").where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
+    return linked.join(end("u"), "fp_u").join(end("v"), "fp_v").select("u", "v").union(equal)
+
+
+def bucketed(nodes: DataFrame) -> DataFrame:
+    """nodes: node, n, bands. sig, node, n, centre for each signature that several nodes have; centre is the smallest of these."""
+    signed = nodes.select("node", "n", F.explode("bands").alias("sig"))
+    met = signed.groupBy("sig").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    return signed.join(met, "sig").select("sig", "node", "n", "centre")
+
+
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs u, v that links don't have hang together."""
+    roots = table(components(links))
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    placed = pairs.join(end("u"), "u", "left").join(end("v"), "v", "left")
+    return placed.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, part, node, component_id for every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("part"), F.col(text).alias("text"))
-    marked = table(rows.mapInArrow(mark, "doc_id long, part binary, node long, n long, bands array<long>"))
+    marked = table(rows.mapInArrow(mark, "doc_id long, part binary, node long, n long, fp long, bands array<long>"))
     place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("part").alias("part"))
-    nodes = table(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = table(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(place).alias("place"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
-    signed = nodes.select("node", "n", F.explode("bands").alias("sig"))
-    met = signed.groupBy("sig").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = table(signed.join(met, "sig").select("sig", "node", "n", "centre"))
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("place.id").alias("_id"), F.col("place.part").alias("_part"))
+    met = table(close(nodes.select("node", "fp")))
+    members = table(bucketed(nodes))
+    compared = members.select("node").union(met.select("u")).union(met.select("v")).distinct()
+    wanted = nodes.join(compared, "node").select("node", F.col("place.id").alias("_id"), F.col("place.part").alias("_part"))
     texts = rows.join(wanted, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id")) & (F.col("part") == F.col("_part"))).select("node", "text")
     sets = table(texts.mapInArrow(unfold, "node long, shingles array<long>").dropDuplicates(["node"]))
 
     others = members.where("node <> centre")
-    links = table(alike(others.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), sets))
+    links = table(alike(met, sets))
+    links = table(links.union(alike(apart(others.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), links), sets)))
     roots = table(components(links))
     others = table(others.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root")))
     left = others.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("a <> b")

@@ -30,6 +30,16 @@ from .shared import table, text_key
 BITS, SHINGLE, DIFFER, BUCKET, SMALL, STEP = 64, 3, 3, 4096, 12, 1 << 16
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the unsigned hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes: a bit is set if it is set in over half of them."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     words = text.lower().split()
     if not words:
@@ -38,12 +48,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     stops = ends[-n:].tolist()
     starts = [0, *(ends[: n - 1] + 1).tolist()]
-    ones = np.zeros(BITS, np.int64)
+    count = np.zeros(BITS, np.int64)
     for i in range(0, n, STEP):
         grams = map(joined.__getitem__, map(slice, starts[i : i + STEP], stops[i : i + STEP]))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+        count += ones(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64))
+    return majority(count, n)
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", to: str = "fp", shingle: int = SHINGLE) -> DataFrame:
