@@ -131,6 +131,14 @@ def test_ids_of_awkward_texts_equal_library(library):
             assert ids == want.ids, text
 
 
+def test_chunks_are_cut_as_by_the_tokenizer_files_pattern():
+    rnd = random.Random(5)
+    chars = [chr(c) for c in range(0x300) if chr(c) not in " \t\n\v\f\r"]
+    chunks = [f"{a}x{b}" for a in chars for b in ("1", "'s", "!", "É", a)] + ["".join(rnd.choices([*chars, *"'sdmtrevl" * 20], k=rnd.randrange(1, 12))) for _ in range(30_000)]
+    line = "\n".join(chunks).lower()
+    assert not token_files.OTHER.search("".join(chars).replace("<|", "")) and token_files.CUT.findall(line) == token_files.PIECES.findall(line)
+
+
 def listed(library, docs):
     """doc_id, start, n_tokens, ids_crc32 of documents in order."""
     at, found = 0, []
