@@ -227,6 +227,20 @@ def test_crf_fit_ends_flat_at_the_likelihoods_top():
     assert all(brute(top + 1e3 * s * e) < brute(top) for e in sides for s in (-1, 1))
 
 
+def test_crf_keeps_a_line_once_however_many_sequences_show_it():
+    rng = np.random.default_rng(4)
+    xs = [rng.normal(size=(n, 22)).astype(np.float32) for n in (32, 5, 1, 32, 9)]
+    ys, good = [np.full(len(x), k % 2) for k, x in enumerate(xs)], np.array([0, 1, 0, 1, 0])
+    seen, v = crf.shown(xs, ys, good), rng.normal(size=22 * 3 + 3)
+    more = crf.spliced(xs, ys, good)
+    flat = np.concatenate(xs + more[0])
+    doc = np.repeat(np.arange(len(xs) + len(more[0])), [len(x) for x in xs + more[0]])
+    x = crf.with_neighbours(doc, flat)
+    assert len(more[0]) == 3 * crf.SPLICES and np.array_equal(seen.x, x) and np.array_equal(seen.y, np.concatenate(ys + more[1]))
+    assert np.allclose(seen.heights(v), x @ v) and np.allclose(seen.sums(seen.y * seen.counts), x.T @ (seen.y * seen.counts))
+    assert sum(a.size for a in vars(seen).values() if a.ndim == 2) <= 22 * sum(map(len, xs)) + 4  # no row for each line of each sequence
+
+
 def test_crf_teaches_with_the_middle_of_long_documents(spark):
     """Long documents are cut, not left out: with one label each, two such are all that there is to learn from."""
     long = [(1, "\n".join(f"The word of day {i} was good." for i in range(300))), (2, "\n".join("$$$ ### BUY!!! $$$ ###" for _ in range(300)))]
@@ -282,6 +296,20 @@ def test_components_chain(spark):
     assert components.components(edges.where("false")).count() == 0
 
 
+def test_components_steps_are_noted_as_they_are_written(spark, monkeypatch):
+    """The driver plans one query for each step, the one that writes it."""
+    written = []
+    monkeypatch.setattr(components, "table", lambda df, table=components.table: written.append(1) or table(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = ran()
+    roots = components.components(edges)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert len(written) > 2 and ran() - before == len(written)
+    assert {r.root for r in roots.collect()} == {0}
+
+
 def test_near_groups_rows(spark):
     docs = documents(spark, AWKWARD).withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(0))
     groups = simhash.near_groups(docs)

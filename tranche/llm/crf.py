@@ -15,8 +15,9 @@ One weight decay holds for all weights: a line's own look, its neighbours' looks
 under which such sequences, made of documents of left-out folds, are likeliest. Fits end by their gradient.
 
 The model is fitted on the driver to a bounded sample of labelled documents: at most TRAIN_DOCS, the least by a hash
-of their id, and of each the middle TRAIN_LINES lines at most. With spliced sequences these are 920 000 lines of
-69 numbers, 510 MB, at the very most (were all but one document bad). Looks are computed by the executors, for the sample as for all; whole texts are scored.
+of their id, and of each the middle TRAIN_LINES lines at most: 128 000 lines of 22 numbers, 23 MB. Spliced sequences
+hold places of these lines, 920 000 at the very most (were all but one document bad); with what the chain finds for each, that is
+some 150 bytes a place. Looks are computed by the executors, for the sample as for all; whole texts are scored.
 
 Defined results: blank lines don't count; a text without lines, or null, scores the share of good
 documents in the sample; without any labels that share is 1 and every document scores it; rows of
@@ -134,7 +135,10 @@ class Crf:
         Given how often each line counts, also the expected label pairs and the log of the sum over all labellings. Lines of a
         document lie together and count alike.
         """
-        z = x @ self.weight
+        return self.chain(doc, x @ self.weight, counts)
+
+    def chain(self, doc: np.ndarray, z: np.ndarray, counts: np.ndarray | None = None):
+        """marginals, from what each line weighs by itself for good over bad."""
         begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         size = np.diff(np.r_[begin, len(doc)])
         order = np.argsort(-size, kind="stable")
@@ -231,33 +235,63 @@ def climb(value, w: np.ndarray, flat: float = FLAT, kept: int = 12) -> np.ndarra
 
 
 class Sequences:
-    """Looks and labels of lines, a sequence after the other: what a chain is fitted to. counts: how often each counts."""
-
-    def __init__(self, xs: list[np.ndarray], ys: list[np.ndarray], counts: np.ndarray | None = None):
-        self.doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-        self.x, self.y = with_neighbours(self.doc, np.concatenate(xs)), np.concatenate(ys)
-        same = self.doc[1:] == self.doc[:-1]
+    """Looks and labels of lines, a sequence after the other: what a chain is fitted to. counts: how often each counts.
+    Given at, a sequence's lines are those at these places of xs, counted through; however many show it, a look is kept once."""
+
+    def __init__(self, xs: list[np.ndarray], ys: list[np.ndarray], counts: np.ndarray | None = None, at: list[np.ndarray] | None = None):
+        at = places(xs) if at is None else at
+        self.doc, self.at = np.repeat(np.arange(len(at)), [len(i) for i in at]), np.concatenate(at)
+        self.looks, self.y = np.concatenate(xs).astype(np.float64), np.concatenate(ys)
+        self.same = self.doc[1:] == self.doc[:-1]
+        self.first, self.last = np.flatnonzero(np.r_[True, ~self.same]), np.flatnonzero(np.r_[~self.same, True])
         self.pairs = np.zeros((2, 2))
-        self.counts = (np.ones(len(xs)) if counts is None else counts)[self.doc]
-        np.add.at(self.pairs, (self.y[:-1][same], self.y[1:][same]), self.counts[1:][same])
-        self.true = self.x.T @ (self.y * self.counts)
+        self.counts = (np.ones(len(at)) if counts is None else counts)[self.doc]
+        np.add.at(self.pairs, (self.y[:-1][self.same], self.y[1:][self.same]), self.counts[1:][self.same])
+        self.true = self.sums(self.y * self.counts)
+
+    @property
+    def x(self) -> np.ndarray:
+        """All that weighs, a row for each line; heights and sums do without it."""
+        return with_neighbours(self.doc, self.looks[self.at])
+
+    def heights(self, weight: np.ndarray) -> np.ndarray:
+        """x @ weight."""
+        own, before, after = weight[1:-2].reshape(3, -1) @ self.looks.T
+        z = weight[0] + own[self.at]
+        z[1:] += before[self.at[:-1]] * self.same
+        z[:-1] += after[self.at[1:]] * self.same
+        z[self.first] += weight[-2]
+        z[self.last] += weight[-1]
+        return z
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """x.T @ v."""
+        n = len(self.looks)
+        met = [np.bincount(self.at, v, n), np.bincount(self.at[:-1], v[1:] * self.same, n), np.bincount(self.at[1:], v[:-1] * self.same, n)]
+        return np.r_[v.sum(), (np.stack(met) @ self.looks).ravel(), v[self.first].sum(), v[self.last].sum()]
 
     def likelihood(self, w: np.ndarray, decay: float = 0.0) -> tuple[float, np.ndarray]:
         """Mean log-likelihood of a line's label, less decay, and its gradient. w: weights, then label pairs."""
         crf, n = Crf(w[:-4], w[-4:].reshape(2, 2), 0.5), self.counts.sum()
-        p, pairs, log_sum = crf.marginals(self.doc, self.x, self.counts)
+        p, pairs, log_sum = crf.chain(self.doc, self.heights(crf.weight), self.counts)
         value = (self.true @ crf.weight + (self.pairs * crf.move).sum() - log_sum) / n - decay / 2 * (w @ w)
-        return value, np.r_[(self.true - self.x.T @ (p * self.counts)) / n, ((self.pairs - pairs) / n).ravel()] - decay * w
+        return value, np.r_[(self.true - self.sums(p * self.counts)) / n, ((self.pairs - pairs) / n).ravel()] - decay * w
 
     def fit(self, decay: float, start: np.ndarray | None = None, flat: float = FLAT) -> np.ndarray:
-        return climb(lambda w: self.likelihood(w, decay), np.zeros(self.x.shape[1] + 4) if start is None else start, flat)
+        return climb(lambda w: self.likelihood(w, decay), np.zeros(len(self.true) + 4) if start is None else start, flat)
 
 
 Lines = list[np.ndarray]
 
 
+def places(xs: Lines) -> Lines:
+    """The numbers of each document's lines, counted through."""
+    ends = np.cumsum([len(x) for x in xs])
+    return np.split(np.arange(ends[-1]), ends[:-1]) if len(xs) else []
+
+
 def spliced(xs: Lines, ys: Lines, good: np.ndarray) -> tuple[Lines, Lines]:
-    """Looks and labels of sequences whose labels change: for each bad document one of its lines, between
+    """Looks (or places) and labels of sequences whose labels change: for each bad document one of its lines, between
     those of a good one, SPLICES times."""
     rng = np.random.default_rng(SEED)
     hosts = np.flatnonzero(good)
@@ -272,8 +306,9 @@ def spliced(xs: Lines, ys: Lines, good: np.ndarray) -> tuple[Lines, Lines]:
 
 def shown(xs: Lines, ys: Lines, good: np.ndarray) -> Sequences:
     """What teaches: the documents, and such sequences beside them."""
-    more = spliced(xs, ys, good)
-    return Sequences(xs + more[0], ys + more[1], np.r_[np.ones(len(xs)), np.full(len(more[0]), 1 / SPLICES)])
+    own = places(xs)
+    more = spliced(own, ys, good)
+    return Sequences(xs, ys + more[1], np.r_[np.ones(len(xs)), np.full(len(more[0]), 1 / SPLICES)], own + more[0])
 
 
 def chosen_decay(xs: Lines, ys: Lines, good: np.ndarray) -> float:
@@ -285,11 +320,12 @@ def chosen_decay(xs: Lines, ys: Lines, good: np.ndarray) -> float:
     of = lambda rows: ([xs[i] for i in rows], [ys[i] for i in rows], good[rows])
     total = np.zeros(len(DECAYS))
     for k in range(FOLDS):
-        left = spliced(*of(np.flatnonzero(fold == k)))
+        xs_left, *labels = of(np.flatnonzero(fold == k))
+        left = spliced(places(xs_left), *labels)
         inside = np.flatnonzero(fold != k)
         if not left[0] or not len(inside):
             continue
-        seen, tested, w = shown(*of(inside)), Sequences(*left), None
+        seen, tested, w = shown(*of(inside)), Sequences(xs_left, left[1], at=left[0]), None
         for i, decay in enumerate(DECAYS):
             w = seen.fit(decay, w, FLAT * 100)
             total[i] += tested.likelihood(w)[0]
@@ -307,14 +343,14 @@ def train(xs: list[np.ndarray], sizes: list[np.ndarray], good: np.ndarray, prior
         return crf
     doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
     begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    full = with_neighbours(doc, np.concatenate(xs))
     y = good[doc]
     cut = lambda v: np.split(v, begin[1:])
+    whole = Sequences(xs, cut(y))
     decay, w = chosen_decay(xs, cut(y), good), None
     for last in (False, True):
         w = shown(xs, cut(y), good).fit(decay, w, FLAT if last else FLAT * 10)
         crf.weight, crf.move = w[:-4], w[-4:].reshape(2, 2)
-        p = crf.marginals(doc, full)
+        p = crf.chain(doc, whole.heights(crf.weight))
         worst = p == np.minimum.reduceat(p, begin)[doc]
         y = np.where(good[doc] > 0, 1, ((p > 0.5) & ~worst).astype(np.int64))
     _, share = shares(doc, size, p, len(xs))

@@ -132,9 +132,8 @@ def bucketed(nodes: DataFrame) -> DataFrame:
     return signed.join(met, "sig").select("sig", "node", "n", "centre")
 
 
-def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs u, v that links don't have hang together."""
-    roots = table(components(links))
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs u, v that don't hang together."""
     end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     placed = pairs.join(end("u"), "u", "left").join(end("v"), "v", "left")
     return placed.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
@@ -155,9 +154,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     sets = table(texts.mapInArrow(unfold, "node long, shingles array<long>").dropDuplicates(["node"]))
 
     others = members.where("node <> centre")
-    links = table(alike(met, sets))
-    links = table(links.union(alike(apart(others.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), links), sets)))
-    roots = table(components(links))
+    hang = lambda roots: roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))  # noqa: E731  as links; what hangs together is not searched again
+    roots = table(components(alike(met, sets)))
+    more = alike(apart(others.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), roots), sets)
+    roots = table(components(hang(roots).union(more)))
     others = table(others.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root")))
     left = others.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("a <> b")
     cut = left.select("sig", F.ceil(F.greatest(F.col("m") / chunk, F.col("s") / CHUNK_SHINGLES)).alias("k"))
@@ -165,7 +165,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     grid = grid.select("sig", "node", "root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     more = grid.join(sets, "node").join(nodes.select("node", "bands"), "node").groupBy("sig", "i", "j").applyInArrow(compare, "u long, v long")
 
-    roots = table(components(links.union(more)))
+    roots = components(hang(roots).union(more))
     placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = table(placed.join(least, "root").select("node", "component_id"))
