@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,41 @@ def test_topk_few_and_large(spark):
     assert sorted(map(tuple, topk.top_k(big, F.col("vec_id") == 0).collect())) == brute_topk([(r.vec_id, r.embedding) for r in big.collect()])
 
 
+def shuffled(spark) -> int:
+    """Bytes that this session's stages have written for shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_topk_copies_no_rows_for_its_queries(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3200, 32)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables too large to be sent whole
+    try:
+        got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0, group=400, per_block=16).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < shuffled(spark) - before < 2 * 3200 * 32 * 8
+    x = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
+    s = x @ x.T
+    assert got == [(q, r, i, s[q, i]) for q in range(0, 3200, 10) for r, i in enumerate([i for i in np.lexsort((np.arange(3200), -s[q])) if i != q][:10], 1)]
+
+
+def test_topk_ties_between_bins_and_values_beyond_64_bits(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(400)] + [(1000 + i, [0.5, float(i)]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for order in ("vec_id", "-vec_id"):
+        got = topk.top_k(df.repartition(3).sortWithinPartitions(F.expr(order)), F.col("vec_id") % 100 == 0, group=8, bins=5, per_block=3)
+        assert sorted(map(tuple, got.collect())) == brute_topk(rows)
+    far = next(topk.whole(1024)(iter([pa.RecordBatch.from_pydict({"id": [1, 2, None, 3], "v": [[1e300, -1e300, -0.0001], [float("inf")], [1.0], []]})])))
+    assert far.to_pydict() == {"id": [1, 3], "v": [[2**63 - 1, -(2**63), -1], []]}
+
+
 # --- mixing ---
 
 
