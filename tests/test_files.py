@@ -98,3 +98,15 @@ def test_last_line_of_a_loan_gives_its_group(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert features.attach_groups(loans, given, order="i").where("grp = 'a'").count() == 1 and features.attach_groups(loans, given.withColumn("grp", F.lit(1))).count() == 4
+
+
+def test_plan_converts_each_field_once(spark):
+    """A filter on the reason must not carry copies of the conversions: over a layout of 31 fields they filled the driver."""
+    layout = [("a", "text"), ("b", "double"), ("c", "int"), ("d", "month"), ("e", "day")]
+    lines = spark.createDataFrame([("x|1.5|2|03/2001|04/05/2001",), ("x|1.5|no|03/2001|04/05/2001",), ("x|1",), ("",)], "value string")
+    good, bad = parsed(lines, layout), rejected(lines, layout)
+    for df in (good, bad):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") == 1 and plan.count("split(") == 1, plan
+    assert [r.b for r in good.collect()] == [1.5]
+    assert sorted(r.reason for r in bad.collect()) == ["c: no int: no", "expected 5 fields, found 2"]

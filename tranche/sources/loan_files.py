@@ -43,7 +43,9 @@ def examined(lines: DataFrame, layout: list[tuple[str, str]]) -> DataFrame:
     n = len(layout)
     token = lambda i: F.get(F.col("_t"), F.lit(i))
     rows = lines.where(F.length("value") > 0).withColumn("_t", F.split("value", r"\|", -1))
-    rows = rows.select("*", *[typed(token(i), kind).alias(f"_{name}") for i, (name, kind) in enumerate(layout)])
+    # fields go through a generator: a filter on the reason, pushed through plain projections, would repeat each field's conversion many times
+    made = F.struct(*[typed(token(i), kind).alias(f"_{name}") for i, (name, kind) in enumerate(layout)])
+    rows = rows.withColumn("_made", F.array(made)).select(*lines.columns, "_t", F.inline_outer("_made"))
     checked = [(i, name, kind) for i, (name, kind) in enumerate(layout) if kind != "text"]
     # one small test a field; names are looked up only for the first that fails
     wrong = F.array(*[F.col(f"_{name}").isNull() & (F.trim(token(i)) != "") for i, name, _ in checked])
