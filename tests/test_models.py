@@ -229,3 +229,40 @@ def test_out_of_time(spark):
     assert report.feature_psi.count() == 4 and report.score_psi.first().psi >= 0
     compared = models.compare(report.metrics.where("protocol = 'oot'").drop("protocol"), report.metrics.where("protocol = 'naive'").drop("protocol"))
     assert compared.count() == 8
+
+
+class Generic:
+    """A model that only scores."""
+
+    def __init__(self, model):
+        self.score = model.score
+
+
+@pytest.mark.parametrize("odd", [None, 1e30, math.inf, -math.inf])
+def test_permutation_scores_parts_as_it_scores_rows(spark, odd):
+    """Exchanged parts of a sum give what rows scored anew give, also for values that swallow or lack the others."""
+    df = spark.range(300).select(
+        F.format_string("L%03d", "id").alias("loan_id"), F.when(F.col("id") % 40 != 5, (F.col("id") * 7 % 5 - 3 * (F.col("id") * 37 % 101) / 101 > 0.5).cast("int")).alias("y"), ((F.col("id") * 37 % 101) / 101).alias("x"),
+        F.when(F.col("id") % 29 == 0, F.lit(odd).cast("double")).otherwise((F.col("id") * 7 % 5).cast("double")).alias("a.b"), F.lit(2.0).alias("same"), (F.col("id") % 3).cast("double").alias("unused"),
+    )
+    names = ["x", "a.b", "same", "unused"]
+    model = models.Logistic(["a.b", "x", "same"], [2.0, 0.5, 0.0], [1.5, 0.3, 1.0], [0.4, -0.7, 0.3], -0.2)
+    got, want = (models.permutation_importance(m, df, names, block=40) for m in (model, Generic(model)))
+    assert got[2:] == [("same", 0.0), ("unused", 0.0)] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-9) and sum(x for _, x in got) > 0.99
+    with pytest.raises(ValueError, match="lacking"):
+        models.permutation_importance(model, df, ["x", "same"])
+
+
+def test_permutation_reads_rows_once(spark):
+    """The matrix behind the rows costs most: counting, checking and scoring go over rows that are kept, and no row is scored on its own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(200).select(F.format_string("L%03d", "id").alias("loan_id"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") * 37 % 101).cast("double").alias("x"))
+    df = df.mapInArrow(look, df.schema)
+    models.permutation_importance(models.Logistic(["x"], [50.0], [30.0], [1.0], 0.0), df, ["x"], block=50)
+    assert seen.value == 200

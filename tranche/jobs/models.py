@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -180,18 +184,88 @@ def fit_boosted(df: DataFrame, features: list[str], rounds: int = 500, rate: flo
 BLOCK = 1 << 12
 
 
+#: Parts of a log-odds below this take part in sums from which one is taken out again; rows with others are summed anew.
+PLAIN = 1 << 10
+
+
+def _dealt(parts: int, intercept: float, repeats: int) -> Callable[[pa.Table], pa.Table]:
+    """Squared errors of a block whose features give the parts _p0, _p1 and so on of the log-odds: number and sum for the rows as
+    they are (-1), for each feature number and what is added to that sum, exactly 0 where nothing changes. Rows that lack y or a
+    part don't count."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("_mark", "ascending"), ("loan_id", "ascending")])
+        own, none = (np.column_stack([f(block[f"_p{i}"]) for i in range(parts)]) for f in (lambda c: c.to_numpy(), lambda c: c.is_null().to_numpy()))
+        y, known, lacking = block["y"].to_numpy(), ~block["y"].is_null().to_numpy(), none.sum(axis=1)
+        odd = np.flatnonzero(~(np.abs(own) < PLAIN).all(axis=1))
+
+        def summed(rows: np.ndarray) -> np.ndarray:
+            total = np.full(len(rows), intercept)
+            for part in rows.T:
+                total += part
+            return total
+
+        def errors(z: np.ndarray, lacking: np.ndarray) -> tuple[float, int]:
+            kept = known & (lacking == 0)
+            off = 1.0 / (1.0 + np.exp(-z[kept])) - y[kept]
+            return float(off @ off), len(off)
+
+        with np.errstate(all="ignore"):
+            z = summed(own)
+            found = [(-1, *errors(z, lacking))]
+            start = found[0][1]
+            for f in range(parts):
+                for r in range(1, repeats + 1):
+                    given = np.roll(own[:, f], -r)
+                    moved = z + (given - own[:, f])
+                    if len(odd):
+                        rows = own[odd]
+                        rows[:, f] = given[odd]
+                        moved[odd] = summed(rows)
+                    off, n = errors(moved, lacking - none[:, f] + np.roll(none[:, f], -r))
+                    found.append((f, off - start, n))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int32(), pa.float64(), pa.int64()), strict=True)], ["_f", "off", "n"])
+
+    return run
+
+
 def permutation_importance(model, df: DataFrame, features: list[str], repeats: int = 3, seed: int = 7, block: int = BLOCK) -> list[tuple[str, float]]:
     """How much the Brier score suffers when a feature's values are dealt out anew, as shares of the whole; gains count 0.
 
     All rows count. They fall into blocks by a hash of the loan and stand there in a seeded order; the r-th time a row
-    gets the values of the r-th row after it, round the block. One shuffle brings donors to their rows, and one pass scores
-    every feature and repeat.
+    gets the values of the r-th row after it, round the block. The rows are read once and kept; one shuffle brings donors to
+    their rows. A logistic model's log-odds are a sum, so a block's rows are scored by exchanging the feature's part, all rows of
+    the block at once; other models score a row for each feature and repeat.
     """
     _needs(df, features)
-    _checked(df)
-    blocks = -(-df.count() // block)
-    rows = df.select("loan_id", F.col("y").cast("double").alias("y"), F.array(*[_col(f).cast("double") for f in features]).alias("_own"))
-    rows = rows.withColumn("_block", F.pmod(seeded(seed, F.col("loan_id")), F.lit(blocks)))
+    if additive := isinstance(model, Logistic):
+        _needs(df.select(*[_col(f) for f in features]), model.features)
+        shares = list(zip(model.features, model.parts(), strict=True))
+        values = [reduce(lambda a, b: a + b, [p for g, p in shares if g == f] or [F.lit(0.0)]).alias(f"_p{i}") for i, f in enumerate(features)]
+    else:
+        values = [F.array(*[_col(f).cast("double") for f in features]).alias("_own")]
+    kept = df.select("loan_id", F.col("y").cast("double").alias("y"), *values).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        blocks = -(-_checked(kept) // block)
+        rows = kept.withColumn("_block", F.pmod(seeded(seed, F.col("loan_id")), F.lit(blocks)))
+        if additive:
+            marked = rows.withColumn("_mark", seeded(seed + 1, F.col("loan_id")))
+            errors = marked.groupBy("_block").applyInArrow(_dealt(len(features), model.intercept, repeats), "_f int, off double, n long")
+            sums = {r["_f"]: (r["off"], r["n"]) for r in errors.groupBy("_f").agg(F.sum("off").alias("off"), F.sum("n").alias("n")).collect()}
+            off, n = sums[-1]
+            gaps = [more / m if m == repeats * n else (repeats * off + more) / m - off / n for more, m in (sums[i] for i in range(len(features)))]
+        else:
+            loss = {r["_f"]: r["loss"] for r in _scored_anew(model, rows, features, repeats, seed).collect()}
+            gaps = [loss[i] - loss[-1] for i in range(len(features))]
+    finally:
+        kept.unpersist()
+    worse = [max(0.0, x) for x in gaps]
+    total = sum(worse)
+    return [(f, x / total if total > 0 else 0.0) for f, x in zip(features, worse, strict=True)]
+
+
+def _scored_anew(model, rows: DataFrame, features: list[str], repeats: int, seed: int) -> DataFrame:
+    """_f (-1: the rows as they are), loss: by a model of any kind, a row for each feature and repeat. rows: loan_id, y, _own, _block."""
     whole = Window.partitionBy("_block").orderBy(seeded(seed + 1, F.col("loan_id")), "loan_id")
     every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.array(*[F.nth_value("_own", i).over(every) for i in range(1, repeats + 1)])
@@ -202,10 +276,7 @@ def permutation_importance(model, df: DataFrame, features: list[str], repeats: i
     tries = met.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1)))).withColumn("_r", F.explode(F.when(F.col("_f") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(repeats - 1)))))
     value = lambda i: F.when(F.col("_f") == i, F.get(F.get("_donors", F.col("_r")), F.lit(i))).otherwise(F.get("_own", F.lit(i)))
     scored = model.score(tries.select("_f", "y", *[value(i).alias(f) for i, f in enumerate(features)]))
-    loss = {r["_f"]: r["loss"] for r in scored.groupBy("_f").agg(F.avg((F.col("pd") - F.col("y")) ** 2).alias("loss")).collect()}
-    worse = [max(0.0, loss[i] - loss[-1]) for i in range(len(features))]
-    total = sum(worse)
-    return [(f, x / total if total > 0 else 0.0) for f, x in zip(features, worse, strict=True)]
+    return scored.groupBy("_f").agg(F.avg((F.col("pd") - F.col("y")) ** 2).alias("loss"))
 
 
 def top_importances(importances: list[tuple[str, float]], n: int = 5) -> list[tuple[str, float]]:
