@@ -111,3 +111,45 @@ def test_rows_without_a_score_are_refused(spark, bad):
         with pytest.raises(Exception, match="no pd: B"):
             figure(df).collect()
 
+
+
+def test_cells_are_those_of_a_search(spark):
+    edges = sorted(np.random.default_rng(4).normal(0, 1, 45).tolist())
+    values = [*edges, *[x + 1e-9 for x in edges], -math.inf, math.inf, math.nan, None, 0.0]
+    table = spark.createDataFrame([("x", 2, edges[:20]), ("x", 3, edges[15:]), ("y", 2, [0.0])], "feature string, k int, cuts array<double>")
+    rows = spark.createDataFrame([(f, str(i), v, 1) for f in "xy" for i, v in enumerate(values)], "feature string, grp string, value double, n int")
+    for r in drift.cells(rows, table).collect():
+        own, v = edges if r.feature == "x" else [0.0], values[int(r.grp)]
+        assert r.cell == (0 if v is None else len(own) if math.isnan(v) else int(np.searchsorted(own, v))) and r.edge == (own[r.cell - 1] if r.cell else None)
+
+
+def test_power_sorts_values_into_cells_once(spark, monkeypatch):
+    """Four parts of the query read the cells; the values behind them, which are many, are looked at once."""
+    seen, real = spark.sparkContext.accumulator(0), drift.cells
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    for module in (drift, fairness):
+        monkeypatch.setattr(module, "cells", lambda rows, edges: real(rows.mapInArrow(look, rows.schema), edges), raising=False)
+    df = spark.range(400).select((F.col("id") % 4).cast("string").alias("grp"), (F.col("id") * 37 % 101).cast("double").alias("x"), F.lit(0.5).alias("pd"), F.lit(1).alias("y"))
+    power = fairness.proxy_power(df, ["x"]).collect()
+    assert seen.value == 400
+    groups, again = fairness.audit(df, ["x"])
+    assert again.collect() == power and groups.count() == 4 and seen.value == 800
+
+
+def test_audit_reads_scored_rows_twice(spark):
+    """Once for the sizes of the groups, once for all that is kept."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(400).select((F.col("id") % 4).cast("string").alias("grp"), (F.col("id") * 37 % 101).cast("double").alias("x"), F.lit(0.5).alias("pd"), F.lit(1).alias("y"))
+    groups, power = fairness.audit(df.mapInArrow(look, df.schema), ["x"])
+    assert groups.count() == 4 and power.count() == 1 and seen.value <= 800

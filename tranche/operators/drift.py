@@ -71,19 +71,28 @@ def top_drifted(drift: DataFrame, n: int = 5) -> DataFrame:
 
 def cells(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows: feature, grp, value, n; edges: feature, k, cuts. feature, grp, cell, edge, n: one pass sorts each value among
-    the edges of all k at once; edge: the greatest below it. Cells are as many as there are edges, and one."""
+    the edges of all k at once; edge: the greatest below it. Cells are as many as there are edges, and one.
+
+    The cell is searched for by halves, a small step a column: compared with every edge in one expression, a stage's method grew
+    past what the JVM compiles.
+    """
     every = edges.groupBy("feature").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cuts")))).alias("_edges"))
-    counted = rows.join(F.broadcast(every), "feature").groupBy("feature", "grp", bin_of(F.col("value"), F.col("_edges"), BINS * (BINS - 1) // 2).alias("cell")).agg(F.sum("n").alias("n"))
+    placed = rows.join(F.broadcast(every), "feature").withColumn("cell", F.lit(0))
+    for width in (1 << i for i in reversed(range((BINS * (BINS - 1) // 2).bit_length()))):
+        below = F.get("_edges", F.col("cell") + (width - 1)) < F.col("value")
+        placed = placed.withColumn("cell", F.col("cell") + F.when(below, width).otherwise(0))
+    counted = placed.groupBy("feature", "grp", "cell").agg(F.sum("n").alias("n"))
     return counted.join(F.broadcast(every), "feature").withColumn("edge", F.get("_edges", F.col("cell") - 1)).drop("_edges")
 
 
-def group_psi(rows: DataFrame, ks: DataFrame) -> DataFrame:
-    """rows: feature, grp, value, n, kept by the caller. ks: grp, k (2 to BINS). feature, grp, psi of each group against all rows.
+def group_edges(rows: DataFrame) -> DataFrame:
+    """feature, k, cuts for every k from 2 to BINS. rows: feature, value, n, kept by the caller."""
+    return _cut_table(rows, list(range(2, BINS + 1)))
 
-    After the looks for edges every value is read once; what follows works on at most 46 cells for each feature and group.
-    """
-    edges = _cut_table(rows, list(range(2, BINS + 1)))
-    celled = cells(rows, edges)
+
+def group_psi(celled: DataFrame, edges: DataFrame, ks: DataFrame) -> DataFrame:
+    """celled: what cells() returns, kept by the caller, since it is read four times. edges: of group_edges(). ks: grp, k (2 to
+    BINS). feature, grp, psi of each group against all rows. Cells are at most 46 for each feature and group."""
     binned = lambda df, *by: df.withColumn("bin", F.size(F.filter("cuts", lambda e: e <= F.col("edge")))).groupBy("feature", *by, "bin").agg(F.sum("n").alias("n"))
     everyone = celled.groupBy("feature", "cell").agg(F.first("edge").alias("edge"), F.sum("n").alias("n"))
     expected = binned(everyone.join(F.broadcast(edges), "feature"), "k")

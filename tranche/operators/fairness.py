@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .drift import BINS, group_psi, long_rows
-from .ranks import settled
+from .drift import BINS, cells, group_edges, group_psi, long_rows
+from .ranks import fetched, settled
 
 POOL, LEAST, FLAG, LOOKED_AT = "OTHER", 30, 0.25, 5
 
@@ -32,13 +33,17 @@ def proxy_power(rows: DataFrame, features: list[str], least: int = LEAST) -> Dat
 
     Small groups get fewer bins, so that noise doesn't read as drift.
     """
-    def found(wide: DataFrame) -> DataFrame:
-        sizes = wide.where(F.col("grp") != POOL).groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-        ks = sizes.select("grp", F.least(F.lit(BINS), F.greatest(F.lit(2), F.floor(F.col("_n") / 20))).cast("int").alias("k"))
-        return group_psi(long_rows(wide, features, ["grp"]), ks).groupBy("feature").agg(F.max("psi").alias("_power"))
+    return settled(rows.select("grp", *[F.col(f"`{f}`") for f in features]), lambda wide: _power(wide, features, least))
 
-    power = settled(rows.select("grp", *[F.col(f"`{f}`") for f in features]), found)
-    names = rows.sparkSession.createDataFrame(list(enumerate(features)), "position int, feature string")
+
+def _power(wide: DataFrame, features: list[str], least: int) -> DataFrame:
+    """What proxy_power() returns; wide: grp and the features, kept by the caller."""
+    sizes = wide.where(F.col("grp") != POOL).groupBy("grp").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    ks = sizes.select("grp", F.least(F.lit(BINS), F.greatest(F.lit(2), F.floor(F.col("_n") / 20))).cast("int").alias("k"))
+    values = long_rows(wide, features, ["grp"])
+    edges = group_edges(values)
+    power = settled(cells(values, edges), lambda celled: group_psi(celled, edges, ks).groupBy("feature").agg(F.max("psi").alias("_power")))
+    names = wide.sparkSession.createDataFrame(list(enumerate(features)), "position int, feature string")
     return names.join(power, "feature", "left").select("feature", "position", F.greatest(F.lit(0.0), F.coalesce("_power", F.lit(0.0))).alias("power"))
 
 
@@ -48,6 +53,10 @@ def proxy_flags(power: DataFrame, looked_at: int = LOOKED_AT, flag: float = FLAG
 
 
 def audit(scored: DataFrame, features: list[str], least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(parity by group, proxy power) of any scored rows that have grp, y, pd and the features."""
-    rows = pooled(scored, least)
-    return parity(rows), proxy_power(rows, features, least)
+    """(parity by group, proxy power) of any scored rows that have grp, y, pd and the features, which are read once for both and
+    kept meanwhile."""
+    rows = pooled(scored.select("grp", "y", "pd", *[F.col(f"`{f}`") for f in features]), least).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fetched(parity(rows)), fetched(_power(rows, features, least))
+    finally:
+        rows.unpersist()

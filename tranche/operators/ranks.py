@@ -21,12 +21,16 @@ from .radix import cuts
 PER_BUCKET, MOST, SEEN = 200_000, 4096, 16
 
 
+def fetched(rows: DataFrame) -> DataFrame:
+    """The same rows, which must be few, fetched now."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def settled(rows: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """build(rows), which must have few rows: they are fetched, while `rows`, which it reads several times, is kept."""
     kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        out = build(kept)
-        return rows.sparkSession.createDataFrame(out.collect(), out.schema)
+        return fetched(build(kept))
     finally:
         kept.unpersist()
 
